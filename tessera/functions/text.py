@@ -17,10 +17,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Fixed value: the characters Python's str.split()/strip() treat as space.
+PY_WS = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
+
+
 def py_strip(col) -> Column:
     """Python ``str.strip()``: strips all leading/trailing whitespace
     (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(col), "^" + PY_WS + "+|" + PY_WS + "+$", "")
+
+
+def py_split(col) -> Column:
+    """Python ``str.split()`` (no argument): split on whitespace runs,
+    dropping empty parts."""
+    return F.filter(F.split(py_strip(col), PY_WS + "+"), lambda x: x != "")
 
 
 def span_text(text, begin, end) -> Column:

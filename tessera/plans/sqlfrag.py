@@ -19,15 +19,15 @@ def tokens_cte(src: str, key: str = "doc_id", text: str = "text", name: str = "t
   FROM {name}_p
 ),
 {name}_r AS (
-  SELECT {key}, tok_idx, start + lead AS begin, start + length(piece) AS "end",
+  SELECT {key}, tok_idx, CAST(start + lead AS BIGINT) AS begin, CAST(start + length(piece) AS BIGINT) AS "end",
          substring(piece, lead + 1) AS token,
          CASE WHEN regexp_matches(substring(piece, lead + 1), '^[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 0 END AS w
   FROM {name}_q
 ),
 {name} AS (
   SELECT {key}, tok_idx, begin, "end", token,
-         CASE WHEN w = 1 THEN sum(w) OVER (PARTITION BY {key} ORDER BY tok_idx
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS word_idx
+         CAST(CASE WHEN w = 1 THEN sum(w) OVER (PARTITION BY {key} ORDER BY tok_idx
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS BIGINT) AS word_idx
   FROM {name}_r
 )"""
 

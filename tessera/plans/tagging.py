@@ -18,5 +18,13 @@ def capital_runs(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
         "_grp", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return (t.where("_cap").groupBy(key, "_grp")
             .agg(F.min("begin").alias("begin"), F.max("end").alias("end"),
-                 F.min("tok_idx").alias("first_tok"), F.max("tok_idx").alias("last_tok"))
+                 F.min("tok_idx").alias("first_tok"), F.max("tok_idx").alias("last_tok"),
+                 F.min_by("token", "tok_idx").alias("first_text"))
             .drop("_grp"))
+
+
+def run_type(first_text):
+    """Entity type of a capitalised run by its initial letter (test rule)."""
+    c = F.substring(first_text, 1, 1)
+    return (F.when(c.between("A", "F"), "PER").when(c.between("G", "M"), "LOC")
+            .when(c.between("N", "S"), "ORG").otherwise("MISC"))
