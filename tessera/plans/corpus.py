@@ -9,7 +9,7 @@ from tessera.operators.spans import covered_by, intersects
 from tessera.operators.tokens import split_sentences, split_sentences_cautious, tokenize
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import sentences_cte, tokens_cte
-from tessera.plans.util import read_table
+from tessera.plans.util import materialize, read_table
 
 TOK = tokens_cte("documents")
 SENT = sentences_cte()
@@ -140,3 +140,82 @@ def q_section_mentions(spark, sf):
         F.count(F.lit(1)).alias("n_mentions"), F.min("b_begin").alias("first_begin"),
         F.max("b_end").alias("last_end"))
     return bigint(out, "line_no", "n_mentions", "first_begin", "last_end")
+
+
+# ----------------------------------------------------------- P2 / P3
+
+def digit_ops(tok: DataFrame) -> DataFrame:
+    """Replacement ops: every all-digit token becomes ``<num>``."""
+    return tok.where(F.col("token").rlike(r"^\p{N}+$")).select(
+        "doc_id", "begin", "end", F.lit("<num>").alias("replacement"))
+
+
+EDIT_SQL = f"""{TOK},
+ops AS (SELECT doc_id, begin, "end", '<num>' AS rep,
+               row_number() OVER (PARTITION BY doc_id ORDER BY begin, "end") AS k,
+               coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY begin, "end"), 0) AS prev
+        FROM tokens WHERE regexp_matches(token, '^\\p{{N}}+$')),
+segs0 AS (
+  SELECT doc_id, prev AS ob, begin AS oe, false AS replaced, NULL AS rep, k FROM ops WHERE begin > prev
+  UNION ALL SELECT doc_id, begin, "end", true, rep, k FROM ops
+  UNION ALL SELECT d.doc_id, coalesce(m.last, 0), length(d.text), false, NULL, coalesce(m.kk, 0) + 1
+    FROM documents d LEFT JOIN (SELECT doc_id, max("end") AS last, max(k) AS kk FROM ops GROUP BY doc_id) m USING (doc_id)
+    WHERE length(d.text) > coalesce(m.last, 0)),
+segs AS (
+  SELECT *, CAST(coalesce(sum(pl) OVER (PARTITION BY doc_id ORDER BY ob, oe, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS nb
+  FROM (SELECT *, CASE WHEN replaced THEN length(rep) ELSE oe - ob END AS pl FROM segs0)),
+segs2 AS (SELECT *, nb + pl AS ne FROM segs),
+newdocs AS (
+  SELECT s.doc_id, string_agg(CASE WHEN s.replaced THEN s.rep ELSE substring(d.text, s.ob + 1, s.oe - s.ob) END, ''
+                              ORDER BY s.ob, s.oe, s.k) AS text,
+         sum(CASE WHEN s.replaced THEN 1 ELSE 0 END) AS n_ops
+  FROM segs2 s JOIN documents d USING (doc_id) GROUP BY s.doc_id)"""
+
+
+@register("replace_spans", sql=f"""WITH {EDIT_SQL}
+SELECT doc_id, CAST(n_ops AS BIGINT) AS n_ops, CAST(length(text) AS BIGINT) AS new_len, md5(text) AS text_md5
+FROM newdocs""")
+def q_replace_spans(spark, sf):
+    from tessera.operators.edits import replace_spans
+    d = docs(spark, sf)
+    nd, _, _ = replace_spans(d, digit_ops(tokenize(d)))
+    return bigint(nd.select("doc_id", "n_ops", F.length("text").alias("new_len"), F.md5("text").alias("text_md5")),
+                  "n_ops", "new_len")
+
+
+def _map_sql(pt: str, as_end: bool) -> str:
+    inside = f"s.replaced AND t.{pt} > s.nb AND t.{pt} < s.ne"
+    exact = f"CASE WHEN t.{pt} = s.nb THEN s.ob WHEN t.{pt} = s.ne THEN s.oe ELSE s.ob + (t.{pt} - s.nb) END"
+    pref = f"t.{pt} > s.nb" if as_end else f"t.{pt} < s.ne"
+    rel = "s.oe" if as_end else "s.ob"
+    return f"""
+map_{pt} AS (
+  SELECT doc_id, tok_idx, {pt}_relaxed, {pt}_strict, {pt}_backward, {pt}_forward FROM (
+    SELECT t.doc_id, t.tok_idx,
+      CASE WHEN {inside} THEN {rel} ELSE {exact} END AS {pt}_relaxed,
+      CASE WHEN {inside} THEN NULL ELSE {exact} END AS {pt}_strict,
+      CASE WHEN {inside} THEN s.ob ELSE {exact} END AS {pt}_backward,
+      CASE WHEN {inside} THEN s.oe ELSE {exact} END AS {pt}_forward,
+      row_number() OVER (PARTITION BY t.doc_id, t.tok_idx ORDER BY CASE WHEN {pref} THEN 1 ELSE 0 END DESC, s.nb) AS rn
+    FROM ntok t LEFT JOIN segs2 s ON s.doc_id = t.doc_id AND s.nb <= t.{pt} AND t.{pt} <= s.ne)
+  WHERE rn = 1)"""
+
+
+@register("original_span", sql=f"""WITH {EDIT_SQL}, {tokens_cte("newdocs", name="ntok")},
+{_map_sql("begin", False)}, {_map_sql("end", True)}
+SELECT t.doc_id, CAST(t.tok_idx AS BIGINT) AS tok_idx, CAST(t.begin AS BIGINT) AS begin, CAST(t."end" AS BIGINT) AS "end",
+       CAST(begin_relaxed AS BIGINT) AS begin_relaxed, CAST(begin_strict AS BIGINT) AS begin_strict,
+       CAST(begin_backward AS BIGINT) AS begin_backward, CAST(begin_forward AS BIGINT) AS begin_forward,
+       CAST(end_relaxed AS BIGINT) AS end_relaxed, CAST(end_strict AS BIGINT) AS end_strict,
+       CAST(end_backward AS BIGINT) AS end_backward, CAST(end_forward AS BIGINT) AS end_forward
+FROM ntok t JOIN map_begin USING (doc_id, tok_idx) JOIN map_end USING (doc_id, tok_idx)""")
+def q_original_span(spark, sf):
+    from tessera.operators.edits import original_span, replace_spans
+    d = docs(spark, sf)
+    nd, segs, _ = replace_spans(d, digit_ops(tokenize(d)))
+    nd, segs = materialize(nd, "edited"), materialize(segs, "segments")
+    nt = tokenize(nd).select("doc_id", "tok_idx", "begin", "end")
+    out = original_span(segs, nt)
+    cols = ["tok_idx", "begin", "end"] + [f"{p}_{m}" for p in ("begin", "end")
+                                          for m in ("relaxed", "strict", "backward", "forward")]
+    return bigint(out.select("doc_id", *cols), *cols)

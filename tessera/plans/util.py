@@ -29,3 +29,12 @@ def scratch_path(spark, name: str) -> str:
     from tessera.session import checkpoint_dir
 
     return f"{checkpoint_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read
+    it back: cuts lineage (replays survive lost executors, and later
+    self-joins see a plain scan)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
