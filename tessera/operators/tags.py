@@ -71,3 +71,108 @@ def iob_decode(units: DataFrame, key: str = "doc_id", unit_idx: str = "tok_idx",
     return (isl.where(F.col("_h.l").isNotNull() & (F.col("_h.t") != "O"))
             .select(key, "begin", "end", F.col("_h.t").alias("ner_type"), "first_unit", "last_unit",
                     "n_units"))
+
+
+# ------------------------------------------------------------- vocabulary
+
+def build_vocab(tags: DataFrame, tag: str = "label") -> DataFrame:
+    """Distinct tags -> dense ids by frequency (desc) then name:
+    ``tag, id, n``. The ordering window runs over the distinct tags only
+    (a handful of rows), never over units."""
+    counts = tags.groupBy(F.col(tag).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.col("n").desc(), F.col("tag"))
+    return counts.where(F.col("tag").isNotNull()).withColumn("id", (F.row_number().over(w) - 1).cast("int"))
+
+
+def index_tags(units: DataFrame, vocab: DataFrame, tag: str = "label") -> DataFrame:
+    """Units with ``tag_id``; a tag absent from the vocabulary gets null
+    (no unknown id: the caller routes those rows to quarantine)."""
+    from tessera.plans.util import maybe_broadcast
+    v = maybe_broadcast(vocab.select(F.col("tag").alias("_tag"), F.col("id").alias("tag_id")))
+    return units.join(v, units[tag] == v["_tag"], "left").drop("_tag")
+
+
+# ------------------------------------------------------- padded features
+
+def export_features(units: DataFrame, key: str = "doc_id", segment: str = "sent_idx",
+                    unit_idx: str = "tok_idx", value: str = "tag_id", batch_size: int = 32,
+                    pad: int = -100) -> DataFrame:
+    """Per segment (sentence): the id sequence padded to the longest
+    sequence of its batch, the mask and the true length (A14).
+
+    Batches are ``batch_size`` consecutive segments *of one document*
+    (``batch = sent_idx div batch_size``), so batching needs no global
+    ordering. Output: ``key, segment, batch, length, ids, mask``.
+    """
+    seq = units.groupBy(key, segment).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(unit_idx, value))), lambda x: x[value]).alias("_ids"))
+    seq = seq.withColumn("length", F.size(F.filter("_ids", lambda x: x != pad)).cast("int"))
+    seq = seq.withColumn("batch", F.floor(F.col(segment) / batch_size).cast("int"))
+    wb = Window.partitionBy(key, "batch")
+    seq = seq.withColumn("_max", F.max(F.size("_ids")).over(wb))
+    padn = F.col("_max") - F.size("_ids")
+    return seq.select(
+        key, segment, "batch", "length",
+        F.concat("_ids", F.array_repeat(F.lit(pad), padn)).alias("ids"),
+        F.concat(F.array_repeat(F.lit(1), F.size("_ids")), F.array_repeat(F.lit(0), padn)).alias("mask"))
+
+
+# ------------------------------------------------------ lexicon tagger (A10/K4)
+
+def shape(col) -> "F.Column":
+    """Word shape: class of the first character, whether the rest holds an
+    upper-case letter or digit, and the length capped at 5."""
+    c = F.col(col) if isinstance(col, str) else col
+    first = F.substring(c, 1, 1)
+    cls = (F.when(first.rlike(r"^\p{Lu}$"), "A").when(first.rlike(r"^\p{Ll}$"), "a")
+           .when(first.rlike(r"^\p{N}$"), "0").otherwise(first))
+    rest = F.substring(c, 2, 1 << 30)
+    rcls = F.when(rest.rlike(r"\p{Lu}"), "A").when(rest.rlike(r"\p{N}"), "0").otherwise("a")
+    return F.concat(cls, rcls, F.least(F.length(c), F.lit(5)).cast("string"))
+
+
+def fit_tagger(units: DataFrame, form: str = "token", tag: str = "label") -> DataFrame:
+    """Count-based tagger (A10 fit): for every form the most frequent tag,
+    and the same per word shape as back-off. Output (the model table, K4):
+    ``level, feature, tag, n`` with level ``form`` or ``shape``. The ranking
+    window partitions the aggregated (feature, tag) counts, so a frequent
+    form is a few rows, not its occurrences."""
+    by_form = units.groupBy(F.lit("form").alias("level"), F.col(form).alias("feature"), F.col(tag).alias("tag")).agg(
+        F.count(F.lit(1)).alias("n"))
+    by_shape = units.groupBy(F.lit("shape").alias("level"), shape(form).alias("feature"), F.col(tag).alias("tag")).agg(
+        F.count(F.lit(1)).alias("n"))
+    c = by_form.unionByName(by_shape)
+    w = Window.partitionBy("level", "feature").orderBy(F.col("n").desc(), F.col("tag"))
+    return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def predict_tags(units: DataFrame, model: DataFrame, form: str = "token", default: str = "O",
+                 out: str = "pred") -> DataFrame:
+    """A10 predict: form lookup, else shape lookup, else ``default``."""
+    mf = model.where(F.col("level") == "form").select(F.col("feature").alias("_f"), F.col("tag").alias("_tf"))
+    ms = model.where(F.col("level") == "shape").select(F.col("feature").alias("_s"), F.col("tag").alias("_ts"))
+    from tessera.plans.util import maybe_broadcast
+    u = units.withColumn("_shape", shape(form))
+    u = u.join(mf, u[form] == mf["_f"], "left").join(maybe_broadcast(ms), F.col("_shape") == F.col("_s"), "left")
+    return u.withColumn(out, F.coalesce("_tf", "_ts", F.lit(default))).drop("_f", "_tf", "_s", "_ts", "_shape")
+
+
+# ------------------------------------------------------- chained taggers
+
+def chain_taggers(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Two predictors' spans on the same documents: full outer join on
+    ``(key, begin, end)``; each side contributes its own attribute."""
+    return a.join(b, [key, "begin", "end"], "full_outer")
+
+
+# ------------------------------------------------------- sentence regrouping
+
+def group_sentences(sentences: DataFrame, n: int, key: str = "doc_id", ordinal: str = "sent_idx",
+                    compat: bool = False) -> DataFrame:
+    """Regroup consecutive sentences into units of ``n`` (E7):
+    ``group = ordinal div n`` (``compat``: ``(ordinal + 1) div n``, the
+    reference counter that starts at 1). Output: ``key, group, begin, end,
+    n_sentences``."""
+    g = F.floor((F.col(ordinal) + (1 if compat else 0)) / n).cast("int")
+    return sentences.groupBy(key, g.alias("group")).agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_sentences"))
