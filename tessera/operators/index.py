@@ -56,20 +56,28 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return build_index(tokenize(docs, key, text), key, docs)
 
 
-def materialize_index(index: Index, name: str = "index") -> Index:
+def materialize_index(index: Index, name: str = "index", docs: DataFrame | None = None) -> Index:
     """Write the index once to the shared checkpoint folder and read it back
-    (cuts lineage; survives lost executors). Postings are range-partitioned
-    and sorted by term so that term filters skip row groups."""
+    (cuts lineage; survives lost executors). Postings are written once,
+    hash-partitioned on ``term`` and sorted by it (row-group statistics then
+    skip most groups for a term filter); the two stats tables are derived
+    from the written postings, so the corpus is tokenized exactly once."""
     spark = index.postings.sparkSession
+    key = index.key
     base = scratch_path(spark, name)
-    (index.postings.repartitionByRange("term").sortWithinPartitions("term", index.key)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (index.postings.repartition(n, "term").sortWithinPartitions("term", key)
      .write.mode("overwrite").parquet(base + "/postings"))
-    index.doc_stats.write.mode("overwrite").parquet(base + "/doc_stats")
-    (index.term_stats.repartitionByRange("term").sortWithinPartitions("term")
+    postings = spark.read.parquet(base + "/postings")
+    doc_stats = postings.groupBy(key).agg(F.first("dl").alias("n_tokens"))
+    if docs is not None:
+        doc_stats = (docs.select(key).join(doc_stats, key, "left")
+                     .select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
+    doc_stats.write.mode("overwrite").parquet(base + "/doc_stats")
+    (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
      .write.mode("overwrite").parquet(base + "/term_stats"))
     r = spark.read
-    return Index(r.parquet(base + "/postings"), r.parquet(base + "/doc_stats"),
-                 r.parquet(base + "/term_stats"), index.key)
+    return Index(postings, r.parquet(base + "/doc_stats"), r.parquet(base + "/term_stats"), key)
 
 
 def query_terms(queries: DataFrame, qkey: str = "question_id", qtext: str = "query") -> DataFrame:
