@@ -1 +1,112 @@
-"""Driver queries (filled in as operators land)."""
+"""Driver queries for the streaming jobs and the pack round trip. Inputs
+are written from the given tables into a fresh folder under the shared
+checkpoint folder; the oracle is the batch SQL of the same operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators.index import build_index, search
+from tessera.operators.tokens import split_sentences, tokenize
+from tessera.plans import retrieval as R
+from tessera.plans import tagging as TG
+from tessera.plans.corpus import bigint, docs
+from tessera.plans.readers import NEWS_CONTENT_SQL, news_content, strip_sql
+from tessera.plans.registry import ORACLES, register
+from tessera.plans.sqlfrag import sentences_cte, tokens_cte
+from tessera.plans.util import materialize, read_table, scratch_path
+from tessera.sources.readers import parse_news
+from tessera.sources.sinks import read_packs, write_packs
+from tessera.streaming.jobs import stream_corpus, stream_table
+
+
+@register("packs_json", sql=f"""WITH {tokens_cte("documents")}, {sentences_cte()}
+SELECT CAST(d.doc_id AS VARCHAR) AS pack_name, d.source, md5(d.text) AS text_md5,
+       CAST(count(s.sent_idx) AS BIGINT) AS n_annotations, CAST(coalesce(sum(s."end" - s.begin), 0) AS BIGINT) AS covered
+FROM documents d LEFT JOIN sentences s USING (doc_id) GROUP BY d.doc_id, d.source, d.text""")
+def q_packs_json(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    sents = split_sentences(tokenize(d)).select(F.col("doc_id").cast("string").alias("pack_name"),
+                                                F.lit("Sentence").alias("type"), "begin", "end")
+    path = scratch_path(spark, "packs")
+    write_packs(d.withColumn("pack_name", F.col("doc_id").cast("string")), sents, path, gzip=True)
+    rd, ra = read_packs(spark, path)
+    n = ra.groupBy("pack_name").agg(F.count(F.lit(1)).alias("n_annotations"),
+                                    F.sum(F.col("end") - F.col("begin")).alias("covered"))
+    out = rd.join(n, "pack_name", "left").select(
+        "pack_name", "source", F.md5("text").alias("text_md5"),
+        F.coalesce("n_annotations", F.lit(0)).alias("n_annotations"), F.coalesce("covered", F.lit(0)).alias("covered"))
+    return bigint(out, "n_annotations", "covered")
+
+
+@register("stream_news", sql=f"""
+WITH c AS (SELECT doc_id, {NEWS_CONTENT_SQL} AS content FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(content || chr(10), '\\r\\n|\\r|\\n'), lambda x: {strip_sql('x')}),
+                                 lambda x: x <> '' AND NOT starts_with(x, '--')) AS ls FROM c)
+SELECT doc_id, md5(array_to_string(ls, chr(10))) AS text_md5, CAST(len(ls) AS BIGINT) AS n_lines FROM l""")
+def q_stream_news(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    src = scratch_path(spark, "news-in")
+    news_content(d).withColumn("doc_id", F.regexp_extract("file", r"([0-9]+)", 1)).select(
+        "doc_id", "content").write.partitionBy("doc_id").text(src)
+    out = stream_corpus(spark, src, scratch_path(spark, "news-out"), scratch_path(spark, "news-ckpt"),
+                        lambda b: parse_news(b), max_files=max(1, d.count() // 4))
+    return bigint(out.select(F.regexp_extract("file", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+                             F.md5("text").alias("text_md5"), F.size(F.split("text", "\n")).alias("n_lines")),
+                  "n_lines")
+
+
+@register("stream_search")
+def q_stream_search(spark, sf):
+    idx = R._index(spark, sf)
+    src = scratch_path(spark, "questions-in")
+    R.phrases(spark).repartition(3).write.parquet(src)
+    out = stream_table(spark, src, "question_id string, query string", scratch_path(spark, "search-out"),
+                       scratch_path(spark, "search-ckpt"), lambda b: search(idx, b, R.TOP_K, R.SLOP))
+    return bigint(out.select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"), "width"),
+                  "rank", "width")
+
+
+ORACLES["stream_search"] = ORACLES["search"]
+
+
+@register("stream_index")
+def q_stream_index(spark, sf):
+    d = docs(spark, sf)
+    src = scratch_path(spark, "docs-in")
+    d.repartition(4).write.parquet(src)
+    out = stream_table(spark, src, "doc_id bigint, text string", scratch_path(spark, "postings-out"),
+                       scratch_path(spark, "postings-ckpt"),
+                       lambda b: build_index(tokenize(b)).postings, max_files=1)
+    res = out.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return bigint(res, "df", "cf", "max_tf")
+
+
+ORACLES["stream_index"] = ORACLES["index_stats"]
+
+
+@register("stream_scores")
+def q_stream_scores(spark, sf):
+    from tessera.operators.evaluate import match_counts, prf
+    from tessera.operators.tags import fit_tagger, iob_decode, predict_tags, bio_encode
+    from tessera.operators.tokens import with_sentence_idx
+    lab, runs = TG.labelled(spark, sf)
+    model = materialize(fit_tagger(lab.where(F.col("doc_id") % 5 != 0)), "model")
+    src = scratch_path(spark, "test-docs-in")
+    docs(spark, sf).where(F.col("doc_id") % 5 == 0).repartition(4).write.parquet(src)
+
+    def score(batch):
+        tok = with_sentence_idx(tokenize(batch))
+        r = TG.reference_runs(tok)
+        pred = predict_tags(bio_encode(tok, r), model)
+        ps = iob_decode(pred, label="pred", segment="sent_idx").select("doc_id", "begin", "end", "ner_type")
+        return match_counts(r, ps)
+
+    counts = stream_table(spark, src, "doc_id bigint, text string", scratch_path(spark, "scores-out"),
+                          scratch_path(spark, "scores-ckpt"), score, max_files=1)
+    totals = counts.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("exact", "n_ref", "n_pred")])
+    r = prf(totals)
+    return r.select("exact", "n_ref", "n_pred", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+ORACLES["stream_scores"] = ORACLES["tagger_eval"]
