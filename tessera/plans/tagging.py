@@ -42,7 +42,7 @@ from tessera.operators.tags import (  # noqa: E402
 from tessera.operators.tokens import tokenize, with_sentence_idx  # noqa: E402
 from tessera.plans.registry import register  # noqa: E402
 from tessera.plans.sqlfrag import sentences_cte, tokens_cte  # noqa: E402
-from tessera.plans.util import read_table  # noqa: E402
+from tessera.plans.util import materialize, read_table  # noqa: E402
 
 CAP = "regexp_matches(token, '^\\p{Lu}')"
 TYPE_SQL = """CASE WHEN substring({x}, 1, 1) BETWEEN 'A' AND 'F' THEN 'PER'
@@ -102,9 +102,9 @@ def labelled(spark, sf):
     """Tokens with sentence ordinal, shape and the BIO label of capitalised
     runs (the reference annotation of the tagging queries)."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    tok = with_sentence_idx(tokenize(d))
-    runs = reference_runs(tok)
-    return bio_encode(tok, runs), runs
+    tok = materialize(with_sentence_idx(tokenize(d)), "tokens")
+    runs = materialize(reference_runs(tok), "runs")
+    return materialize(bio_encode(tok, runs), "labelled"), runs
 
 
 def reference_runs(tok):
