@@ -219,3 +219,63 @@ def q_original_span(spark, sf):
     cols = ["tok_idx", "begin", "end"] + [f"{p}_{m}" for p in ("begin", "end")
                                           for m in ("relaxed", "strict", "backward", "forward")]
     return bigint(out.select("doc_id", *cols), *cols)
+
+
+# ----------------------------------------------------------- S13 / S2 / W1
+
+@register("page_names", sql=f"""WITH {tokens_cte("(SELECT page_id, html FROM pages)", "page_id", "html")}
+SELECT p.page_id, string_split(regexp_replace(p.url, '[?#].*$', ''), '/')[-1] AS name_full,
+       regexp_replace(string_split(regexp_replace(p.url, '[?#].*$', ''), '/')[-1], '\\.[^.]*$', '') AS name_stem,
+       CAST(count(t.tok_idx) AS BIGINT) AS n_tokens, CAST(count(t.word_idx) AS BIGINT) AS n_words
+FROM pages p LEFT JOIN tokens t USING (page_id) GROUP BY p.page_id, p.url""")
+def q_page_names(spark, sf):
+    """Second corpus through ``from_table``: pack names from the URL path
+    (S2 ``full`` and ``stem`` rules) and token counts of the raw page."""
+    from tessera.functions.text import pack_name
+    from tessera.sources.readers import from_table
+    p = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    d = from_table(p, "page_id", "html")
+    t = tokenize(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("word_idx").alias("n_words"))
+    path = F.regexp_replace("url", r"[?#].*$", "")
+    out = p.select(F.col("page_id").alias("doc_id"), pack_name(path, "full").alias("name_full"),
+                   pack_name(path, "stem").alias("name_stem")).join(t, "doc_id", "left")
+    return bigint(out.select(F.col("doc_id").alias("page_id"), "name_full", "name_stem",
+                             F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+                             F.coalesce("n_words", F.lit(0)).alias("n_words")), "n_tokens", "n_words")
+
+
+def conversation_documents(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Multi-part documents: one document per conversation, turns joined by
+    ``\\n`` in turn order; turn spans from a running sum of lengths (W1).
+    The window is per conversation (bounded by one conversation)."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = conv.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("begin", F.coalesce(F.sum(F.length("text") + 1).over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    spans = t.select("conv_id", "turn", "role", "begin", (F.col("begin") + F.length("text")).cast("int").alias("end"))
+    d = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
+                                                          lambda x: x["text"]), "\n").alias("text"))
+    return d, spans
+
+
+@register("conversation_turns", sql=f"""WITH
+c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT conv_id, turn, role, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin, length(text) AS len FROM c),
+d AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM c GROUP BY conv_id),
+{tokens_cte("d", "conv_id", "text")}
+SELECT s.conv_id, CAST(s.turn AS BIGINT) AS turn, s.role, s.begin, CAST(s.begin + s.len AS BIGINT) AS "end",
+       CAST(count(t.tok_idx) AS BIGINT) AS n_tokens
+FROM s LEFT JOIN tokens t ON t.conv_id = s.conv_id AND t.begin >= s.begin AND t."end" <= s.begin + s.len
+GROUP BY s.conv_id, s.turn, s.role, s.begin, s.len""")
+def q_conversation_turns(spark, sf):
+    conv = read_table(spark, sf, "conversations")
+    d, spans = conversation_documents(conv)
+    tok = tokenize(d, key="conv_id")
+    pairs = covered_by(spans.select("conv_id", "turn", F.col("begin").alias("o_begin"), F.col("end").alias("o_end")),
+                       tok.select("conv_id", "tok_idx", F.col("begin").alias("i_begin"), F.col("end").alias("i_end")),
+                       key="conv_id")
+    n = pairs.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_tokens"))
+    out = spans.join(n, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", "begin", "end", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    return bigint(out, "turn", "begin", "end", "n_tokens")
