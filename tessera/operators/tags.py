@@ -176,3 +176,27 @@ def group_sentences(sentences: DataFrame, n: int, key: str = "doc_id", ordinal:
     g = F.floor((F.col(ordinal) + (1 if compat else 0)) / n).cast("int")
     return sentences.groupBy(key, g.alias("group")).agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_sentences"))
+
+
+def train_and_score(train_units: DataFrame, valid_units: DataFrame, valid_ref: DataFrame,
+                    key: str = "doc_id", segment: str = "sent_idx") -> DataFrame:
+    """Fit on the training units, predict the validation units, decode
+    and score against the validation reference spans: one row with
+    ``exact, n_ref, n_pred, precision, recall, f1, accuracy`` (a count model
+    has no epochs, so this is a single pass)."""
+    from tessera.operators.evaluate import match_counts, prf
+    model = fit_tagger(train_units)
+    pred = predict_tags(valid_units, model)
+    spans = iob_decode(pred, key=key, label="pred", segment=segment).select(key, "begin", "end", "ner_type")
+    acc = pred.agg((F.avg((F.col("label") == F.col("pred")).cast("double")) * 100).alias("accuracy"))
+    return prf(match_counts(valid_ref, spans, key)).crossJoin(acc)
+
+
+def predict_with(units: DataFrame, fn, schema: str) -> DataFrame:
+    """Extension slot for an external per-batch predictor (§2.13): ``fn``
+    maps a pandas DataFrame of units to a pandas DataFrame of predictions
+    (Arrow batches via ``mapInPandas``; Spark partitions the work)."""
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf)
+    return units.mapInPandas(run, schema)

@@ -281,3 +281,21 @@ def q_group_sentences(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     g = group_sentences(split_sentences(tokenize(d)), 3)
     return _big(g, "group", "begin", "end", "n_sentences")
+
+
+@register("train_and_score", sql=f"""WITH {MODEL_SQL},
+s AS (SELECT CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(n_ref) AS BIGINT) AS n_ref, CAST(sum(n_pred) AS BIGINT) AS n_pred FROM counts),
+a AS (SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) * 100 AS accuracy FROM pred)
+SELECT exact, n_ref, n_pred,
+       round(CASE WHEN n_pred = 0 THEN 0.0 ELSE exact / n_pred END * 100, 6) AS precision,
+       round(CASE WHEN n_ref = 0 THEN 0.0 ELSE exact / n_ref END * 100, 6) AS recall,
+       round(CASE WHEN exact = 0 THEN 0.0 ELSE 2.0 * exact / (n_pred + n_ref) END * 100, 6) AS f1,
+       round(accuracy, 6) AS accuracy
+FROM s, a""")
+def q_train_and_score(spark, sf):
+    from tessera.operators.tags import train_and_score
+    lab, runs = labelled(spark, sf)
+    test = F.col("doc_id") % 5 == 0
+    r = train_and_score(lab.where(~test), lab.where(test), runs.where(test))
+    return r.select("exact", "n_ref", "n_pred",
+                    *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])

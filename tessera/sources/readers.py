@@ -357,3 +357,18 @@ def from_table(df: DataFrame, id_col: str, text_col: str, source: str | None = N
 def read_questions(df: DataFrame, id_col: str = "question_id", text_col: str = "text") -> DataFrame:
     """Questions from any DataFrame or stream, one per row."""
     return df.select(F.col(id_col).alias("question_id"), F.col(text_col).alias("text"))
+
+
+def split_bad_records(lines: DataFrame, rules: dict, file_col: str = "file", record_col: str = "line"):
+    """Route malformed lines to quarantine (S9). ``rules`` maps a reason to
+    a boolean column that is true for a *bad* line; the first matching
+    reason is kept. Returns ``(good, quarantine(file, record, reason))``."""
+    reason = F.lit(None).cast("string")
+    for r, cond in reversed(list(rules.items())):
+        reason = F.when(cond, F.lit(r)).otherwise(reason)
+    tagged = lines.withColumn("_reason", reason)
+    good = tagged.where(F.col("_reason").isNull()).drop("_reason")
+    bad = tagged.where(F.col("_reason").isNotNull()).select(
+        F.col(file_col).cast("string").alias("file"), F.col(record_col).cast("string").alias("record"),
+        F.col("_reason").alias("reason"))
+    return good, bad

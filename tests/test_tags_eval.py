@@ -62,3 +62,28 @@ def test_match_counts_prf(spark, ref, pred, counts, scores):
     row = prf(match_counts(r, p)).first()
     assert (row["exact"], row["n_ref"], row["n_pred"]) == counts
     assert tuple(round(row[c], 5) for c in ("precision", "recall", "f1")) == tuple(round(s, 5) for s in scores)
+
+
+def test_train_and_score_and_predictor_slot(spark):
+    from tessera.operators.tags import predict_with, train_and_score
+    rows = [(1, i, 2 * i, 2 * i + 1, t, lab, 0) for i, (t, lab) in enumerate(
+        [("Paris", "B-LOC"), ("is", "O"), ("big", "O"), ("Rome", "B-LOC")])]
+    sch = "doc_id int, tok_idx int, begin int, end int, token string, label string, sent_idx int"
+    units = spark.createDataFrame(rows, sch)
+    ref = spark.createDataFrame([(1, 0, 1, "LOC"), (1, 6, 7, "LOC")], "doc_id int, begin int, end int, ner_type string")
+    r = train_and_score(units, units, ref).first()
+    assert (r["exact"], r["n_ref"], r["n_pred"], r["accuracy"]) == (2, 2, 2, 100.0)
+    out = predict_with(units.select("doc_id", "tok_idx", "token"),
+                       lambda pdf: pdf.assign(pred=pdf.token.str.upper()), "doc_id int, tok_idx int, token string, pred string")
+    assert sorted(x["pred"] for x in out.collect()) == ["BIG", "IS", "PARIS", "ROME"]
+
+
+def test_split_bad_records(spark):
+    from pyspark.sql import functions as F
+    from tessera.sources.readers import split_bad_records
+    lines = spark.createDataFrame([("f", "T1 A 0 5 x"), ("f", "T2"), ("f", "Tx A 1 2 y")], "file string, line string")
+    parts = F.split("line", " ")
+    good, bad = split_bad_records(lines, {"short": F.size(parts) < 4,
+                                          "bad id": ~F.substring(F.element_at(parts, 1), 2, 9).rlike("^[0-9]+$")})
+    assert [r["line"] for r in good.collect()] == ["T1 A 0 5 x"]
+    assert sorted(r["reason"] for r in bad.collect()) == ["bad id", "short"]
