@@ -23,6 +23,22 @@ def capital_runs(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
             .drop("_grp"))
 
 
+def capital_labels(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """BIO label of capitalised runs straight from the run-detection
+    windows (same labels as ``bio_encode`` with the run spans, without the
+    range join): used to build the tagging fixtures."""
+    w = Window.partitionBy(key).orderBy("tok_idx")
+    t = tokens.withColumn("_cap", F.col("token").rlike(r"^\p{Lu}"))
+    t = t.withColumn("_brk", F.when(F.col("_cap") & F.coalesce(F.lag("_cap").over(w), F.lit(False))
+                                    & (F.lag("end").over(w) + 1 == F.col("begin")), 0).otherwise(1))
+    t = t.withColumn("_first", F.last(F.when(F.col("_cap") & (F.col("_brk") == 1), F.col("token")), ignorenulls=True)
+                     .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    lab = (F.when(~F.col("_cap"), F.lit("O"))
+           .when(F.col("_brk") == 1, F.concat(F.lit("B-"), run_type(F.col("token"))))
+           .otherwise(F.concat(F.lit("I-"), run_type(F.col("_first")))))
+    return t.withColumn("label", lab).drop("_cap", "_brk", "_first")
+
+
 def run_type(first_text):
     """Entity type of a capitalised run by its initial letter (test rule)."""
     c = F.substring(first_text, 1, 1)
@@ -102,9 +118,9 @@ def labelled(spark, sf):
     """Tokens with sentence ordinal, shape and the BIO label of capitalised
     runs (the reference annotation of the tagging queries)."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    tok = materialize(with_sentence_idx(tokenize(d)), "tokens")
-    runs = materialize(reference_runs(tok), "runs")
-    return materialize(bio_encode(tok, runs), "labelled"), runs
+    lab = materialize(capital_labels(with_sentence_idx(tokenize(d))), "labelled")
+    runs = materialize(reference_runs(lab), "runs")
+    return lab, runs
 
 
 def reference_runs(tok):
@@ -127,7 +143,9 @@ SELECT doc_id, CAST(min(begin) AS BIGINT) AS begin, CAST(max("end") AS BIGINT) A
        string_split(arg_min(label, tok_idx), '-')[-1] AS ner_type, CAST(count(*) AS BIGINT) AS n_units
 FROM isl GROUP BY doc_id, g HAVING string_split(arg_min(label, tok_idx), '-')[-1] <> 'O'""")
 def q_bio_roundtrip(spark, sf):
-    lab, _ = labelled(spark, sf)
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    tok = with_sentence_idx(tokenize(d))
+    lab = bio_encode(tok, reference_runs(tok))
     sp = iob_decode(lab, segment="sent_idx")
     return _big(sp.select("doc_id", "begin", "end", "ner_type", "n_units"), "begin", "end", "n_units")
 
