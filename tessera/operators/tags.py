@@ -77,11 +77,11 @@ def iob_decode(units: DataFrame, key: str = "doc_id", unit_idx: str = "tok_idx",
 
 def build_vocab(tags: DataFrame, tag: str = "label") -> DataFrame:
     """Distinct tags -> dense ids by frequency (desc) then name:
-    ``tag, id, n``. The ordering window runs over the distinct tags only
-    (a handful of rows), never over units."""
+    ``tag, id, n``. Ids come from a distributed sort (no single-partition
+    window), so a linking vocabulary of millions of entity tags is fine."""
+    from tessera.plans.util import dense_ids
     counts = tags.groupBy(F.col(tag).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("n").desc(), F.col("tag"))
-    return counts.where(F.col("tag").isNotNull()).withColumn("id", (F.row_number().over(w) - 1).cast("int"))
+    return dense_ids(counts.where(F.col("tag").isNotNull()), [F.col("n").desc(), F.col("tag")])
 
 
 def index_tags(units: DataFrame, vocab: DataFrame, tag: str = "label") -> DataFrame:

@@ -38,3 +38,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def dense_ids(df: DataFrame, order: list, name: str = "id") -> DataFrame:
+    """Consecutive ids ``0..n-1`` in the order of ``order`` (which must be a
+    total order) without a single-partition window: a range-partitioned
+    sort, one small count per partition, and each row's position inside
+    its partition. Only the per-partition counts (one row per partition)
+    are broadcast."""
+    from pyspark.sql import Window
+
+    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_pos", F.monotonically_increasing_id())
+    s = materialize(s, "dense-ids")  # fix partition membership and positions
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    out = s.join(F.broadcast(offs.select("_pid", "_off", "_p0")), "_pid")
+    return out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("int")).drop(
+        "_pid", "_pos", "_off", "_p0")

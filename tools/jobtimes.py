@@ -18,10 +18,11 @@ for f in sorted(glob.glob(sys.argv[1] + "/*/events*")):
         except ValueError:
             continue
         if e["Event"] == "SparkListenerJobStart":
-            jobs[e["Job ID"]] = [e["Submission Time"], None, e.get("Properties", {}).get("callSite.short", ""),
+            names = [si.get("Stage Name", "") + "/" + str(si.get("Number of Tasks")) for si in e.get("Stage Infos", [])]
+            jobs[e["Job ID"]] = [e["Submission Time"], None, " | ".join(names),
                                  len(e.get("Stage IDs", []))]
         elif e["Event"] == "SparkListenerJobEnd":
             jobs[e["Job ID"]][1] = e["Completion Time"]
 t0 = min(v[0] for v in jobs.values())
 for k, v in sorted(jobs.items()):
-    print(k, round((v[0] - t0) / 1000, 2), round(((v[1] or v[0]) - v[0]) / 1000, 2), v[3], v[2][:90])
+    print(k, round((v[0] - t0) / 1000, 2), round(((v[1] or v[0]) - v[0]) / 1000, 2), v[3], v[2][:160])
