@@ -212,8 +212,10 @@ FROM ntok t JOIN map_begin USING (doc_id, tok_idx) JOIN map_end USING (doc_id, t
 def q_original_span(spark, sf):
     from tessera.operators.edits import original_span, replace_spans
     d = docs(spark, sf)
-    nd, segs, _ = replace_spans(d, digit_ops(tokenize(d)))
-    nd, segs = materialize(nd, "edited"), materialize(segs, "segments")
+    from tessera.operators.edits import apply_segments
+    _, segs, _ = replace_spans(d, digit_ops(tokenize(d)))
+    segs = materialize(segs, "segments")
+    nd = materialize(apply_segments(d, segs), "edited")
     nt = tokenize(nd).select("doc_id", "tok_idx", "begin", "end")
     out = original_span(segs, nt)
     cols = ["tok_idx", "begin", "end"] + [f"{p}_{m}" for p in ("begin", "end")
