@@ -40,7 +40,7 @@ def bio_encode(units: DataFrame, mentions: DataFrame, attr: str = "ner_type",
 
 
 def iob_decode(units: DataFrame, key: str = "doc_id", unit_idx: str = "tok_idx",
-               label: str = "label", segment: str | None = None) -> DataFrame:
+               label: str = "label", segment: str | None = None, compat: bool = False) -> DataFrame:
     """Mentions from unit labels (A12), gaps-and-islands.
 
     A unit starts a new span when it is the first (of the document or of
@@ -49,6 +49,10 @@ def iob_decode(units: DataFrame, key: str = "doc_id", unit_idx: str = "tok_idx",
     after the last ``-``) differs from the open span's type. Other prefixes
     never break. Spans of type ``O`` and null labels are dropped.
     Output: ``key, begin, end, ner_type, first_unit, last_unit, n_units``.
+
+    ``compat=True`` reproduces the reference reader: a span still open at
+    the end of the document is dropped (Q1) and, with ``segment=None``,
+    spans run on across sentence ends (Q5).
     """
     w = Window.partitionBy(key).orderBy(unit_idx)
     u = units.withColumn("_t", last_dash_part(label)).withColumn("_p", F.substring(label, 1, 1))
@@ -68,9 +72,11 @@ def iob_decode(units: DataFrame, key: str = "doc_id", unit_idx: str = "tok_idx",
         F.min("begin").alias("begin"), F.max("end").alias("end"),
         F.min(unit_idx).alias("first_unit"), F.max(unit_idx).alias("last_unit"),
         F.count(F.lit(1)).alias("n_units"))
-    return (isl.where(F.col("_h.l").isNotNull() & (F.col("_h.t") != "O"))
-            .select(key, "begin", "end", F.col("_h.t").alias("ner_type"), "first_unit", "last_unit",
-                    "n_units"))
+    out = isl.where(F.col("_h.l").isNotNull() & (F.col("_h.t") != "O"))
+    if compat:
+        last = u.groupBy(key).agg(F.max(unit_idx).alias("_last"))
+        out = out.join(last, key).where(F.col("last_unit") < F.col("_last")).drop("_last")
+    return out.select(key, "begin", "end", F.col("_h.t").alias("ner_type"), "first_unit", "last_unit", "n_units")
 
 
 # ------------------------------------------------------------- vocabulary

@@ -39,3 +39,13 @@ def test_question_analysis(spark):
     assert got["c"]["answer_is_arg0"] is None and got["c"]["query"] == "covid caused fever"
     assert got["a"]["verb_lemma"] == "cause"
     assert [r["file"] for r in bad.collect()] == ["d"]
+
+
+def test_question_compat_last_verb(spark):
+    lex = spark.createDataFrame([("is", "VBZ", "be"), ("caused", "VBD", "cause")], "form string, pos string, lemma string")
+    # last verb "caused" has no right argument: default falls back to "is", compat quarantines
+    qs = spark.createDataFrame([("a", "flu is bad caused")], "question_id string, text string")
+    parsed, bad = analyse_questions(qs, lex)
+    assert [r["predicate"] for r in parsed.collect()] == ["is"]
+    parsed_c, bad_c = analyse_questions(qs, lex, compat=True)
+    assert parsed_c.count() == 0 and bad_c.count() == 1

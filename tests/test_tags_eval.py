@@ -87,3 +87,10 @@ def test_split_bad_records(spark):
                                           "bad id": ~F.substring(F.element_at(parts, 1), 2, 9).rlike("^[0-9]+$")})
     assert [r["line"] for r in good.collect()] == ["T1 A 0 5 x"]
     assert sorted(r["reason"] for r in bad.collect()) == ["bad id", "short"]
+
+
+def test_iob_decode_compat_drops_open_mention(spark):
+    u = _units(spark, ["O", "B-LOC"])
+    assert _spans(iob_decode(u, compat=True)) == []
+    u2 = _units(spark, ["B-X", "I-X", "O"], [0, 1, 1])
+    assert _spans(iob_decode(u2, compat=True)) == [(0, 1, "X")]  # runs on across the sentence end (Q5)
