@@ -159,7 +159,11 @@ def predict_tags(units: DataFrame, model: DataFrame, form: str = "token", defaul
     ms = model.where(F.col("level") == "shape").select(F.col("feature").alias("_s"), F.col("tag").alias("_ts"))
     from tessera.plans.util import maybe_broadcast
     u = units.withColumn("_shape", shape(form))
-    u = u.join(mf, u[form] == mf["_f"], "left").join(maybe_broadcast(ms), F.col("_shape") == F.col("_s"), "left")
+    # the form lexicon is broadcast when its size check passes (no shuffle of
+    # the units on a hot form such as "the"); otherwise a shuffle join, where
+    # AQE's skew handling splits the hot partition
+    u = (u.join(maybe_broadcast(mf), u[form] == F.col("_f"), "left")
+         .join(maybe_broadcast(ms), F.col("_shape") == F.col("_s"), "left"))
     return u.withColumn(out, F.coalesce("_tf", "_ts", F.lit(default))).drop("_f", "_tf", "_s", "_ts", "_shape")
 
 
