@@ -128,6 +128,16 @@ def parse_papers(papers: DataFrame, file_col: str = "file") -> tuple[DataFrame,
     return docs.drop("_t", "_a", "_b"), anns
 
 
+def read_conll(spark: SparkSession, path: str, ext: str = ".conll",
+               column_format=("word", None, None, "entity_label"), doc_break: str | None = DOC_BREAK,
+               n_sent_per_doc: int = 0) -> DataFrame:
+    """Column files on disk -> units (S7). The marker layout is scanned line
+    by line in splits; the n-sentence layout reads each file whole."""
+    if doc_break:
+        return conll_units(scan_lines(spark, path, ext), column_format, doc_break, 0, lines_given=True)
+    return conll_units(list_corpus(spark, path, ext), column_format, None, n_sent_per_doc)
+
+
 def read_papers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = (spark.read.schema(PAPER_SCHEMA).option("multiLine", "true")
             .option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(path)
@@ -251,16 +261,53 @@ def check_conll_args(column_format, doc_break, n_sent_per_doc):
         raise ValueError("give doc_break or n_sent_per_doc > 0")
 
 
+def scan_lines(spark: SparkSession, path: str, ext: str) -> DataFrame:
+    """Splittable line scan keeping order: ``file, block, pos, line`` where
+    ``block`` is the byte offset of the input split and ``pos`` increases
+    with the line's position inside the split."""
+    glob = "*" + (ext if ext.startswith(".") else "." + ext)
+    r = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path))
+    return r.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+
+
+def content_lines(files: DataFrame, file_col: str = "file", content_col: str = "content") -> DataFrame:
+    """In-memory file contents as ``file, block, pos, line`` (one block)."""
+    return files.select(F.col(file_col).alias("file"), F.lit(0).cast("long").alias("block"),
+                        F.posexplode(_lines(F.col(content_col))).alias("pos", "line"))
+
+
+def number_documents(lines: DataFrame, doc_break: str) -> DataFrame:
+    """``doc_ord`` for every line = number of ``doc_break`` lines at or
+    before it in its file. Counted per split (a window over one split),
+    then offset by the markers of earlier splits of the same file (one row
+    per split, broadcast) — no window ever spans a whole file. Marker lines
+    are dropped."""
+    mark = F.col("line").contains(doc_break).cast("int")
+    wb = Window.partitionBy("file", "block").orderBy("pos")
+    l2 = lines.withColumn("_m", mark).withColumn(
+        "_in", F.sum("_m").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    per = lines.withColumn("_m", mark).groupBy("file", "block").agg(F.sum("_m").alias("_n"))
+    wf = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.withColumn("_off", F.coalesce(F.sum("_n").over(wf), F.lit(0))).select("file", "block", "_off")
+    from tessera.plans.util import maybe_broadcast
+    out = l2.join(maybe_broadcast(offs), ["file", "block"])
+    return (out.where(F.col("_m") == 0)
+            .select("file", "block", "pos", "line", (F.col("_off") + F.col("_in")).cast("int").alias("doc_ord")))
+
+
 def conll_units(files: DataFrame, column_format=("word", None, None, "entity_label"),
                 doc_break: str | None = DOC_BREAK, n_sent_per_doc: int = 0,
-                file_col: str = "file", content_col: str = "content") -> DataFrame:
+                file_col: str = "file", content_col: str = "content", lines_given: bool = False) -> DataFrame:
     """Column-format files -> one row per word:
     ``file, doc_ord, sent_ord, tok_idx, begin, end, word, label, pos``.
 
     Documents are split at lines containing ``doc_break`` or every
     ``n_sent_per_doc`` sentences; blank lines end sentences; ``#`` lines are
     comments. ``begin`` = sum of previous word lengths + 1 each (W1); all
-    windows are per document.
+    windows are per document. With ``lines_given`` the input is already
+    ``file, block, pos, line`` (see :func:`scan_lines`): a huge file is then
+    read in parallel splits in the marker layout.
     """
     check_conll_args(column_format, doc_break, n_sent_per_doc)
     cf = list(column_format)
@@ -268,14 +315,15 @@ def conll_units(files: DataFrame, column_format=("word", None, None, "entity_lab
     i_pos = cf.index("pos") + 1 if "pos" in cf else None
     lines = _lines(F.col(content_col))
     if doc_break:
-        # block = doc_ord; line order kept by posexplode
-        blocks = files.select(file_col, F.posexplode(
-            F.split(F.col(content_col), r"(?m)^[^\n]*" + re.escape(doc_break) + r"[^\n]*$")).alias("doc_ord", "blk"))
-        rows = blocks.select(file_col, "doc_ord", F.posexplode(_lines(F.col("blk"))).alias("line_no", "line"))
+        lines_df = files if lines_given else content_lines(files, file_col, content_col)
+        rows = number_documents(lines_df, doc_break)
         rows = rows.withColumn("line", py_strip("line"))
-        w = Window.partitionBy(file_col, "doc_ord").orderBy("line_no")
+        w = Window.partitionBy("file", "doc_ord").orderBy("block", "pos")
         rows = rows.withColumn("sent_ord", F.sum((F.col("line") == "").cast("int")).over(
             w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("line_no", F.row_number().over(w)).drop("block", "pos")
+        if file_col != "file":
+            rows = rows.withColumnRenamed("file", file_col)
     else:
         sents = files.select(file_col, F.posexplode(
             F.split(F.col(content_col), r"\n" + PY_WS + r"*\n")).alias("s", "blk"))
@@ -317,16 +365,17 @@ def conll_documents(units: DataFrame, file_col: str = "file") -> tuple[DataFrame
 
 
 def parse_links(files: DataFrame, file_col: str = "file", content_col: str = "content",
-                doc_break: str = DOC_BREAK) -> DataFrame:
+                doc_break: str = DOC_BREAK, lines_given: bool = False) -> DataFrame:
     """``.link.tsv`` side file -> ``file, doc_ord, token_idx, yago2_entity,
     wiki_url, wiki_id, freebase_mid``; per token the last row wins; rows
-    with fewer than 4 fields (``--NME--``) give nulls (S8, J3)."""
-    blocks = files.select(file_col, F.posexplode(
-        F.split(F.col(content_col), r"(?m)^[^\n]*" + re.escape(doc_break) + r"[^\n]*$")).alias("doc_ord", "blk"))
-    rows = blocks.select(file_col, "doc_ord", F.posexplode(_lines(F.col("blk"))).alias("line_no", "line"))
+    with fewer than 4 fields (``--NME--``) give nulls (S8, J3). Documents
+    are numbered like the column file (split-wise marker counts), so a
+    large side file is read in parallel splits too."""
+    lines = files if lines_given else content_lines(files, file_col, content_col)
+    rows = number_documents(lines, doc_break)
     rows = rows.where(py_strip("line") != "").withColumn("f", F.split(py_strip("line"), "\t"))
     full = F.size("f") >= 4
-    rows = rows.select(file_col, "doc_ord", "line_no",
+    rows = rows.select(F.col("file").alias(file_col), "doc_ord", "block", "pos",
                        F.element_at("f", 1).try_cast("int").alias("token_idx"),
                        F.when(full, F.element_at("f", 2)).alias("yago2_entity"),
                        F.when(full, F.element_at("f", 3)).alias("wiki_url"),
@@ -334,7 +383,8 @@ def parse_links(files: DataFrame, file_col: str = "file", content_col: str = "co
                        F.when(F.size("f") >= 5, F.element_at("f", 5)).alias("freebase_mid"))
     return (rows.where(F.col("token_idx").isNotNull())
             .groupBy(file_col, "doc_ord", "token_idx")
-            .agg(F.max_by(F.struct("yago2_entity", "wiki_url", "wiki_id", "freebase_mid"), "line_no").alias("l"))
+            .agg(F.max_by(F.struct("yago2_entity", "wiki_url", "wiki_id", "freebase_mid"),
+                          F.struct("block", "pos")).alias("l"))
             .select(file_col, "doc_ord", "token_idx", "l.*"))
 
 

@@ -109,3 +109,32 @@ def test_links(spark):
     links = parse_links(spark.createDataFrame([("f", content)], "file string, content string"))
     got = {r["token_idx"]: (r["yago2_entity"], r["wiki_id"]) for r in links.collect()}
     assert got == {0: ("Y_b", 11), 2: (None, None)}
+
+
+def test_conll_split_scan_matches_whole_file(spark, tmpdir_fresh):
+    import os
+    from tessera.sources.readers import read_conll
+    blocks = []
+    for d in range(40):
+        sents = []
+        for s_ in range(3):
+            sents.append("\n".join(f"W{d}x{s_}x{i} NN - {'B-PER' if i == 0 else 'O'}" for i in range(6)))
+        blocks.append("-DOCSTART- -X- -X- O\n\n" + "\n\n".join(sents))
+    content = "\n\n".join(blocks) + "\n"
+    path = os.path.join(tmpdir_fresh, "c")
+    os.makedirs(path)
+    with open(os.path.join(path, "big.conll"), "w") as fh:
+        fh.write(content)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        u_split = read_conll(spark, path, ".conll", ("word", "pos", None, "entity_label"))
+        split_rows = sorted((r["doc_ord"], r["sent_ord"], r["tok_idx"], r["begin"], r["word"]) for r in u_split.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = conll_units(spark.createDataFrame([("big.conll", content)], "file string, content string"),
+                        ("word", "pos", None, "entity_label"))
+    whole_rows = sorted((r["doc_ord"], r["sent_ord"], r["tok_idx"], r["begin"], r["word"]) for r in whole.collect())
+    assert len(split_rows) == 40 * 3 * 6
+    assert [r[0] for r in split_rows] == [r[0] for r in whole_rows]
+    assert [(r[2], r[3], r[4]) for r in split_rows] == [(r[2], r[3], r[4]) for r in whole_rows]
