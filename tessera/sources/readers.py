@@ -131,11 +131,10 @@ def parse_papers(papers: DataFrame, file_col: str = "file") -> tuple[DataFrame,
 def read_conll(spark: SparkSession, path: str, ext: str = ".conll",
                column_format=("word", None, None, "entity_label"), doc_break: str | None = DOC_BREAK,
                n_sent_per_doc: int = 0) -> DataFrame:
-    """Column files on disk -> units (S7). The marker layout is scanned line
-    by line in splits; the n-sentence layout reads each file whole."""
-    if doc_break:
-        return conll_units(scan_lines(spark, path, ext), column_format, doc_break, 0, lines_given=True)
-    return conll_units(list_corpus(spark, path, ext), column_format, None, n_sent_per_doc)
+    """Column files on disk -> units (S7), scanned line by line in splits
+    for both layouts."""
+    return conll_units(scan_lines(spark, path, ext), column_format, doc_break,
+                       0 if doc_break else n_sent_per_doc, lines_given=True)
 
 
 def read_papers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -296,6 +295,38 @@ def number_documents(lines: DataFrame, doc_break: str) -> DataFrame:
             .select("file", "block", "pos", "line", (F.col("_off") + F.col("_in")).cast("int").alias("doc_ord")))
 
 
+def number_sentences(lines: DataFrame) -> DataFrame:
+    """0-based ``sent_ord`` for every token line of a column file: a token
+    line starts a sentence when the previous non-comment line is blank (or
+    it is the first). Starts are counted per split; the first line of a
+    split is fixed up from the previous split's last non-comment line, and
+    counts are offset by earlier splits (one row per split) — no window
+    spans a whole file. Blank and comment lines are dropped."""
+    ln = lines.withColumn("_s", py_strip("line")).where(~F.col("_s").startswith("#"))
+    ln = ln.withColumn("_blank", F.col("_s") == "")
+    wb = Window.partitionBy("file", "block").orderBy("pos")
+    ln = ln.withColumn("_prev_blank", F.lag("_blank").over(wb))
+    per = ln.groupBy("file", "block").agg(
+        F.max_by("_blank", "pos").alias("_last_blank"),
+        F.sum((~F.col("_blank") & F.coalesce(F.col("_prev_blank"), F.lit(False))).cast("int")).alias("_inner"),
+        F.min_by(~F.col("_blank"), "pos").alias("_first_tok"))
+    wf = Window.partitionBy("file").orderBy("block")
+    prev_last = F.lag("_last_blank").over(wf)
+    # first line of a split starts a sentence if it is a token line and the
+    # previous split ended blank (or there is none)
+    per = per.withColumn("_first_start", (F.col("_first_tok") & F.coalesce(prev_last, F.lit(True))).cast("int"))
+    per = per.withColumn("_n", F.col("_inner") + F.col("_first_start"))
+    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(wf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    from tessera.plans.util import maybe_broadcast
+    ln = ln.join(maybe_broadcast(per.select("file", "block", "_first_start", "_off")), ["file", "block"])
+    start = (~F.col("_blank") & F.when(F.col("_prev_blank").isNull(), F.col("_first_start") == 1)
+             .otherwise(F.col("_prev_blank")))
+    ln = ln.withColumn("_st", start.cast("int"))
+    ln = ln.withColumn("sent_ord", F.col("_off") + F.sum("_st").over(
+        wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    return ln.where(~F.col("_blank")).select("file", "block", "pos", "line", F.col("sent_ord").cast("long"))
+
+
 def conll_units(files: DataFrame, column_format=("word", None, None, "entity_label"),
                 doc_break: str | None = DOC_BREAK, n_sent_per_doc: int = 0,
                 file_col: str = "file", content_col: str = "content", lines_given: bool = False) -> DataFrame:
@@ -313,7 +344,6 @@ def conll_units(files: DataFrame, column_format=("word", None, None, "entity_lab
     cf = list(column_format)
     i_word, i_label = cf.index("word") + 1, cf.index("entity_label") + 1
     i_pos = cf.index("pos") + 1 if "pos" in cf else None
-    lines = _lines(F.col(content_col))
     if doc_break:
         lines_df = files if lines_given else content_lines(files, file_col, content_col)
         rows = number_documents(lines_df, doc_break)
@@ -325,20 +355,14 @@ def conll_units(files: DataFrame, column_format=("word", None, None, "entity_lab
         if file_col != "file":
             rows = rows.withColumnRenamed("file", file_col)
     else:
-        sents = files.select(file_col, F.posexplode(
-            F.split(F.col(content_col), r"\n" + PY_WS + r"*\n")).alias("s", "blk"))
-        sents = sents.where(F.size(F.filter(_lines(F.col("blk")), lambda x: (py_strip(x) != "")
-                                            & ~py_strip(x).startswith("#"))) > 0)
-        ws = Window.partitionBy(file_col).orderBy("s")
-        # ordinal among non-empty sentences of one file (the file is one
-        # partition of this window only in this n-sentence layout)
-        sents = sents.withColumn("sent_ord", F.row_number().over(ws) - 1)
-        sents = sents.withColumn("doc_ord", F.floor(F.col("sent_ord") / n_sent_per_doc))
-        rows = sents.select(file_col, "doc_ord", "sent_ord",
-                            F.posexplode(_lines(F.col("blk"))).alias("line_no", "line"))
+        lines_df = files if lines_given else content_lines(files, file_col, content_col)
+        rows = number_sentences(lines_df)
+        rows = rows.withColumn("doc_ord", F.floor(F.col("sent_ord") / n_sent_per_doc).cast("int"))
         rows = rows.withColumn("line", py_strip("line"))
-        rows = rows.withColumn("line_no", F.col("sent_ord") * 1_000_000 + F.col("line_no"))
-    del lines
+        w = Window.partitionBy("file", "doc_ord").orderBy("block", "pos")
+        rows = rows.withColumn("line_no", F.row_number().over(w)).drop("block", "pos")
+        if file_col != "file":
+            rows = rows.withColumnRenamed("file", file_col)
     rows = rows.where((F.col("line") != "") & ~F.col("line").startswith("#"))
     parts = py_split(F.col("line"))
     rows = rows.select(file_col, "doc_ord", "sent_ord", "line_no",

@@ -138,3 +138,28 @@ def test_conll_split_scan_matches_whole_file(spark, tmpdir_fresh):
     assert len(split_rows) == 40 * 3 * 6
     assert [r[0] for r in split_rows] == [r[0] for r in whole_rows]
     assert [(r[2], r[3], r[4]) for r in split_rows] == [(r[2], r[3], r[4]) for r in whole_rows]
+
+
+def test_conll_n_sentences_split_scan(spark, tmpdir_fresh):
+    import os
+    from tessera.sources.readers import read_conll
+    sents = []
+    for s_ in range(50):
+        body = "\n".join(f"w{s_}x{i} {'B-X' if i == 0 else 'O'}" for i in range(5))
+        sents.append(("# note\n" if s_ % 7 == 0 else "") + body)
+    content = "\n\n\n".join(sents) + "\n"
+    path = os.path.join(tmpdir_fresh, "n")
+    os.makedirs(path)
+    with open(os.path.join(path, "f.conll"), "w") as fh:
+        fh.write(content)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        u = read_conll(spark, path, ".conll", ("word", "entity_label"), doc_break=None, n_sent_per_doc=10)
+        docs, _ = conll_documents(u)
+        got = sorted((r["doc_ord"], r["n_sentences"], r["n_tokens"]) for r in docs.collect())
+        first = {r["doc_ord"]: r["text"].split(" ")[0] for r in docs.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(d, 10, 50) for d in range(5)]
+    assert first == {d: f"w{10 * d}x0" for d in range(5)}
