@@ -49,3 +49,15 @@ def test_question_compat_last_verb(spark):
     assert [r["predicate"] for r in parsed.collect()] == ["is"]
     parsed_c, bad_c = analyse_questions(qs, lex, compat=True)
     assert parsed_c.count() == 0 and bad_c.count() == 1
+
+
+def test_relations_by_text_compat(spark):
+    from tessera.operators.qa import relations
+    rows = [(1, 0, 4, 6, "is", "ARG0", 0, 3, "flu"), (1, 0, 4, 6, "is", "ARG1", 7, 10, "bad"),
+            (1, 0, 11, 13, "is", "ARG0", 7, 10, "bad"), (1, 0, 11, 13, "is", "ARG1", 14, 18, "here")]
+    links = spark.createDataFrame(rows, "doc_id int, sent_idx int, p_begin int, p_end int, p_text string, "
+                                        "arg_type string, a_begin int, a_end int, a_text string")
+    by_span = sorted((r["x0"], r["x1"]) for r in relations(links).collect())
+    assert by_span == [("bad", "here"), ("flu", "bad")]
+    by_text = [(r["x0"], r["x1"]) for r in relations(links, by_text=True).collect()]
+    assert by_text == [("bad", "here")]
