@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.tokens import tokenize
-from tessera.plans.util import maybe_broadcast, scratch_path
+from tessera.plans.util import is_small, scratch_path
 
 # BM25 parameters and the phrase slop of the question search.
 BM25_K1 = 1.2
@@ -91,7 +91,8 @@ def _corpus_stats(index: Index) -> DataFrame:
     return index.doc_stats.agg(F.count(F.lit(1)).alias("_N"), F.avg("n_tokens").alias("_avgdl"))
 
 
-def _scored_terms(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float) -> DataFrame:
+def _scored_terms(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float,
+                  small: bool | None = None) -> DataFrame:
     """Query terms joined to their postings, with the BM25 contribution of
     each distinct query term (repeated query terms count once):
     ``qkey, q_pos, term, key, positions, part``."""
@@ -102,7 +103,9 @@ def _scored_terms(index: Index, qterms: DataFrame, qkey: str, k1: float, b: floa
           .crossJoin(F.broadcast(_corpus_stats(index)))
           .withColumn("_first", first == F.col("q_pos"))
           .withColumn("_idf", F.log(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    tp = maybe_broadcast(qt).join(index.postings, "term")
+    # one row per query position: its size is that of ``qterms``
+    small = is_small(qterms) if small is None else small
+    tp = (F.broadcast(qt) if small else qt).join(index.postings, "term")
     tfn = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avgdl")))
     return tp.select(qkey, "q_pos", "term", key, "positions",
                      F.when(F.col("_first"), F.col("_idf") * tfn).otherwise(F.lit(0.0)).alias("part"))
@@ -114,13 +117,14 @@ def _per_doc(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float,
     query positions present ``got`` / needed ``need``, and the occurrence
     lists. Grouped on (question, document): never one group per question."""
     key = index.key
-    st = _scored_terms(index, qterms, qkey, k1, b)
+    small = is_small(qterms)
+    st = _scored_terms(index, qterms, qkey, k1, b, small)
     agg = st.groupBy(qkey, key).agg(
         F.sum("part").alias("score"),
         F.count(F.lit(1)).alias("got"),
         F.collect_list(F.struct("q_pos", "positions")).alias("occ"))
     need = qterms.groupBy(qkey).agg(F.count(F.lit(1)).alias("need"))
-    out = agg.join(maybe_broadcast(need), qkey)
+    out = agg.join(F.broadcast(need) if small else need, qkey)
     if require_all:
         out = out.where(F.col("got") == F.col("need"))
     return out
