@@ -11,7 +11,8 @@ import __spark_entry__ as E
 from tools.check import digest
 
 SF = "/root/testdata/sf0.001"
-FAST = ["tokenize_offsets", "sentences", "covered_by", "replace_spans", "bio_roundtrip", "search"]
+FAST = ["tokenize_offsets", "sentences", "covered_by", "replace_spans", "bio_roundtrip", "search", "packs_json",
+        "stream_index", "conll_docs"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("TESSERA_ORACLE_TESTS") == "all" else FAST
 
 
