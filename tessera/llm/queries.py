@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, mixing
+from tessera.llm import bpe, chat, fingerprints, mixing
 from tessera.llm.common import table, word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -24,6 +24,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_chat_format", chat.CHAT_SQL)
+def op1_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, rendered,
+    encoded, masked and read back."""
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema))
+    formatted = chat.format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.read_back(formatted).drop("n_tokens", "loss_tokens")
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and its ids decoded."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    return bpe.decode(coded, path, pattern).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op4_fingerprints")
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document and of its edited text."""
