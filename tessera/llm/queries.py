@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprints, mixing
+from tessera.llm import bpe, chat, fingerprints, mixing, quality
 from tessera.llm.common import table, word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -58,6 +58,14 @@ def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
                       "near_edited", "near_next")
 
 
+@query("op9_quality_rules")
+def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.apply_rules(docs, forest).drop("text", "score")
+
+
 @query("op10_mix_sources", mixing.MIX_SQL)
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3, repeating, by source."""
