@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprints, mixing, quality
+from tessera.llm import bpe, chat, fingerprints, html_text, line_templates, mixing, quality
 from tessera.llm.common import table, word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -58,6 +58,18 @@ def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
                       "near_edited", "near_next")
 
 
+@query("op5_html_text")
+def op5_html_text(spark, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query("op6_line_templates", line_templates.LINES_SQL)
+def op6_line_templates(spark, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
