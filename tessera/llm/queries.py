@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprints, html_text, line_templates, mixing, quality
+from tessera.llm import bpe, chat, fingerprints, html_text, line_templates, mixing, quality, toxicity
 from tessera.llm.common import table, word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -70,6 +70,16 @@ def op6_line_templates(spark, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of a fifth (by crc32 of the id) are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, index).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                                              "predicted", F.col("evidence.doc_id").alias("evidence"))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
