@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprints, html_text, line_templates, mixing, quality, toxicity
+from tessera.llm import bpe, chat, fingerprints, html_text, jaccard_join, line_templates, mixing, quality, toxicity
 from tessera.llm.common import table, word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -37,6 +37,13 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted).drop("n_tokens", "loss_tokens")
 
 
+@query("op2_jaccard_join", jaccard_join.JACCARD_SQL)
+def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document: five-word
+    shingles, similarity 0.8 or more."""
+    return jaccard_join.similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("gram_set")
+
+
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Every whole text encoded and its ids decoded."""
