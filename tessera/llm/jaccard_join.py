@@ -69,8 +69,8 @@ def labels_of(grams: np.ndarray, prefix: int, trees: int = TREES) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int, prefix: int) -> DataFrame:
-    """``doc_id``, ``gram_set`` (digest of the n-gram set, null without a
-    word), ``n_grams`` and ``labels`` of each document."""
+    """``doc_id``, ``text_hash``, ``gram_set`` (digest of the n-gram set, null
+    without a word), ``n_grams`` and ``labels`` of each document."""
     @F.pandas_udf("struct<gram_set:binary,n_grams:int,labels:binary>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
@@ -81,7 +81,8 @@ def _signed(docs: DataFrame, n: int, prefix: int) -> DataFrame:
                            if len(grams) else (None, 0, None))
             yield pd.DataFrame(out, columns=["gram_set", "n_grams", "labels"])
 
-    return docs.select("doc_id", sign(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sign(F.coalesce("text", F.lit(""))).alias("s")).select(
+        "doc_id", "text_hash", "s.*")
 
 
 def verify(ids: list[int], sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, right: np.ndarray,
@@ -120,12 +121,12 @@ def verify(ids: list[int], sets: list[np.ndarray], weights: np.ndarray, left: np
 
 def similar_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``,
-    ``gram_set``, ``class_id`` (least ``doc_id`` of the documents it is
+    ``text_hash``, ``class_key`` (one value per class), ``class_id`` (least ``doc_id`` of the documents it is
     connected with through links of at least ``similarity``, itself
     included) and ``n_links`` (other documents linked to it, copies too).
 
     A text without a word (null, empty) has no links and a null
-    ``gram_set``; a text of under ``n`` words links to its copies. Repeated
+    ``class_key``; a text of under ``n`` words links to its copies. Repeated
     rows are copies of one another. Rows without a ``doc_id`` take part;
     their class is null if no other member has one. Empty table: no rows.
     Columns other than ``doc_id`` and ``text`` are not read.
@@ -210,15 +211,33 @@ def similar_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     named = (classes.join(reps.select(F.col("rep").alias("node"), "least"), "node").groupBy("component")
              .agg(F.min("least").alias("class_id")))
     linked = (classes.join(named, "component").join(links, F.col("node") == F.col("rep"))
-              .select(F.col("node").alias("rep"), "class_id", "links"))
+              .select(F.col("node").alias("rep"), "component", "class_id", "links"))
     per_set = (reps.select("rep", "gram_set", "copies", "least").join(linked, "rep", "left")
-               .select("gram_set", F.coalesce("class_id", "least").alias("class_id"),
+               .select("gram_set", F.coalesce("component", "rep").alias("class_key"), F.coalesce("class_id", "least").alias("class_id"),
                        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return signed.select("doc_id", "gram_set").join(per_set, "gram_set", "left").select(
-        "doc_id", "gram_set", F.when(F.col("gram_set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return signed.select("doc_id", "text_hash", "gram_set").join(per_set, "gram_set", "left").select(
+        "doc_id", "text_hash", "class_key",
+        F.when(F.col("gram_set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def one_per_class(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """``docs`` without near-duplicates: of each class of
+    :func:`similar_classes` the document of least ``doc_id`` (nulls first,
+    then least hash of the text) stays, once. Documents without a word stay,
+    all of them. All columns pass through."""
+    classes = materialize(similar_classes(docs.select("doc_id", "text"), n, similarity, recall), "ngram-classes-of-documents")
+    stays = (classes.where("class_key is not null").groupBy("class_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+             .groupBy("class_key").agg(F.min(F.struct("doc_id", "text_hash", "rows")).alias("s")).select("s.*"))
+    wordless = classes.where("class_key is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("rows")).distinct()
+    chosen = materialize(stays.unionByName(wordless).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"),
+                                                            F.col("rows").alias("_rows")), "ngram-kept")
+    kept = docs.withColumn("_own", F.xxhash64("text")).join(chosen, F.expr("doc_id <=> _id and _own = _h"))
+    # only rows that occur more than once need another look
+    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id", "_own"])
+    return kept.where("_rows = 1").unionByName(repeated).select(*[f"`{c}`" for c in docs.columns])
+
+
 #: DuckDB: the same by an inverted list of whole n-grams and a recursive closure.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (

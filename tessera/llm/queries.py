@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprints, html_text, jaccard_join, line_templates, mixing, quality, toxicity
+from tessera.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    html_text,
+    jaccard_join,
+    line_templates,
+    mixing,
+    pii,
+    quality,
+    toxicity,
+)
 from tessera.llm.common import table, word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -41,7 +52,8 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document: five-word
     shingles, similarity 0.8 or more."""
-    return jaccard_join.similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("gram_set")
+    return jaccard_join.similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "n_links")
 
 
 @query("op3_byte_bpe")
@@ -77,6 +89,12 @@ def op6_line_templates(spark, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op7_pii_surrogates")
+def op7_pii_surrogates(spark, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data and secrets."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key=b"a key of the deployment")
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of a fifth (by crc32 of the id) are held out."""
