@@ -35,10 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, repeated as their source's target asks."""
-    mixed = mixing.mix_sources(docs, cut="documents", tie=["size", F.xxhash64("text")])
+    mixed = mixing.mix_sources(docs, cut="documents", tie=lambda row: [F.xxhash64(row["text"])])
     times = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(0)
-    return (mixed.withColumn("_times", times).where("_times > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    return mixed.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

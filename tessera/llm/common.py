@@ -33,6 +33,19 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
                      *[c.alias(n) for n, c in new.items()])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``_row``: whatever its columns are called,
+    they cannot clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(columns: list[str], new: dict[str, Column]) -> list[Column]:
+    """The columns of ``_row`` named ``columns``, and those of ``new``; an
+    input column of the name of a new one gives way."""
+    taken = {n.lower() for n in new}
+    return [F.col(f"_row.`{c}`").alias(c) for c in columns if c.lower() not in taken] + [c.alias(n) for n, c in new.items()]
+
+
 def word_count(text: Column) -> Column:
     """Words of ``text`` (null: 0): one split, less the empty pieces that
     white space at either end leaves."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WS
+from tessera.llm.common import WS, packed, unpacked
 
 #: Key layout: 37 bits of hash, then 27 bits that fall as the word position
 #: rises, so that the smallest key is the smallest hash, rightmost first.
@@ -59,11 +59,10 @@ def fingerprint(docs: DataFrame, text: str = "text", gram_levels: int = 2, windo
     the kept k-grams by word position. Null, empty and blank texts all have
     the fingerprint of the empty text; equal texts have equal fingerprints.
     An input column ``fingerprint`` is replaced."""
-    kept = winnow_expr(f"`{text}`", gram_levels, window_levels)
-    out = docs.withColumn("_kept", F.expr(kept))
+    kept = packed(docs).select("_row", F.expr(winnow_expr(f"_row.`{text}`", gram_levels, window_levels)).alias("_kept"))
     pairs = F.expr(f"transform(_kept, x -> struct(cast({POS_MASK}L - (x & {POS_MASK}L) as int) as pos, "
                    f"shiftrightunsigned(x, {POS_BITS}) as hash))")
-    return out.select(*[f"`{c}`" for c in docs.columns if c.lower() != "fingerprint"], pairs.alias("fingerprint"))
+    return kept.select(*unpacked(docs.columns, {"fingerprint": pairs}))
 
 
 def hash_set(kept: str) -> str:

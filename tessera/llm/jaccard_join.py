@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import replace_columns, shingle_hashes, word_hashes
+from tessera.llm.common import packed, shingle_hashes, unpacked, word_hashes
 from tessera.llm.components import connected_components
 from tessera.plans.util import materialize
 
@@ -232,10 +232,11 @@ def one_per_class(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall:
     wordless = classes.where("class_key is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("rows")).distinct()
     chosen = materialize(stays.unionByName(wordless).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"),
                                                             F.col("rows").alias("_rows")), "ngram-kept")
-    kept = docs.withColumn("_own", F.xxhash64("text")).join(chosen, F.expr("doc_id <=> _id and _own = _h"))
+    rows = packed(docs).select("_row", F.xxhash64("_row.text").alias("_own"))
+    kept = rows.join(chosen, F.expr("_row.doc_id <=> _id and _own = _h"))
     # only rows that occur more than once need another look
-    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id", "_own"])
-    return kept.where("_rows = 1").unionByName(repeated).select(*[f"`{c}`" for c in docs.columns])
+    repeated = kept.where("_rows > 1").dropDuplicates(["_id", "_h"])
+    return kept.where("_rows = 1").unionByName(repeated).select(*unpacked(docs.columns, {}))
 
 
 #: DuckDB: the same by an inverted list of whole n-grams and a recursive closure.

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WS, replace_columns
+from tessera.llm.common import WS, packed, unpacked
 from tessera.plans.util import materialize
 
 FIELD = "<*>"
@@ -57,8 +57,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
     recur, one to rewrite). Equal lines are counted before tokens are looked
     at, so groups of copies cost one row a line.
     """
-    keyed = replace_columns(docs, {"_d": F.xxhash64("doc_id", "text")})
-    texts = keyed.select("_d", "doc_id", "text")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text")
     lines = materialize(_lines(texts, lead), "line-leaves")
     long_lines = lines.where(F.col("n_tokens") >= min_tokens)
     distinct = (long_lines.groupBy("leaf", "line", "_d", "doc_id").agg(F.min("line_no").alias("line_no"))
@@ -91,12 +90,13 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
     words = lines.select("_d", "doc_id", "line_no", "n_tokens").distinct().groupBy("_d", "doc_id").agg(F.sum("n_tokens").alias("_all"))
     drops = (drops.alias("a").join(words.alias("b"), same_doc).where(F.col("_lost") <= F.col("_all") * copy_share)
              .select(F.col("a._d").alias("_e"), F.col("a.doc_id").alias("_id"), "_drop"))
-    out = keyed.join(drops, F.expr("_d = _e and doc_id <=> _id"), "left")
-    rest = F.expr(r"""transform(array(split(text, '\n')), p ->
+    rows = packed(docs).select("_row", F.xxhash64("_row.doc_id", "_row.text").alias("_d"))
+    out = rows.join(drops, F.expr("_d = _e and _row.doc_id <=> _id"), "left")
+    rest = F.expr(r"""transform(array(split(_row.text, '\n')), p ->
         array_join(transform(array_except(sequence(0, size(p) - 1), _drop), i -> p[i]), '\n'))[0]""")
-    return replace_columns(out, {"text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest),
-                                 "n_lines_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}).select(
-        *[f"`{c}`" for c in docs.columns if c.lower() != "n_lines_dropped"], "n_lines_dropped")
+    dropped = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")
+    return out.select(*unpacked(docs.columns, {
+        "text": F.when(F.col("_drop").isNull(), F.col("_row.text")).otherwise(rest), "n_lines_dropped": dropped}))
 
 
 #: DuckDB: the same on whole strings. RE2 has no look-behind; masking token by token is the same.

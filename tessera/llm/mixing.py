@@ -9,10 +9,12 @@ size repeats the source in epochs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import replace_columns, word_count
+from tessera.llm.common import packed, unpacked, word_count
 
 #: Documents aimed at per key range; a hot source gets more ranges, not larger ones.
 RANGE_ROWS = 20_000
@@ -45,7 +47,8 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) ->
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: str = "mix",
-                size: Column | None = None, cut: str = "words", tie: list | None = None) -> DataFrame:
+                size: Column | None = None, cut: str = "words",
+                tie: Callable[[Column], list[Column]] | None = None) -> DataFrame:
     """``docs`` (``doc_id``, ``source``, ``text`` or a ``size``) with ``size``,
     ``source_size``, ``target`` and ``taken`` (words the mix takes of the
     document, repeats counted).
@@ -53,10 +56,11 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: s
     ``size``: a column of token counts (default: words of ``text``).
     ``cut="words"``: the document at the cut gives just the words the budget
     lacks; ``cut="documents"``: it is taken whole if at least half of it fits.
-    ``tie``: columns that order equal keys (default ``size``).
+    ``tie``: gives further columns of the row that order equal keys of equal
+    size.
 
     Null text: size 0. A null source is a source of its own, the last. Null or
-    repeated ``doc_id``: the key is that of the id's text, ties go by ``tie``;
+    repeated ``doc_id``: the key is that of the id's text, ties go by size, then ``tie``;
     rows equal in all of these are interchangeable, so reruns agree on the
     rows as a whole. Empty table: no rows. Input columns called ``size``,
     ``source_size``, ``target`` or ``taken`` are replaced.
@@ -65,31 +69,31 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: s
         raise ValueError(f"cut must be 'words' or 'documents', not {cut!r}")
     if not weights or any(int(x) <= 0 for x in weights):
         raise ValueError("weights must be positive")
-    sized = replace_columns(docs, {"size": word_count(F.col("text")) if size is None else size.cast("long")})
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
-    ranges = F.least(F.lit(65536), F.ceil(F.col("_n") / RANGE_ROWS)).cast("int")
+    counted = packed(docs.withColumn("size", word_count(F.col("text")) if size is None else size.cast("long")))
+    rows = counted.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"),
+                          F.col("_row.size").alias("size"))
+    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    ranges = F.least(F.lit(65536), F.ceil(F.col("n") / RANGE_ROWS)).cast("int")
     targets = source_targets(stats.select("source", "source_size"), weights, max_epochs)
-    per_source = (stats.select("source", ranges.alias("_ranges")).alias("a")
+    per_source = (stats.select("source", ranges.alias("ranges")).alias("a")
                   .join(targets.alias("b"), F.expr("a.source <=> b.source"))
-                  .select(F.col("a.source").alias("_source"), "_ranges", "source_size", "target"))
-
-    keep = [c for c in sized.columns if c.lower() not in ("source_size", "target", "taken")]
-    keyed = (sized.select(*[f"`{c}`" for c in keep])
-             .join(per_source, F.expr("source <=> _source")).drop("_source")
-             .withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-                                       .cast("binary")))
-             .withColumn("_range", F.expr("cast(conv(substring(_key, 1, 4), 16, 10) as int) * _ranges div 65536")))
+                  .select(F.col("a.source").alias("_source"), "ranges", "source_size", "target"))
+
+    keyed = (rows.join(per_source, F.expr("source <=> _source")).drop("_source")
+             .withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+                                      .cast("binary")))
+             .withColumn("range", F.expr("cast(conv(substring(key, 1, 4), 16, 10) as int) * ranges div 65536")))
     # prefix sums, level 1: totals of the key ranges of each source
-    totals = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_total"))
+    totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("total"))
     offsets = totals.select(
-        F.col("source").alias("_source"), F.col("_range").alias("_r"),
-        F.coalesce(F.sum("_total").over(Window.partitionBy("source").orderBy("_range")
-                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+        F.col("source").alias("_source"), F.col("range").alias("_range"),
+        F.coalesce(F.sum("total").over(Window.partitionBy("source").orderBy("range")
+                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     # level 2: inside a range, in key order
-    inside = Window.partitionBy("source", "_range").orderBy("_key", *(tie or ["size"]))
-    run = keyed.withColumn("_inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    out = run.join(offsets, F.expr("source <=> _source and _range = _r"), "left")
-    start = F.coalesce(F.col("_inside"), F.lit(0)) + F.col("_offset")
+    inside = Window.partitionBy("source", "range").orderBy("key", "size", *(tie(F.col("_row")) if tie else []))
+    run = keyed.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    out = run.join(offsets, F.expr("source <=> _source and range = _range"), "left")
+    start = F.coalesce(F.col("before"), F.lit(0)) + F.col("offset")
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(0)
     left = budget - whole * F.col("source_size") - start
@@ -97,8 +101,9 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: s
         part = F.greatest(F.lit(0), F.least(F.col("size"), left))
     else:
         part = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0)
-    return out.select(*[f"`{c}`" for c in keep], "source_size", "target",
-                      (whole * F.col("size") + part).cast("long").alias("taken"))
+    return out.select(*unpacked(docs.columns, {"size": F.col("size"), "source_size": F.col("source_size"),
+                                               "target": F.col("target"),
+                                               "taken": (whole * F.col("size") + part).cast("long")}))
 
 
 #: DuckDB: the contract's columns over ``documents``.

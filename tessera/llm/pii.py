@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import replace_columns
+from tessera.llm.common import packed, unpacked
 from tessera.plans.util import materialize
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9])")
@@ -261,19 +261,18 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     largest group; an entity of many documents is one row on its side of a
     join that the planner can split.
     """
-    keyed = replace_columns(docs, {"_d": F.xxhash64("doc_id", "text")})
-    found = materialize(entities(keyed.select("_d", "doc_id", "text")).distinct(), "entities")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text")
+    found = materialize(entities(texts).distinct(), "entities")
     values = assign(found.select("kind", "norm").distinct(), key)
     per_doc = (found.join(values, ["kind", "norm"]).groupBy(F.col("_d").alias("_e"), F.col("doc_id").alias("_id"))
                .agg(F.collect_list(F.struct("kind", "norm", "value")).alias("_names")))
-    joined = keyed.join(per_doc, F.expr("_d = _e and doc_id <=> _id"), "left")
+    rows = packed(docs).select("_row", F.xxhash64("_row.doc_id", "_row.text").alias("_d"))
+    joined = rows.join(per_doc, F.expr("_d = _e and _row.doc_id <=> _id"), "left")
 
     @F.pandas_udf("struct<text:string,n:long>")
     def rewritten(text: pd.Series, names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rewrite(t, {(x["kind"], x["norm"]): x["value"] for x in (() if n is None else n)}) for t, n in zip(text, names)],
-                            columns=["text", "n"])
+        return pd.DataFrame([(t, 0) if n is None else rewrite(t, {(x["kind"], x["norm"]): x["value"] for x in n})
+                             for t, n in zip(text, names)], columns=["text", "n"])
 
-    done = joined.withColumn("_done", F.when(F.col("_names").isNotNull(), rewritten(F.coalesce("text", F.lit("")), "_names")))
-    return replace_columns(done, {"text": F.when(F.col("_names").isNull(), F.col("text")).otherwise(F.col("_done.text")),
-                                  "n_entities": F.coalesce(F.col("_done.n"), F.lit(0))}).select(
-        *[f"`{c}`" for c in docs.columns if c.lower() != "n_entities"], "n_entities")
+    done = joined.select("_row", rewritten(F.col("_row.text"), "_names").alias("_done"))
+    return done.select(*unpacked(docs.columns, {"text": F.col("_done.text"), "n_entities": F.col("_done.n")}))

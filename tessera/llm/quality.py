@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shingle_hashes, word_hashes
+from tessera.llm.common import packed, shingle_hashes, unpacked, word_hashes
 
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = (
@@ -209,10 +209,9 @@ def apply_rules(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> Data
             out["score"] = forest.score(x) if len(x) else np.zeros(0)
             yield out
 
-    got = docs.withColumn("_rule", judge(F.coalesce("text", F.lit(""))))
+    got = packed(docs).select("_row", judge(F.coalesce("_row.text", F.lit(""))).alias("_rule"))
     new: dict[str, Column] = {c: F.col(f"_rule.{c}") for c in _BASE}
     failed = (F.col("_rule.n_words") < MIN_WORDS) | (100 * F.col("_rule.n_repeat_words")
                                                      > MAX_REPEAT_PERCENT * F.col("_rule.n_words"))
     new |= {"base_failed": failed, "score": F.col("_rule.score"), "kept": ~failed & (F.col("_rule.score") >= threshold)}
-    names = {c.lower() for c in new}
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names], *[v.alias(c) for c, v in new.items()])
+    return got.select(*unpacked(docs.columns, new))

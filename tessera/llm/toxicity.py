@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import replace_columns
+from tessera.llm.common import packed, unpacked
+from tessera.plans.util import materialize
 
 _TERM = re.compile(r"[^\W\d_]+")
 #: Bounds of what the fit may hold: labelled examples, selected terms, and
@@ -190,8 +191,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     of ``docs``. Without labels every score is the same."""
     chosen = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
-    from tessera.plans.util import materialize
-
     sample = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
                          .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-examples")
     total, positives = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
@@ -268,6 +267,6 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
                 out.append(known[key])
             yield pd.DataFrame({"score": [x[0] for x in out], "evidence": [x[1] for x in out]})
 
-    got = docs.withColumn("_tox", scored(F.coalesce("text", F.lit(""))))
-    new = {"score": F.col("_tox.score"), "predicted": (F.col("_tox.score") >= 0.5).cast("int"), "evidence": F.col("_tox.evidence")}
-    return replace_columns(got, new).drop("_tox")
+    got = packed(docs).select("_row", scored(F.coalesce("_row.text", F.lit(""))).alias("_tox"))
+    return got.select(*unpacked(docs.columns, {"score": F.col("_tox.score"), "predicted": (F.col("_tox.score") >= 0.5).cast("int"),
+                                               "evidence": F.col("_tox.evidence")}))
