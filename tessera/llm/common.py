@@ -25,6 +25,16 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark, rows: int = 1000, size: str = "16m") -> None:
+    """Bound what a Python worker holds of its input at once, unless the
+    session asks for less: long texts make the default batches too large."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """``df`` with the columns of ``new``; an input column of the same name
     (in any case, as Spark compares names) gives way."""
@@ -40,10 +50,13 @@ def packed(df: DataFrame) -> DataFrame:
 
 
 def unpacked(columns: list[str], new: dict[str, Column]) -> list[Column]:
-    """The columns of ``_row`` named ``columns``, and those of ``new``; an
-    input column of the name of a new one gives way."""
-    taken = {n.lower() for n in new}
-    return [F.col(f"_row.`{c}`").alias(c) for c in columns if c.lower() not in taken] + [c.alias(n) for n, c in new.items()]
+    """The columns of ``_row`` named ``columns``, then those of ``new``; an
+    input column of the name of a new one gives way in its place."""
+    by_name = {n.lower(): n for n in new}
+    here = [new[by_name[c.lower()]].alias(by_name[c.lower()]) if c.lower() in by_name else F.col(f"_row.`{c}`").alias(c)
+            for c in columns]
+    have = {c.lower() for c in columns}
+    return here + [c.alias(n) for n, c in new.items() if n.lower() not in have]
 
 
 def word_count(text: Column) -> Column:

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WS, packed, unpacked
 
-#: Key layout: 37 bits of hash, then 27 bits that fall as the word position
+#: Key layout (of a long, never negative): 36 bits of hash, then 27 bits that fall as the word position
 #: rises, so that the smallest key is the smallest hash, rightmost first.
 #: 2**27 words are more than an array of a row can hold.
 POS_BITS = 27
 POS_MASK = (1 << POS_BITS) - 1
+HASH_MASK = (1 << 63) - (1 << POS_BITS)
 #: Fixed block of the two-level search over the bucket limits.
 STEP = 64
 
@@ -47,7 +48,7 @@ def winnow_expr(text: str, gram_levels: int = 2, window_levels: int = 3) -> str:
     k-gram is one gram; one with fewer grams than a window is one window."""
     k, w = 1 << gram_levels, 1 << window_levels
     words = rf"split(trim(BOTH ' \t\n\u000B\f\r' FROM coalesce({text}, '')), '[{WS}]+')".replace("\\x", "\\\\x")
-    keys = f"transform(g, (x, i) -> (x & {-(1 << POS_BITS)}L) | ({POS_MASK}L - i))"
+    keys = f"transform(g, (x, i) -> (x & {HASH_MASK}L) | ({POS_MASK}L - i))"
     kept = _let("h", keys, f"slice({_doubled('h', window_levels, 'least(x, y)')}, 1, greatest(size(h) - {w - 1}, 1))")
     grams = _let("q", f"transform({words}, x -> xxhash64(x))",
                  f"slice({_doubled('q', gram_levels, 'xxhash64(x, y)')}, 1, greatest(size(q) - {k - 1}, 1))")

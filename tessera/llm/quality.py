@@ -109,7 +109,8 @@ def fit_forest(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60,
     split so that the side it favours scores at least as high; children
     inherit the bounds, so the whole score is monotonic in that feature."""
     n, k = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
+    shares = np.linspace(0, 1, bins + 1)[1:-1] if n else []
+    cuts = [np.unique(np.quantile(x[:, j], shares)) if n else np.zeros(0) for j in range(k)]
     code = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(k)], axis=1)
     rate_of = np.clip(y.mean(), 1e-3, 1 - 1e-3) if n else 0.5
     bias = float(np.log(rate_of / (1 - rate_of)))
