@@ -30,12 +30,16 @@ def missed_and_spurious(ref: DataFrame, pred: DataFrame, key: str = "doc_id", at
     return r.exceptAll(p), p.exceptAll(r)
 
 
-def match_counts(ref: DataFrame, pred: DataFrame, key: str = "doc_id", attr: str | None = "ner_type") -> DataFrame:
-    """Per document ``exact, n_ref, n_pred``."""
+def match_counts(ref: DataFrame, pred: DataFrame, key: str = "doc_id", attr: str | None = "ner_type",
+                 docs: DataFrame | None = None) -> DataFrame:
+    """Per document ``exact, n_ref, n_pred`` (E1). With ``docs`` every
+    document has its row, ``0 0 0`` where neither side has a span."""
     ex = exact_match(ref, pred, key, attr).groupBy(key).agg(F.count(F.lit(1)).alias("exact"))
     nr = ref.groupBy(key).agg(F.count(F.lit(1)).alias("n_ref"))
     npred = pred.groupBy(key).agg(F.count(F.lit(1)).alias("n_pred"))
     out = nr.join(npred, key, "full_outer").join(ex, key, "left")
+    if docs is not None:
+        out = docs.select(key).distinct().join(out, key, "left")
     return out.select(key, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("exact", "n_ref", "n_pred")])
 
 

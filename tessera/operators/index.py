@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.tokens import tokenize
-from tessera.plans.util import is_small, scratch_path
+from tessera.util import is_small, scratch_path
 
 # BM25 parameters and the phrase slop of the question search.
 BM25_K1 = 1.2

@@ -85,7 +85,7 @@ def build_vocab(tags: DataFrame, tag: str = "label") -> DataFrame:
     """Distinct tags -> dense ids by frequency (desc) then name:
     ``tag, id, n``. Ids come from a distributed sort (no single-partition
     window), so a linking vocabulary of millions of entity tags is fine."""
-    from tessera.plans.util import dense_ids
+    from tessera.util import dense_ids
     counts = tags.groupBy(F.col(tag).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
     return dense_ids(counts.where(F.col("tag").isNotNull()), [F.col("n").desc(), F.col("tag")])
 
@@ -93,7 +93,7 @@ def build_vocab(tags: DataFrame, tag: str = "label") -> DataFrame:
 def index_tags(units: DataFrame, vocab: DataFrame, tag: str = "label") -> DataFrame:
     """Units with ``tag_id``; a tag absent from the vocabulary gets null
     (no unknown id: the caller routes those rows to quarantine)."""
-    from tessera.plans.util import maybe_broadcast
+    from tessera.util import maybe_broadcast
     v = maybe_broadcast(vocab.select(F.col("tag").alias("_tag"), F.col("id").alias("tag_id")))
     return units.join(v, units[tag] == v["_tag"], "left").drop("_tag")
 
@@ -157,7 +157,7 @@ def predict_tags(units: DataFrame, model: DataFrame, form: str = "token", defaul
     """A10 predict: form lookup, else shape lookup, else ``default``."""
     mf = model.where(F.col("level") == "form").select(F.col("feature").alias("_f"), F.col("tag").alias("_tf"))
     ms = model.where(F.col("level") == "shape").select(F.col("feature").alias("_s"), F.col("tag").alias("_ts"))
-    from tessera.plans.util import maybe_broadcast
+    from tessera.util import maybe_broadcast
     u = units.withColumn("_shape", shape(form))
     # the form lexicon is broadcast when its size check passes (no shuffle of
     # the units on a hot form such as "the"); otherwise a shuffle join, where

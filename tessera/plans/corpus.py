@@ -9,7 +9,7 @@ from tessera.operators.spans import covered_by, intersects
 from tessera.operators.tokens import split_sentences, split_sentences_cautious, tokenize
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import sentences_cte, tokens_cte
-from tessera.plans.util import materialize, read_table
+from tessera.util import materialize, read_table
 
 TOK = tokens_cte("documents")
 SENT = sentences_cte()

@@ -14,7 +14,7 @@ from tessera.plans.corpus import bigint, docs
 from tessera.plans.readers import NEWS_CONTENT_SQL, news_content, strip_sql
 from tessera.plans.registry import ORACLES, register
 from tessera.plans.sqlfrag import sentences_cte, tokens_cte
-from tessera.plans.util import materialize, read_table, scratch_path
+from tessera.util import materialize, read_table, scratch_path
 from tessera.sources.readers import parse_news
 from tessera.sources.sinks import read_packs, write_packs
 from tessera.streaming.jobs import stream_corpus, stream_table

@@ -58,7 +58,7 @@ from tessera.operators.tags import (  # noqa: E402
 from tessera.operators.tokens import tokenize, with_sentence_idx  # noqa: E402
 from tessera.plans.registry import register  # noqa: E402
 from tessera.plans.sqlfrag import sentences_cte, tokens_cte  # noqa: E402
-from tessera.plans.util import materialize, read_table  # noqa: E402
+from tessera.util import materialize, read_table  # noqa: E402
 
 CAP = "regexp_matches(token, '^\\p{Lu}')"
 TYPE_SQL = """CASE WHEN substring({x}, 1, 1) BETWEEN 'A' AND 'F' THEN 'PER'

@@ -1,64 +1,3 @@
-"""Plan helpers shared by operators and queries."""
+"""Plan helpers live in :mod:`tessera.util`, below operators and plans."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Largest row count a side may have to be broadcast by an explicit hint.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows
-    (checked with a bounded count); otherwise return it unchanged and let the
-    planner shuffle-join it (AQE may still broadcast on measured size)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Bounded row-count check (one small job)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def read_table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def scratch_path(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written
-    intermediate tables."""
-    import uuid
-
-    from tessera.session import checkpoint_dir
-
-    return f"{checkpoint_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the shared checkpoint folder and read
-    it back: cuts lineage (replays survive lost executors, and later
-    self-joins see a plain scan)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def dense_ids(df: DataFrame, order: list, name: str = "id") -> DataFrame:
-    """Consecutive ids ``0..n-1`` in the order of ``order`` (which must be a
-    total order) without a single-partition window: a range-partitioned
-    sort, one small count per partition, and each row's position inside
-    its partition. Only the per-partition counts (one row per partition)
-    are broadcast."""
-    from pyspark.sql import Window
-
-    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_pos", F.monotonically_increasing_id())
-    s = materialize(s, "dense-ids")  # fix partition membership and positions
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    out = s.join(F.broadcast(offs.select("_pid", "_off", "_p0")), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("int")).drop(
-        "_pid", "_pos", "_off", "_p0")
+from tessera.util import *  # noqa: F403

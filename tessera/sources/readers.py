@@ -23,6 +23,7 @@ from tessera.functions.text import PY_WS, is_digits, pack_name, py_split, py_str
 DOC_BREAK = "-DOCSTART-"
 NEWS_SKIP_PREFIX = "--"
 LINK_MISSING = "--NME--"
+LINK_SUFFIX = ".link.tsv"
 CUI_LESS = "cui_less"
 PAPER_DELIMITER = "\n\n"
 
@@ -137,11 +138,18 @@ def read_conll(spark: SparkSession, path: str, ext: str = ".conll",
                        0 if doc_break else n_sent_per_doc, lines_given=True)
 
 
-def read_papers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    rows = (spark.read.schema(PAPER_SCHEMA).option("multiLine", "true")
+def read_papers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paper JSON files -> documents, spans, quarantine: a file that is no
+    JSON object of the schema becomes a quarantine row, not an empty document."""
+    rows = (spark.read.schema(PAPER_SCHEMA + ", _broken STRING").option("multiLine", "true")
+            .option("columnNameOfCorruptRecord", "_broken")
             .option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(path)
             .withColumn("file", F.col("_metadata.file_path")))
-    return parse_papers(rows)
+    empty = F.col("paper_id").isNull() & F.col("metadata").isNull() & F.col("abstract").isNull() & F.col("body_text").isNull()
+    good, bad = split_bad_records(rows, {"not valid JSON": F.col("_broken").isNotNull(), "no paper fields": empty},
+                                  record_col="_broken")
+    docs, anns = parse_papers(good.drop("_broken"))
+    return docs, anns, bad
 
 
 # --------------------------------------------------------- stand-off
@@ -195,12 +203,27 @@ def parse_standoff(txt: DataFrame, ann: DataFrame) -> tuple[DataFrame, DataFrame
     return docs, m, bad_t.unionByName(bad_n)
 
 
+def path_stem(file):
+    """A file's path without its extension."""
+    return F.regexp_replace(file, r"\.[^./]*$", "")
+
+
 def read_standoff(spark: SparkSession, path: str):
-    txt = list_corpus(spark, path, ".txt").select(
-        pack_name(F.col("file"), "stem").alias("name"), F.col("content").alias("text"))
-    ann = list_corpus(spark, path, ".ann").select(
-        pack_name(F.col("file"), "stem").alias("name"), "content")
-    return parse_standoff(txt, ann)
+    """Stand-off files: a ``.txt`` goes with the ``.ann`` of the same path.
+    ``path`` (without extension) is the key of all three results, so equal
+    names in several folders stay apart; ``pack_name`` is the bare name."""
+    txt = list_corpus(spark, path, ".txt").select(path_stem(F.col("file")).alias("name"), F.col("content").alias("text"))
+    ann = list_corpus(spark, path, ".ann").select(path_stem(F.col("file")).alias("name"), "content")
+    docs, mentions, bad = parse_standoff(txt, ann)
+    named = lambda df: df.withColumnRenamed("pack_name", "path").withColumn(
+        "pack_name", pack_name(F.col("path"), "full"))
+    return named(docs), named(mentions), bad
+
+
+def document_spans(docs: DataFrame, key: str = "pack_name") -> DataFrame:
+    """One ``Document`` span per document: ``key, type, begin, end``."""
+    return docs.select(key, F.lit("Document").alias("type"), F.lit(0).alias("begin"),
+                       F.length("text").cast("int").alias("end"))
 
 
 # ---------------------------------------------------------- pubtator
@@ -237,7 +260,13 @@ def parse_pubtator(records: DataFrame, file_col: str = "file") -> tuple[DataFram
 
 
 def read_pubtator(spark: SparkSession, path: str, ext: str = ".txt"):
-    return parse_pubtator(scan_records(spark, path, ext, "\n\n"))
+    """Files of blank-line separated records, read line by line in splits
+    (any line ending); a record is put together from its own lines."""
+    lines = scan_lines(spark, path, ext)
+    rows = _count_marks(lines, py_strip("line") == "").withColumnRenamed("_ord", "record_no")
+    records = rows.groupBy("file", "record_no").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("block", "pos", "line"))), lambda x: x["line"]), "\n").alias("record"))
+    return parse_pubtator(records)
 
 
 # ------------------------------------------------------------ CoNLL
@@ -276,23 +305,26 @@ def content_lines(files: DataFrame, file_col: str = "file", content_col: str = "
                         F.posexplode(_lines(F.col(content_col))).alias("pos", "line"))
 
 
-def number_documents(lines: DataFrame, doc_break: str) -> DataFrame:
-    """``doc_ord`` for every line = number of ``doc_break`` lines at or
-    before it in its file. Counted per split (a window over one split),
-    then offset by the markers of earlier splits of the same file (one row
-    per split, broadcast) — no window ever spans a whole file. Marker lines
-    are dropped."""
-    mark = F.col("line").contains(doc_break).cast("int")
+def _count_marks(lines: DataFrame, mark) -> DataFrame:
+    """Lines that are no mark, with ``_ord`` = the number of marks before
+    them in their file. Counted per split (a window over one split), then
+    offset by the marks of earlier splits of the same file (one row per
+    split): no window ever spans a whole file."""
     wb = Window.partitionBy("file", "block").orderBy("pos")
-    l2 = lines.withColumn("_m", mark).withColumn(
-        "_in", F.sum("_m").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    per = lines.withColumn("_m", mark).groupBy("file", "block").agg(F.sum("_m").alias("_n"))
+    marked = lines.withColumn("_m", mark.cast("int"))
+    inside = marked.withColumn("_in", F.sum("_m").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    per = marked.groupBy("file", "block").agg(F.sum("_m").alias("_n"))
     wf = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.withColumn("_off", F.coalesce(F.sum("_n").over(wf), F.lit(0))).select("file", "block", "_off")
-    from tessera.plans.util import maybe_broadcast
-    out = l2.join(maybe_broadcast(offs), ["file", "block"])
-    return (out.where(F.col("_m") == 0)
-            .select("file", "block", "pos", "line", (F.col("_off") + F.col("_in")).cast("int").alias("doc_ord")))
+    out = inside.join(offs, ["file", "block"])
+    return out.where(F.col("_m") == 0).select("file", "block", "pos", "line",
+                                              (F.col("_off") + F.col("_in")).cast("int").alias("_ord"))
+
+
+def number_documents(lines: DataFrame, doc_break: str) -> DataFrame:
+    """``doc_ord`` for every line = number of ``doc_break`` lines at or
+    before it in its file. Marker lines are dropped."""
+    return _count_marks(lines, F.col("line").contains(doc_break)).withColumnRenamed("_ord", "doc_ord")
 
 
 def number_sentences(lines: DataFrame) -> DataFrame:
@@ -317,8 +349,7 @@ def number_sentences(lines: DataFrame) -> DataFrame:
     per = per.withColumn("_first_start", (F.col("_first_tok") & F.coalesce(prev_last, F.lit(True))).cast("int"))
     per = per.withColumn("_n", F.col("_inner") + F.col("_first_start"))
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(wf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    from tessera.plans.util import maybe_broadcast
-    ln = ln.join(maybe_broadcast(per.select("file", "block", "_first_start", "_off")), ["file", "block"])
+    ln = ln.join(per.select("file", "block", "_first_start", "_off"), ["file", "block"])
     start = (~F.col("_blank") & F.when(F.col("_prev_blank").isNull(), F.col("_first_start") == 1)
              .otherwise(F.col("_prev_blank")))
     ln = ln.withColumn("_st", start.cast("int"))
@@ -397,7 +428,7 @@ def parse_links(files: DataFrame, file_col: str = "file", content_col: str = "co
     large side file is read in parallel splits too."""
     lines = files if lines_given else content_lines(files, file_col, content_col)
     rows = number_documents(lines, doc_break)
-    rows = rows.where(py_strip("line") != "").withColumn("f", F.split(py_strip("line"), "\t"))
+    rows = rows.where(py_strip("line") != "").withColumn("f", py_split("line"))
     full = F.size("f") >= 4
     rows = rows.select(F.col("file").alias(file_col), "doc_ord", "block", "pos",
                        F.element_at("f", 1).try_cast("int").alias("token_idx"),
@@ -418,6 +449,19 @@ def attach_links_by_token(mentions: DataFrame, links: DataFrame, file_col: str =
                          [file_col, "doc_ord", "first_unit"], "left")
 
 
+def read_conll_linked(spark: SparkSession, path: str, ext: str = ".conll",
+                      column_format=("word", None, None, "entity_label"), doc_break: str = DOC_BREAK,
+                      suffix: str = LINK_SUFFIX) -> tuple[DataFrame, DataFrame]:
+    """Column files with their link side files on disk (S8): ``(units,
+    links)``; a side file has the column file's path with its extension
+    replaced by ``suffix``, and both results carry the column file's path as
+    ``file``. A column file without a side file has no link rows."""
+    units = read_conll(spark, path, ext, column_format, doc_break)
+    links = parse_links(scan_lines(spark, path, suffix), doc_break=doc_break, lines_given=True)
+    dotted = ext if ext.startswith(".") else "." + ext
+    return units, links.withColumn("file", F.concat(F.expr(f"substring(file, 1, length(file) - {len(suffix)})"), F.lit(dotted)))
+
+
 # ----------------------------------------------------- tables / packs
 
 def from_table(df: DataFrame, id_col: str, text_col: str, source: str | None = None) -> DataFrame:
