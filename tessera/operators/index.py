@@ -56,28 +56,50 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return build_index(tokenize(docs, key, text), key, docs)
 
 
+def write_postings(index: Index, path: str, n: int) -> None:
+    """Postings to parquet, range-partitioned on (term, document) and sorted:
+    a term filter skips row groups, and a frequent term spreads over as many
+    files as it fills instead of one."""
+    (index.postings.repartitionByRange(n, "term", index.key).sortWithinPartitions("term", index.key)
+     .write.mode("overwrite").parquet(path + "/postings"))
+
+
+def write_stats(index: Index, path: str) -> None:
+    """Document lengths, and document frequencies off the written postings."""
+    index.doc_stats.write.mode("overwrite").parquet(path + "/doc_stats")
+    (index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+     .write.mode("overwrite").parquet(path + "/term_stats"))
+
+
+def write_index(index: Index, path: str) -> None:
+    """Inverted index to parquet (K2): postings and the two stats tables."""
+    spark = index.postings.sparkSession
+    write_postings(index, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_stats(Index(spark.read.parquet(path + "/postings"), index.doc_stats, index.term_stats, index.key), path)
+
+
+def read_index(spark, path: str, key: str = "doc_id") -> Index:
+    r = spark.read
+    return Index(r.parquet(path + "/postings"), r.parquet(path + "/doc_stats"), r.parquet(path + "/term_stats"), key)
+
+
 def materialize_index(index: Index, name: str = "index", docs: DataFrame | None = None) -> Index:
     """Write the index once to the shared checkpoint folder and read it back
-    (cuts lineage; survives lost executors). Postings are written once,
-    hash-partitioned on ``term`` and sorted by it (row-group statistics then
-    skip most groups for a term filter); the two stats tables are derived
-    from the written postings, so the corpus is tokenized exactly once."""
-    spark = index.postings.sparkSession
+    (cuts lineage; survives lost executors). The stats tables are derived
+    from the written postings, so the corpus is tokenized exactly once; with
+    ``docs`` documents without a word get length 0."""
     key = index.key
-    base = scratch_path(spark, name)
+    spark = index.postings.sparkSession
+    path = scratch_path(spark, name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (index.postings.repartition(n, "term").sortWithinPartitions("term", key)
-     .write.mode("overwrite").parquet(base + "/postings"))
-    postings = spark.read.parquet(base + "/postings")
+    write_postings(index, path, n)
+    postings = spark.read.parquet(path + "/postings")
     doc_stats = postings.groupBy(key).agg(F.first("dl").alias("n_tokens"))
     if docs is not None:
         doc_stats = (docs.select(key).join(doc_stats, key, "left")
                      .select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
-    doc_stats.write.mode("overwrite").parquet(base + "/doc_stats")
-    (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-     .write.mode("overwrite").parquet(base + "/term_stats"))
-    r = spark.read
-    return Index(postings, r.parquet(base + "/doc_stats"), r.parquet(base + "/term_stats"), key)
+    write_stats(Index(postings, doc_stats, index.term_stats, key), path)
+    return read_index(spark, path, key)
 
 
 def query_terms(queries: DataFrame, qkey: str = "question_id", qtext: str = "query") -> DataFrame:
@@ -122,7 +144,7 @@ def _per_doc(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float,
     agg = st.groupBy(qkey, key).agg(
         F.sum("part").alias("score"),
         F.count(F.lit(1)).alias("got"),
-        F.collect_list(F.struct("q_pos", "positions")).alias("occ"))
+        F.collect_list(F.struct("q_pos", "term", "positions")).alias("occ"))
     need = qterms.groupBy(qkey).agg(F.count(F.lit(1)).alias("need"))
     out = agg.join(F.broadcast(need) if small else need, qkey)
     if require_all:
@@ -159,32 +181,45 @@ def bm25_topk(index: Index, qterms: DataFrame, k: int = 10, qkey: str = "questio
 
 
 def _phrase_width(per_doc: DataFrame, key: str, qkey: str, slop: int) -> DataFrame:
-    """Smallest spread of ``adj = pos - q_pos`` covering every query
-    position, for (question, document) rows whose spread is <= slop.
+    """Smallest spread of ``adj = pos - q_pos`` over assignments of distinct
+    document positions to the query positions, for (question, document) rows
+    whose spread is <= slop.
 
     Each occurrence ``e`` is tried as the window's lowest ``adj``; partners
     ``f`` with ``adj`` in ``[e.adj, e.adj + slop]`` come from a self-join on
     (question, document, bin) with bins of width ``slop + 1`` — at most
     ``need * (slop + 1)`` partners per ``e`` — never all pairs of a document.
-    Every step keeps the (question, document) partitioning.
+    The copies of a repeated term take document positions in order (the i-th
+    copy a later one than the copy before): in a window from ``e.adj`` each
+    takes the first position that is free to it, which is the least spread
+    that starts there. Every step keeps the (question, document) partitioning.
     """
     width = slop + 1
     occ = (per_doc.select(qkey, key, "need", "score", F.explode("occ").alias("o"))
-           .select(qkey, key, "need", "score", F.col("o.q_pos").alias("q_pos"),
+           .select(qkey, key, "need", "score", F.col("o.q_pos").alias("q_pos"), F.col("o.term").alias("term"),
                    F.explode("o.positions").alias("pos"))
            .withColumn("adj", F.col("pos") - F.col("q_pos")))
     e = (occ.select(qkey, key, "need", "score", F.col("adj").alias("e_adj"))
          .dropDuplicates([qkey, key, "e_adj"])
          .withColumn("bin", F.explode(F.array(F.floor(F.col("e_adj") / width),
                                               F.floor(F.col("e_adj") / width) + 1))))
-    f = occ.select(qkey, key, F.col("q_pos").alias("f_q"), F.col("adj").alias("f_adj"),
+    f = occ.select(qkey, key, F.col("q_pos").alias("f_q"), "term", F.col("pos").alias("f_pos"), F.col("adj").alias("f_adj"),
                    F.floor(F.col("adj") / width).alias("bin"))
     pairs = e.join(f, [qkey, key, "bin"]).where(
         (F.col("f_adj") >= F.col("e_adj")) & (F.col("f_adj") <= F.col("e_adj") + slop))
-    per_q = pairs.groupBy(qkey, key, "need", "score", "e_adj", "f_q").agg(
-        F.min("f_adj").alias("_first"))
-    per_e = per_q.groupBy(qkey, key, "need", "score", "e_adj").agg(
-        F.count(F.lit(1)).alias("_got"), (F.max("_first") - F.col("e_adj")).alias("_w"))
+    # per term: its query positions in order, each with its candidate positions in order
+    per_q = pairs.groupBy(qkey, key, "need", "score", "e_adj", "term", "f_q").agg(
+        F.sort_array(F.collect_set("f_pos")).alias("_at"))
+    per_t = per_q.groupBy(qkey, key, "need", "score", "e_adj", "term").agg(
+        F.sort_array(F.collect_list(F.struct("f_q", "_at"))).alias("_copies"))
+    taken = F.aggregate(
+        "_copies", F.struct(F.lit(-1).alias("last"), F.lit(0).alias("got"), F.lit(None).cast("int").alias("top")),
+        lambda acc, c: F.transform(F.array(F.array_min(F.filter(c["_at"], lambda p: p > acc["last"]))), lambda p: F.when(
+            p.isNull(), acc).otherwise(F.struct(p.alias("last"), (acc["got"] + 1).alias("got"), F.greatest(
+                acc["top"], (p - c["f_q"]).cast("int")).alias("top"))))[0])
+    per_t = per_t.withColumn("_t", taken)
+    per_e = per_t.groupBy(qkey, key, "need", "score", "e_adj").agg(
+        F.sum("_t.got").alias("_got"), (F.max("_t.top") - F.col("e_adj")).alias("_w"))
     return (per_e.where(F.col("_got") == F.col("need"))
             .groupBy(qkey, key, "score").agg(F.min("_w").cast("int").alias("width")))
 
@@ -192,8 +227,8 @@ def _phrase_width(per_doc: DataFrame, key: str, qkey: str, slop: int) -> DataFra
 def phrase_match(index: Index, qterms: DataFrame, slop: int = DEFAULT_SLOP,
                  qkey: str = "question_id") -> DataFrame:
     """Documents where the query positions fit in a window of spread
-    ``<= slop``: ``qkey, key, width``. A term repeated in the query may reuse
-    one document position (documented limitation)."""
+    ``<= slop``: ``qkey, key, width``. The copies of a term repeated in the
+    query take positions of their own, in order."""
     pd_ = _per_doc(index, qterms, qkey, BM25_K1, BM25_B, True)
     return _phrase_width(pd_, index.key, qkey, slop).drop("score")
 

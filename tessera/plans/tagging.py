@@ -49,7 +49,7 @@ def run_type(first_text):
 # ---------------------------------------------------------------- queries
 
 from tessera.operators.evaluate import (  # noqa: E402
-    align_tokens, conll_eval, corpus_stats, match_counts, prf, type_distribution,
+    align_tokens, conll_eval, corpus_stats, match_counts, prf, type_distribution, missed_and_spurious,
 )
 from tessera.operators.tags import (  # noqa: E402
     bio_encode, build_vocab, chain_taggers, export_features, fit_tagger, group_sentences,
@@ -58,7 +58,10 @@ from tessera.operators.tags import (  # noqa: E402
 from tessera.operators.tokens import tokenize, with_sentence_idx  # noqa: E402
 from tessera.plans.registry import register  # noqa: E402
 from tessera.plans.sqlfrag import sentences_cte, tokens_cte  # noqa: E402
-from tessera.util import materialize, read_table  # noqa: E402
+from tessera.sources.sinks import (  # noqa: E402
+    eval_report, load_tagger, load_vocab, save_tagger, save_vocab,
+)
+from tessera.util import materialize, read_table, scratch_path  # noqa: E402
 
 CAP = "regexp_matches(token, '^\\p{Lu}')"
 TYPE_SQL = """CASE WHEN substring({x}, 1, 1) BETWEEN 'A' AND 'F' THEN 'PER'
@@ -178,7 +181,10 @@ def q_features(spark, sf):
 def _fit_predict(spark, sf):
     lab, runs = labelled(spark, sf)
     lab = lab.withColumn("_test", F.col("doc_id") % 5 == 0)
-    model = fit_tagger(lab.where(~F.col("_test")))
+    # K4: fitted once, written, and read by every prediction
+    path = scratch_path(spark, "tagger")
+    save_tagger(fit_tagger(lab.where(~F.col("_test"))), path)
+    model = load_tagger(spark, path)
     pred = predict_tags(lab.where(F.col("_test")), model)
     return lab, runs, model, pred
 
@@ -195,10 +201,13 @@ def q_tagger_fit_predict(spark, sf):
 
 
 @register("match_counts", sql=f"""WITH {MODEL_SQL}
-SELECT doc_id, CAST(exact AS BIGINT) AS exact, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_pred AS BIGINT) AS n_pred FROM counts""")
+SELECT d.doc_id, CAST(coalesce(exact, 0) AS BIGINT) AS exact, CAST(coalesce(n_ref, 0) AS BIGINT) AS n_ref,
+       CAST(coalesce(n_pred, 0) AS BIGINT) AS n_pred
+FROM documents d LEFT JOIN counts c ON c.doc_id = d.doc_id""")
 def q_match_counts(spark, sf):
+    """Counts of the held-out spans; every document has its row."""
     _, runs, _, pred = _fit_predict(spark, sf)
-    return match_counts(runs.where(F.col("doc_id") % 5 == 0), _pred_spans(pred))
+    return match_counts(runs.where(F.col("doc_id") % 5 == 0), _pred_spans(pred), docs=read_table(spark, sf, "documents"))
 
 
 @register("tagger_eval", sql=f"""WITH {MODEL_SQL},
@@ -252,20 +261,69 @@ def q_sentence_tag_report(spark, sf):
     return _big(out, "sent_idx")
 
 
-@register("chain_taggers", sql=f"""WITH {MODEL_SQL},
-lk AS (SELECT doc_id, rb AS begin, re AS "end", 'L:' || lower(first_text) AS umls_link FROM caps WHERE doc_id % 5 = 0)
+@register("chain_taggers", sql=f"""WITH {MODEL_SQL.replace("test AS (SELECT * FROM lab WHERE doc_id % 5 = 0)", "test AS (SELECT * FROM lab)")},
+lk AS (SELECT doc_id, rb AS begin, re AS "end", 'L:' || lower(first_text) AS umls_link FROM caps)
 SELECT coalesce(p.doc_id, l.doc_id) AS doc_id, CAST(coalesce(p.begin, l.begin) AS BIGINT) AS begin,
        CAST(coalesce(p."end", l."end") AS BIGINT) AS "end", p.ner_type, l.umls_link
 FROM pspans p FULL OUTER JOIN lk l ON p.doc_id = l.doc_id AND p.begin = l.begin AND p."end" = l."end" """)
 def q_chain_taggers(spark, sf):
-    lab, _, _, pred = _fit_predict(spark, sf)
-    tok = lab.where(F.col("doc_id") % 5 == 0)
-    lk = capital_runs(tok).select("doc_id", "begin", "end",
+    """Both taggers over every document."""
+    lab, _, model, _ = _fit_predict(spark, sf)
+    pred = predict_tags(lab, model)
+    lk = capital_runs(lab).select("doc_id", "begin", "end",
                                   F.concat(F.lit("L:"), F.lower("first_text")).alias("umls_link"))
     out = chain_taggers(_pred_spans(pred), lk)
     return _big(out.select("doc_id", "begin", "end", "ner_type", "umls_link"), "begin", "end")
 
 
+@register("error_listing", sql=f"""WITH {MODEL_SQL},
+r AS (SELECT DISTINCT doc_id, begin, "end", ner_type FROM rspans), p AS (SELECT DISTINCT doc_id, begin, "end", ner_type FROM pspans)
+SELECT 'missed' AS kind, doc_id, CAST(begin AS BIGINT) AS begin, CAST("end" AS BIGINT) AS "end", ner_type FROM (SELECT * FROM r EXCEPT SELECT * FROM p)
+UNION ALL
+SELECT 'spurious', doc_id, CAST(begin AS BIGINT), CAST("end" AS BIGINT), ner_type FROM (SELECT * FROM p EXCEPT SELECT * FROM r)""")
+def q_error_listing(spark, sf):
+    """U3 over the held-out spans: missed and spurious."""
+    _, runs, _, pred = _fit_predict(spark, sf)
+    missed, spurious = missed_and_spurious(runs.where(F.col("doc_id") % 5 == 0), _pred_spans(pred))
+    out = missed.withColumn("kind", F.lit("missed")).unionByName(spurious.withColumn("kind", F.lit("spurious")))
+    return _big(out.select("kind", "doc_id", "begin", "end", "ner_type"), "begin", "end")
+
+
+@register("aligned_tags", sql=f"""WITH {MODEL_SQL}
+SELECT coalesce(l.doc_id, p.doc_id) AS doc_id, CAST(coalesce(l.tok_idx, p.tok_idx) AS BIGINT) AS tok_idx, l.label, p.pred
+FROM (SELECT doc_id, tok_idx, label FROM lab WHERE tok_idx % 7 <> 0) l
+FULL OUTER JOIN (SELECT doc_id, tok_idx, pred FROM pred WHERE tok_idx % 5 <> 0) p ON l.doc_id = p.doc_id AND l.tok_idx = p.tok_idx""")
+def q_aligned_tags(spark, sf):
+    """J11 with units missing on both sides: every seventh has no reference,
+    every fifth and every training document no prediction."""
+    lab, _, _, pred = _fit_predict(spark, sf)
+    out = align_tokens(lab.where(F.col("tok_idx") % 7 != 0), pred.where(F.col("tok_idx") % 5 != 0))
+    return _big(out, "tok_idx")
+
+
+@register("vocab_roundtrip", sql=f"""WITH {LAB_SQL}
+SELECT l.doc_id, CAST(l.tok_idx AS BIGINT) AS tok_idx, CAST(v.id AS BIGINT) AS tag_id
+FROM lab l JOIN (SELECT tag, row_number() OVER (ORDER BY n DESC, tag) - 1 AS id
+                 FROM (SELECT label AS tag, count(*) AS n FROM lab GROUP BY label)) v ON v.tag = l.label""")
+def q_vocab_roundtrip(spark, sf):
+    """K3: the vocabulary written, read and applied."""
+    lab, _ = labelled(spark, sf)
+    path = scratch_path(spark, "vocab")
+    save_vocab(build_vocab(lab), path)
+    return _big(index_tags(lab, load_vocab(spark, path)).select("doc_id", "tok_idx", "tag_id"), "tok_idx", "tag_id")
+
+
+@register("eval_report", sql=f"""WITH {MODEL_SQL}
+SELECT CAST(doc_id AS VARCHAR) || ' ' || exact || ' ' || n_ref || ' ' || n_pred AS line FROM counts""")
+def q_eval_report(spark, sf):
+    """K6: the report written and read back line by line."""
+    _, runs, _, pred = _fit_predict(spark, sf)
+    counts = match_counts(runs.where(F.col("doc_id") % 5 == 0), _pred_spans(pred))
+    path = scratch_path(spark, "eval-report")
+    eval_report(counts, prf(counts), path)
+    return spark.read.text(path + "/per_document").select(F.col("value").alias("line"))
+
+
 @register("type_distribution", sql=f"""WITH {LAB_SQL}
 SELECT ner_type, CAST(count(*) AS BIGINT) AS n, CAST((SELECT count(DISTINCT ner_type) FROM runs) AS BIGINT) AS n_classes
 FROM runs GROUP BY ner_type""")
