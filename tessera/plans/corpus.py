@@ -184,21 +184,20 @@ def q_replace_spans(spark, sf):
 
 
 def _map_sql(pt: str, as_end: bool) -> str:
+    """As-of join of a token border with the segments' new offsets: a begin
+    lies in the last segment that starts at or before it, an end in the last
+    that starts before it (no segment is empty)."""
     inside = f"s.replaced AND t.{pt} > s.nb AND t.{pt} < s.ne"
     exact = f"CASE WHEN t.{pt} = s.nb THEN s.ob WHEN t.{pt} = s.ne THEN s.oe ELSE s.ob + (t.{pt} - s.nb) END"
-    pref = f"t.{pt} > s.nb" if as_end else f"t.{pt} < s.ne"
     rel = "s.oe" if as_end else "s.ob"
     return f"""
 map_{pt} AS (
-  SELECT doc_id, tok_idx, {pt}_relaxed, {pt}_strict, {pt}_backward, {pt}_forward FROM (
-    SELECT t.doc_id, t.tok_idx,
+  SELECT t.doc_id, t.tok_idx,
       CASE WHEN {inside} THEN {rel} ELSE {exact} END AS {pt}_relaxed,
       CASE WHEN {inside} THEN NULL ELSE {exact} END AS {pt}_strict,
       CASE WHEN {inside} THEN s.ob ELSE {exact} END AS {pt}_backward,
-      CASE WHEN {inside} THEN s.oe ELSE {exact} END AS {pt}_forward,
-      row_number() OVER (PARTITION BY t.doc_id, t.tok_idx ORDER BY CASE WHEN {pref} THEN 1 ELSE 0 END DESC, s.nb) AS rn
-    FROM ntok t LEFT JOIN segs2 s ON s.doc_id = t.doc_id AND s.nb <= t.{pt} AND t.{pt} <= s.ne)
-  WHERE rn = 1)"""
+      CASE WHEN {inside} THEN s.oe ELSE {exact} END AS {pt}_forward
+  FROM ntok t ASOF LEFT JOIN segs2 s ON s.doc_id = t.doc_id AND t.{pt} {">" if as_end else ">="} s.nb)"""
 
 
 @register("original_span", sql=f"""WITH {EDIT_SQL}, {tokens_cte("newdocs", name="ntok")},

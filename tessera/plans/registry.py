@@ -19,5 +19,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     """Import every plan module so that its queries register."""
-    from tessera.plans import corpus, readers, tagging, retrieval, concepts_q, qa, streams  # noqa: F401
+    from tessera.plans import corpus, readers, tagging, retrieval, concepts_q, qa, streams, selections  # noqa: F401
     return QUERIES, ORACLES

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators.index import build_index, search
+from tessera.operators.index import search
 from tessera.operators.tokens import split_sentences, tokenize
 from tessera.plans import retrieval as R
 from tessera.plans import tagging as TG
@@ -17,7 +17,10 @@ from tessera.plans.sqlfrag import sentences_cte, tokens_cte
 from tessera.util import materialize, read_table, scratch_path
 from tessera.sources.readers import parse_news
 from tessera.sources.sinks import read_packs, write_packs
-from tessera.streaming.jobs import stream_corpus, stream_table
+from tessera.streaming.jobs import index_batch, merged_index, stream_corpus, stream_table
+
+
+RECORD = "\x1e"  # ends a record of the streamed news files
 
 
 @register("packs_json", sql=f"""WITH {tokens_cte("documents")}, {sentences_cte()}
@@ -45,13 +48,20 @@ l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(content ||
                                  lambda x: x <> '' AND NOT starts_with(x, '--')) AS ls FROM c)
 SELECT doc_id, md5(array_to_string(ls, chr(10))) AS text_md5, CAST(len(ls) AS BIGINT) AS n_lines FROM l""")
 def q_stream_news(spark, sf):
+    """Many documents per landing file, each record led by its id."""
     d = read_table(spark, sf, "documents").select("doc_id", "text", "source")
     src = scratch_path(spark, "news-in")
-    news_content(d).withColumn("doc_id", F.regexp_extract("file", r"([0-9]+)", 1)).select(
-        "doc_id", "content").write.partitionBy("doc_id").text(src)
-    out = stream_corpus(spark, src, scratch_path(spark, "news-out"), scratch_path(spark, "news-ckpt"),
-                        lambda b: parse_news(b), max_files=max(1, d.count() // 4))
-    return bigint(out.select(F.regexp_extract("file", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+    named = news_content(d).withColumn("id", F.regexp_extract("file", r"([0-9]+)", 1))
+    named.select(F.concat(F.lit("-- id="), "id", F.lit("\n"), "content").alias("value")).repartition(4).write.option(
+        "lineSep", RECORD).text(src)
+
+    def parse(batch):
+        own = F.concat(F.regexp_extract("content", r"^-- id=([0-9]+)", 1), F.lit(".txt"))
+        return parse_news(batch.where("content <> ''").withColumn("file", own))
+
+    out = stream_corpus(spark, src, scratch_path(spark, "news-out"), scratch_path(spark, "news-ckpt"), parse,
+                        max_files=1, record_sep=RECORD)
+    return bigint(out.select(F.regexp_extract("file", r"^([0-9]+)", 1).cast("bigint").alias("doc_id"),
                              F.md5("text").alias("text_md5"), F.size(F.split("text", "\n")).alias("n_lines")),
                   "n_lines")
 
@@ -72,14 +82,32 @@ ORACLES["stream_search"] = ORACLES["search"]
 
 @register("stream_index")
 def q_stream_index(spark, sf):
+    """A tenth of the documents arrives first in an older version; the last
+    batch of a document replaces what earlier batches said of it."""
+    d = docs(spark, sf)
+    src = scratch_path(spark, "docs-in")
+    old = d.where(F.col("doc_id") % 10 == 0).withColumn("text", F.concat(F.lit("outdated words "), "text"))
+    old.coalesce(1).write.parquet(src)
+    d.repartition(4).write.mode("append").parquet(src)
+    out = stream_table(spark, src, "doc_id bigint, text string", scratch_path(spark, "postings-out"),
+                       scratch_path(spark, "postings-ckpt"), index_batch, max_files=1)
+    idx = merged_index(out)
+    res = idx.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return bigint(res.join(idx.term_stats.select("term", F.col("df").alias("_df")), "term").where("df = _df").drop("_df"),
+                  "df", "cf", "max_tf")
+
+
+@register("stream_doc_stats", sql=f"""WITH {tokens_cte("documents")}
+SELECT d.doc_id, CAST(count(t.word_idx) AS BIGINT) AS n_tokens FROM documents d LEFT JOIN tokens t USING (doc_id) GROUP BY d.doc_id""")
+def q_stream_doc_stats(spark, sf):
+    """Document lengths of the incremental index."""
     d = docs(spark, sf)
     src = scratch_path(spark, "docs-in")
-    d.repartition(4).write.parquet(src)
+    d.where(F.col("doc_id") % 10 == 0).withColumn("text", F.lit("outdated")).coalesce(1).write.parquet(src)
+    d.repartition(2).write.mode("append").parquet(src)
     out = stream_table(spark, src, "doc_id bigint, text string", scratch_path(spark, "postings-out"),
-                       scratch_path(spark, "postings-ckpt"),
-                       lambda b: build_index(tokenize(b)).postings, max_files=1)
-    res = out.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
-    return bigint(res, "df", "cf", "max_tf")
+                       scratch_path(spark, "postings-ckpt"), index_batch, max_files=1)
+    return bigint(merged_index(out).doc_stats, "n_tokens")
 
 
 ORACLES["stream_index"] = ORACLES["index_stats"]

@@ -14,6 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.index import Index, build_index
+from tessera.operators.tokens import tokenize
+
 
 def _batch_sink(out_path: str, fn: Callable[[DataFrame], DataFrame]):
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -31,10 +34,13 @@ def run_available(stream: DataFrame, out_path: str, checkpoint: str,
 
 def stream_corpus(spark: SparkSession, src_dir: str, out_path: str, checkpoint: str,
                   parser: Callable[[DataFrame], DataFrame], ext: str = ".txt",
-                  max_files: int | None = None) -> DataFrame:
-    """Files landing in ``src_dir`` are parsed as they arrive (one row
-    per file: ``file, content``); returns the accumulated result table."""
-    r = (spark.readStream.format("text").option("wholetext", "true")
+                  max_files: int | None = None, record_sep: str | None = None) -> DataFrame:
+    """Files landing in ``src_dir`` are parsed as they arrive (``file,
+    content``: one row per file, or per record where ``record_sep`` ends
+    one, so that a file may hold many documents); returns the accumulated
+    result table."""
+    whole = ("lineSep", record_sep) if record_sep else ("wholetext", "true")
+    r = (spark.readStream.format("text").option(*whole)
          .option("pathGlobFilter", "*" + ext).option("recursiveFileLookup", "true"))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -52,3 +58,24 @@ def stream_table(spark: SparkSession, src_dir: str, schema: str, out_path: str,
         r = r.option("maxFilesPerTrigger", max_files)
     run_available(r.parquet(src_dir), out_path, checkpoint, fn)
     return spark.read.parquet(out_path)
+
+
+def index_batch(batch: DataFrame, key: str = "doc_id") -> DataFrame:
+    """T4, one batch: its postings, and one row without a term per document
+    that carries the document's length (so that a document without words
+    still replaces its older version)."""
+    idx = build_index(tokenize(batch, key), key, batch)
+    posts = idx.postings.select(key, "term", "positions", "tf", "dl")
+    heads = idx.doc_stats.select(key, F.lit(None).cast("string").alias("term"), F.array().cast("array<int>").alias("positions"),
+                                 F.lit(0).alias("tf"), F.col("n_tokens").cast("int").alias("dl"))
+    return posts.unionByName(heads)
+
+
+def merged_index(rows: DataFrame, key: str = "doc_id") -> Index:
+    """The index that all batches of :func:`index_batch` add up to (``rows``
+    with their ``batch``): of each document only its last batch counts."""
+    last = rows.where("term is null").groupBy(key).agg(F.max("batch").alias("batch"))
+    now = rows.join(last, [key, "batch"])
+    postings = now.where("term is not null").select("term", key, "positions", "tf", "dl")
+    return Index(postings, now.where("term is null").select(key, F.col("dl").alias("n_tokens")),
+                 postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), key)
