@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import replace_columns
+from tessera.llm.common import packed, replace_columns, small_batches, unpacked
 
 #: Unicode White_Space, the tokenizer's ``\s``.
 SPACE = (r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -34,7 +34,7 @@ NONE = 1 << 62
 #: Widest piece (bytes) that shares an array of trees.
 WIDE = 64
 #: Characters of texts handled at once, and of chunks remembered per worker.
-GROUP_CHARS, CACHE_CHARS = 1_000_000, 4_000_000  # of each of two generations
+GROUP_CHARS, CACHE_CHARS = 500_000, 1_500_000  # of each of two generations
 #: Largest vocabulary file sent to the executors.
 MAX_RANKS_BYTES = 64 << 20
 
@@ -244,38 +244,43 @@ def _ranks(spark, path: str):
     return spark.sparkContext.broadcast(raw)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (binary: packed ids of the whole text) and
-    ``n_tokens``; special tokens are never made, their strings are text.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids`` (binary: packed ids of the whole text),
+    ``n_tokens`` and, if asked for, ``decoded`` (the bytes the ids decode to,
+    in the same pass); special tokens are never made, their strings are text.
 
     Null and empty texts have no tokens (empty binary). Rows repeat as in the
-    input; an empty table gives no rows; input columns ``token_ids`` and
-    ``n_tokens`` are replaced. Memory holds one Arrow batch, the tree of the
-    longest piece and a bounded cache.
+    input; an empty table gives no rows; input columns of these names are
+    replaced. Memory holds one small Arrow batch, the tree of the longest
+    piece and a bounded cache.
     """
+    small_batches(docs.sparkSession, size="4m")
     ranks = _ranks(docs.sparkSession, ranks_path)
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<ids:binary,decoded:binary>")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _coder(ranks.value, pattern)
         for s in batches:
-            yield pd.Series(coder.encode(s.tolist()), dtype=object)
+            ids = coder.encode(s.tolist())
+            yield pd.DataFrame({"ids": ids, "decoded": [coder.decode(x) for x in ids] if decoded else None}, dtype=object)
 
-    out = replace_columns(docs, {"token_ids": packed(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    return replace_columns(out, {"n_tokens": (F.octet_length("token_ids") / 4).cast("long")})
+    out = packed(docs).select("_row", coded(F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))).alias("_c"))
+    new = {"token_ids": F.col("_c.ids"), "n_tokens": (F.octet_length("_c.ids") / 4).cast("long")}
+    return out.select(*unpacked(docs.columns, new | ({"decoded": F.col("_c.decoded")} if decoded else {})))
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``coded`` with ``decoded``: the bytes of ``token_ids`` (null: empty)."""
+    small_batches(coded.sparkSession, size="4m")
     ranks = _ranks(coded.sparkSession, ranks_path)
 
     @F.pandas_udf("binary")
-    def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(ranks.value, pattern)
         for s in batches:
             yield pd.Series([coder.decode(x) for x in s.tolist()], dtype=object)
 
-    return replace_columns(coded, {"decoded": unpacked(F.coalesce("token_ids", F.lit(b"")))})
+    return replace_columns(coded, {"decoded": bytes_of(F.coalesce("token_ids", F.lit(b"")))})
 
 
 def id_lists(coded: DataFrame) -> DataFrame:
