@@ -11,6 +11,7 @@ from tessera.operators.spans import (
     first_of_type, resolve_links, select_pack, select_type, union_annotations, with_ann_id,
 )
 from tessera.operators.tokens import split_sentences, tokenize
+from tessera.plans import retrieval  # noqa: F401  (its oracle is used below)
 from tessera.plans.corpus import bigint, docs
 from tessera.plans.readers import pubtator_records
 from tessera.plans.registry import ORACLES, register
