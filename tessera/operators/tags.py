@@ -127,7 +127,8 @@ def export_features(units: DataFrame, key: str = "doc_id", segment: str = "sent_
 
 def shape(col) -> "F.Column":
     """Word shape: class of the first character, whether the rest holds an
-    upper-case letter or digit, and the length capped at 5."""
+    upper-case letter or digit, and a length class (1, 2, 3, 4, or 5 and
+    more). The classes are the feature's definition; no word is left out."""
     c = F.col(col) if isinstance(col, str) else col
     first = F.substring(c, 1, 1)
     cls = (F.when(first.rlike(r"^\p{Lu}$"), "A").when(first.rlike(r"^\p{Ll}$"), "a")
@@ -180,8 +181,8 @@ def chain_taggers(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
 def group_sentences(sentences: DataFrame, n: int, key: str = "doc_id", ordinal: str = "sent_idx",
                     compat: bool = False) -> DataFrame:
     """Regroup consecutive sentences into units of ``n`` (E7):
-    ``group = ordinal div n`` (``compat``: ``(ordinal + 1) div n``, the
-    reference counter that starts at 1). Output: ``key, group, begin, end,
+    ``group = ordinal div n`` (``compat``: ``(ordinal + 1) div n``, a
+    counter that starts at 1). Output: ``key, group, begin, end,
     n_sentences``."""
     g = F.floor((F.col(ordinal) + (1 if compat else 0)) / n).cast("int")
     return sentences.groupBy(key, g.alias("group")).agg(

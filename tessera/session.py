@@ -1,12 +1,12 @@
 """Session helpers: a local session for tests/bench, and the shared
-checkpoint folder used to cut lineage."""
+checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "tessera",
@@ -54,10 +54,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a
-    local checkpoint: it would not survive a lost executor)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
