@@ -41,10 +41,13 @@ INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role values that mark boilerplate (whole words) or content.
 _BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|"
-                  r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|register|menu\w*|nav|navbar|navigation|"
+                  r"popup|modal|dialog|overlay|paywall|newsletter|subscribe|subscription|signup|login|register|menu\w*|nav|navbar|navigation|"
                   r"breadcrumb\w*|pagination|pager|sidebar\w*|sidenav|aside|widget\w*|footer|footnav|masthead|toolbar|share|sharing|"
                   r"social\w*|related|recommend\w*|trending|comment\w*|disqus\w*|replies|reply|responses|respond|discussion|"
                   r"copyright|legal|disclaimer|skip\w*|search\w*|tags|taglist|contentinfo|complementary)(?:$|[\s_-])", re.I)
+#: The words that count even on an article or main element.
+_NEVER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser\w*|comment\w*|replies|reply|"
+                    r"hidden)(?:$|[\s_-])", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|articlebody|entry-content|post-content|main-content|story\w*|main)(?:$|[\s_-])", re.I)
 #: Pass 1: limits of stop-word share, length (characters) and link share.
@@ -161,7 +164,7 @@ def blocks(html: str) -> list[Block]:
         top = stack[-1]
         hints = " ".join(_CAMEL.sub("-", h.strip("\"'")) for h in _HINT.findall(attrs)) if "=" in attrs else ""
         good = tag in REGION or bool(hints and _GOOD.search(hints))
-        marked = bool(hints and _BAD.search(hints)) and not (good and tag in REGION) and tag not in ("html", "body")
+        marked = bool(hints) and tag not in ("html", "body") and bool((_NEVER if tag in REGION else _BAD).search(hints))
         boiler = top.boiler or marked or tag in BOILER or bool(attrs and _HIDDEN.search(attrs))
         boiler = boiler or (tag == "header" and not top.region)
         region = top.region

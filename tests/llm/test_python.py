@@ -88,7 +88,7 @@ def test_bpe_long_pieces_and_odd_rows(odd, none):
 PAGE = """<html><head><title>no</title><script>var a="</p><p>no";</script></head><body><header><h1>no</h1></header>
 <nav><ul><li><a href=x>no</a></ul></nav><!-- <p>no</p> --><div class="cookieBanner">no, and this is the notice of the site</div>
 <article><h1>Title &amp; more</h1><p>First   part<br>of it <b>bold</b>.<p>Second &lt;p&gt;<div class="ad">no</div><p>x</p>
-<div id="comments"><p>no</p></div></article><aside>no</aside><form><p>no</p></form><footer>&copy; no</footer></body></html>"""
+<div id="comments"><p>no</p></div></article><article class="comment"><p>no</p></article><aside>no</aside><form><p>no</p></form><footer>&copy; no</footer></body></html>"""
 
 
 def test_html_blocks():
