@@ -50,7 +50,7 @@ def iob_decode(units: DataFrame, key: str = "doc_id", unit_idx: str = "tok_idx",
     never break. Spans of type ``O`` and null labels are dropped.
     Output: ``key, begin, end, ner_type, first_unit, last_unit, n_units``.
 
-    ``compat=True`` reproduces the reference reader: a span still open at
+    ``compat=True`` keeps the quirks of older readers: a span still open at
     the end of the document is dropped (Q1) and, with ``segment=None``,
     spans run on across sentence ends (Q5).
     """

@@ -239,8 +239,8 @@ SELECT ner_type, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_pred AS BIGINT) AS n_pre
        round(accuracy, 6) AS accuracy
 FROM g, acc""")
 def q_conll_eval(spark, sf):
-    _, runs, _, pred = _fit_predict(spark, sf)
-    aligned = align_tokens(pred, pred)
+    lab, runs, _, pred = _fit_predict(spark, sf)
+    aligned = align_tokens(lab.where(F.col("doc_id") % 5 == 0), pred)
     out = conll_eval(runs.where(F.col("doc_id") % 5 == 0), _pred_spans(pred), aligned)
     return out.select("ner_type", "n_ref", "n_pred", "exact",
                       *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
