@@ -420,12 +420,14 @@ def conll_documents(units: DataFrame, file_col: str = "file") -> tuple[DataFrame
 
 
 def parse_links(files: DataFrame, file_col: str = "file", content_col: str = "content",
-                doc_break: str = DOC_BREAK, lines_given: bool = False) -> DataFrame:
+                doc_break: str = DOC_BREAK, lines_given: bool = False, compat: bool = False) -> DataFrame:
     """``.link.tsv`` side file -> ``file, doc_ord, token_idx, yago2_entity,
     wiki_url, wiki_id, freebase_mid``; per token the last row wins; rows
     with fewer than 4 fields (``--NME--``) give nulls (S8, J3). Documents
     are numbered like the column file (split-wise marker counts), so a
-    large side file is read in parallel splits too."""
+    large side file is read in parallel splits too. ``compat``: blocks are
+    numbered without the empty ones, so that a document without links takes
+    the next block's (Q7)."""
     lines = files if lines_given else content_lines(files, file_col, content_col)
     rows = number_documents(lines, doc_break)
     rows = rows.where(py_strip("line") != "").withColumn("f", py_split("line"))
@@ -436,6 +438,11 @@ def parse_links(files: DataFrame, file_col: str = "file", content_col: str = "co
                        F.when(full, F.element_at("f", 3)).alias("wiki_url"),
                        F.when(full, F.element_at("f", 4).try_cast("int")).alias("wiki_id"),
                        F.when(F.size("f") >= 5, F.element_at("f", 5)).alias("freebase_mid"))
+    if compat:
+        filled = rows.select(file_col, "doc_ord").distinct()
+        w = Window.partitionBy(file_col).orderBy("doc_ord")  # one row per document
+        filled = filled.withColumn("_nth", F.row_number().over(w))
+        rows = rows.join(filled, [file_col, "doc_ord"]).drop("doc_ord").withColumnRenamed("_nth", "doc_ord")
     return (rows.where(F.col("token_idx").isNotNull())
             .groupBy(file_col, "doc_ord", "token_idx")
             .agg(F.max_by(F.struct("yago2_entity", "wiki_url", "wiki_id", "freebase_mid"),

@@ -12,8 +12,9 @@ from tessera.operators.evaluate import match_counts
 from tessera.operators.index import index_documents, materialize_index, phrase_match, query_terms
 from tessera.operators.tokens import tokenize
 from tessera.sources.readers import (
-    document_spans, read_conll_linked, read_papers, read_pubtator, read_standoff,
+    document_spans, parse_links, read_conll_linked, read_papers, read_pubtator, read_standoff,
 )
+from tessera.sources.sinks import read_packs, write_packs
 
 
 def put(path, text):
@@ -60,6 +61,21 @@ def test_linked_column_files_pair_by_path(spark, tmp_path):
     assert {(r.word, r.yago2_entity, r.wiki_id) for r in joined} == {("Paris", "Y_a", 7), ("Paris", "Y_b", 7)}
 
 
+def test_link_blocks_without_the_empty_ones(spark):
+    text = "-DOCSTART- (1)\n-DOCSTART- (2)\n0\tY\thttp://w\t7\n"
+    files = spark.createDataFrame([("f", text)], "file string, content string")
+    assert [r.doc_ord for r in parse_links(files).collect()] == [2]
+    assert [r.doc_ord for r in parse_links(files, compat=True).collect()] == [1]
+
+
+def test_packs_without_the_maker(spark, tmp_path):
+    docs = spark.createDataFrame([("p", "text", "s")], "pack_name string, text string, source string")
+    anns = spark.createDataFrame([("p", "T", "me", 0, 2)], "pack_name string, type string, component string, begin int, end int")
+    for drop, want in ((False, "me"), (True, None)):
+        write_packs(docs, anns, str(tmp_path / str(drop)), drop_record=drop)
+        assert read_packs(spark, str(tmp_path / str(drop)))[1].first().component == want
+
+
 def test_long_and_punctuated_names_match(spark):
     text = "Severe acute respiratory syndrome is caused by COVID-19. covid 19, il-6/il-8 and IL-6."
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
