@@ -23,20 +23,26 @@ FIELD = "<*>"
 DIGITS = rf"(?<![^{WS}])[^{WS}0-9]*+[0-9][^{WS}]*+"
 
 
+def _trimmed(line):
+    return F.trim(line, F.lit(" \t\x0b\x0c\r"))
+
+
 def _tokens(line):
-    trimmed = F.trim(line, F.lit(" \t\x0b\x0c\r"))
-    return F.split(F.regexp_replace(trimmed, DIGITS, FIELD), rf"[{WS}]+")
+    """Tokens of a trimmed line; most lines hold no digit and skip the mask."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGITS, FIELD)).otherwise(line)
+    return F.split(masked, rf"[{WS}]+")
 
 
 def _lines(docs: DataFrame, lead: int) -> DataFrame:
     """Slim rows, one per line with a token: whose it is, where, its token
     count, leaf and identity. No text leaves the scan."""
     rows = docs.select("_d", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("_d", "doc_id", "line_no", _tokens(F.col("line")).alias("tokens"))
-    rows = rows.where(F.get("tokens", F.lit(0)) != "")
-    return rows.select("_d", "doc_id", "line_no", F.size("tokens").alias("n_tokens"),
-                       F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead)).alias("leaf"),
-                       F.xxhash64("tokens").alias("line"))
+    rows = rows.select("_d", "doc_id", "line_no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    # tokens bound once: a filter on them would be pushed down and split the line again
+    rows = rows.select("_d", "doc_id", "line_no", F.transform(F.array(_tokens(F.col("line"))), lambda t: F.struct(
+        F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, lead)).alias("leaf"), F.xxhash64(t).alias("line")))[0].alias("x"))
+    return rows.select("_d", "doc_id", "line_no", F.col("x.n").alias("n_tokens"), F.col("x.leaf").alias("leaf"),
+                       F.col("x.line").alias("line"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens: int = 3, constant_share: float = 0.6,
@@ -71,7 +77,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
     same_doc = F.expr("a._d = b._d and a.doc_id <=> b.doc_id")
     specimens = (texts.alias("a").join(wanted.alias("b"), same_doc)
                  .select(F.split("a.text", "\n").alias("parts"), F.explode("b.wanted").alias("w"))
-                 .select("w.leaf", "w.line", "w.n_docs", _tokens(F.expr("parts[w.line_no]")).alias("tokens")))
+                 .select("w.leaf", "w.line", "w.n_docs", _trimmed(F.expr("parts[w.line_no]")).alias("l"))
+                 .select("leaf", "line", "n_docs", _tokens(F.col("l")).alias("tokens")))
     specimens = materialize(specimens.dropDuplicates(["leaf", "line"]), "line-specimens")
     tokens = specimens.select("leaf", "line", "n_docs", F.posexplode("tokens").alias("place", "token"))
     constant = (tokens.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n"))
