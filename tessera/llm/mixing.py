@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import packed, unpacked, word_count
 
 #: Documents aimed at per key range; a hot source gets more ranges, not larger ones.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 
 
 def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> DataFrame:
