@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard_join, line_templates, mixing, quality
-from tessera.llm.common import table
+from tessera.llm.common import packed, table
 from tessera.plans.util import materialize
 
 
@@ -23,8 +23,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; ``n_chars`` follows."""
-    out = line_templates.drop_recurring(docs)
+    """Documents without the lines of recurring templates; ``n_chars`` follows.
+    The members of a near-duplicate class count as one document, so what only
+    they share stays for the next stage, and no document is left out."""
+    classes = jaccard_join.similar_classes(docs.select("doc_id", "text")).groupBy(
+        F.col("doc_id").alias("_id"), "text_hash").agg(F.min("class_key").alias("_class"))
+    rows = packed(docs).withColumn("_h", F.xxhash64("_row.text"))
+    rows = rows.join(classes, F.expr("_row.doc_id <=> _id and _h = text_hash"), "left").select("_row.*", "_class")
+    out = line_templates.drop_recurring(materialize(rows, "line-dedup-classes"), copy_share=None, copy_of="_class")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -4,9 +4,9 @@ A line is parsed down a tree of fixed depth: by its token count, then by its
 leading tokens (a token with a digit is a variable field at once). In a leaf,
 a token is constant where enough documents have it at its place and variable
 (``<*>``) elsewhere; that gives each line a template. Templates that recur
-across documents are boilerplate and their lines are dropped. A document most
-of whose words would go is a copy rather than a carrier of boilerplate and is
-left whole (document dedup is the tool for it).
+across documents are boilerplate and their lines are dropped. Copies of one
+document are no recurrence: either documents that would lose most of their
+words are left whole, or copies are told beforehand and count as one document.
 """
 
 from __future__ import annotations
@@ -33,27 +33,37 @@ def _tokens(line):
     return F.split(masked, rf"[{WS}]+")
 
 
+def _line_set(text):
+    """A hash of the set of a text's lines."""
+    lines = F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != "")
+    return F.xxhash64(F.sort_array(F.array_distinct(lines)))
+
+
 def _lines(docs: DataFrame, lead: int) -> DataFrame:
     """Slim rows, one per line with a token: whose it is, where, its token
     count, leaf and identity. No text leaves the scan."""
-    rows = docs.select("_d", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("_d", "doc_id", "line_no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    own = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*own, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.select(*own, "line_no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
     # tokens bound once: a filter on them would be pushed down and split the line again
-    rows = rows.select("_d", "doc_id", "line_no", F.transform(F.array(_tokens(F.col("line"))), lambda t: F.struct(
+    rows = rows.select(*own, "line_no", F.transform(F.array(_tokens(F.col("line"))), lambda t: F.struct(
         F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, lead)).alias("leaf"), F.xxhash64(t).alias("line")))[0].alias("x"))
-    return rows.select("_d", "doc_id", "line_no", F.col("x.n").alias("n_tokens"), F.col("x.leaf").alias("leaf"),
+    return rows.select(*own, "line_no", F.col("x.n").alias("n_tokens"), F.col("x.leaf").alias("leaf"),
                        F.col("x.line").alias("line"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens: int = 3, constant_share: float = 0.6,
-                   copy_share: float = 0.5) -> DataFrame:
+                   copy_share: float | None = 0.5, copy_of: str | None = None) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ...) without the lines whose template
     occurs in at least ``min_docs`` documents; adds ``n_lines_dropped``.
 
     A template counts if at least ``constant_share`` of its tokens are
     constant; lines of fewer than ``min_tokens`` tokens never count. A
     document that would lose more than ``copy_share`` of its words stays
-    whole. Null text stays null, an empty text empty; a null ``doc_id`` is an
+    whole. With ``copy_share=None`` every document loses its recurring lines,
+    whatever their share, and copies count as one document: rows equal in the
+    column ``copy_of`` (null: of no class), or by default in their set of
+    lines. Null text stays null, an empty text empty; a null ``doc_id`` is an
     id like others; rows equal in ``doc_id`` and ``text`` count as one
     document and all get the same result; an empty table gives no rows; other
     columns pass through, an input ``n_lines_dropped`` is replaced.
@@ -64,10 +74,16 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
     at, so groups of copies cost one row a line.
     """
     texts = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text")
+    one = ["_d", "doc_id"]  # what counts as one document
+    if copy_share is None:
+        same = _line_set(F.col("text"))
+        if copy_of:
+            same = F.when(F.col(f"`{copy_of}`").isNull(), same).otherwise(F.xxhash64(F.lit("class"), F.col(f"`{copy_of}`")))
+        texts, one = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text", same.alias("_c")), ["_c"]
     lines = materialize(_lines(texts, lead), "line-leaves")
     long_lines = lines.where(F.col("n_tokens") >= min_tokens)
-    distinct = (long_lines.groupBy("leaf", "line", "_d", "doc_id").agg(F.min("line_no").alias("line_no"))
-                .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("_d", "doc_id", "line_no")).alias("at")))
+    distinct = (long_lines.groupBy("leaf", "line", *one).agg(F.min(F.struct("_d", "doc_id", "line_no")).alias("at"))
+                .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("at").alias("at")))
     distinct = materialize(distinct, "distinct-lines")
     live = distinct.groupBy("leaf").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     live = distinct.join(live, "leaf", "left_semi")
@@ -90,13 +106,15 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
                          "place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD)).alias("token"))))).alias("template"))
                  .where(F.col("n_constant") >= F.col("n_tokens") * constant_share).select("leaf", "line", "template"))
     hits = materialize(long_lines.join(templates, ["leaf", "line"]), "template-lines")
-    recurring = (hits.select("leaf", "template", "_d", "doc_id").distinct().groupBy("leaf", "template")
+    recurring = (hits.select("leaf", "template", *one).distinct().groupBy("leaf", "template")
                  .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf", "template"))
     drops = (hits.join(recurring, ["leaf", "template"], "left_semi").select("_d", "doc_id", "line_no", "n_tokens").distinct()
              .groupBy("_d", "doc_id").agg(F.collect_list("line_no").alias("_drop"), F.sum("n_tokens").alias("_lost")))
-    words = lines.select("_d", "doc_id", "line_no", "n_tokens").distinct().groupBy("_d", "doc_id").agg(F.sum("n_tokens").alias("_all"))
-    drops = (drops.alias("a").join(words.alias("b"), same_doc).where(F.col("_lost") <= F.col("_all") * copy_share)
-             .select(F.col("a._d").alias("_e"), F.col("a.doc_id").alias("_id"), "_drop"))
+    if copy_share is not None:
+        words = lines.select("_d", "doc_id", "line_no", "n_tokens").distinct().groupBy("_d", "doc_id").agg(F.sum("n_tokens").alias("_all"))
+        drops = (drops.alias("a").join(words.alias("b"), same_doc).where(F.col("_lost") <= F.col("_all") * copy_share)
+                 .select("a._d", "a.doc_id", "_drop"))
+    drops = drops.select(F.col("_d").alias("_e"), F.col("doc_id").alias("_id"), "_drop")
     rows = packed(docs).select("_row", F.xxhash64("_row.doc_id", "_row.text").alias("_d"))
     out = rows.join(drops, F.expr("_d = _e and _row.doc_id <=> _id"), "left")
     rest = F.expr(r"""transform(array(split(_row.text, '\n')), p ->

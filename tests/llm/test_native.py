@@ -158,6 +158,29 @@ def test_lines_of_odd_rows(odd, none):
     assert line_templates.drop_recurring(none).collect() == []
 
 
+def words_of(i, n):
+    return " ".join("abcdefghij"[(i * 7 + j * 3) % 10] + "abcdefghij"[(i + j) % 10] * (1 + (i + j * j) % 5) + "qrstuvwxyz"[i % 10] for j in range(n))
+
+
+def test_recurring_lines_go_whatever_their_share(spark):
+    foot = "this long footer line of the site is on every page of it and says very much about cookies"
+    texts = [f"{words_of(i, 4)}\n{foot}" for i in range(4)] + [f"{words_of(9, 8)}\n{words_of(8, 9)}"] * 4
+    want = {i: words_of(i, 4) for i in range(4)} | {i: texts[i] for i in range(4, 8)}
+    assert dropped(spark, texts, copy_share=None) == want
+
+
+def test_pipeline_drops_lines_of_copies_and_of_short_documents(spark):
+    import corpus_pipeline
+
+    foot = "this long footer line of the site is on every page of it and says very much about cookies"
+    body = "\n".join(words_of(i, 12) for i in range(10))
+    texts = [f"{words_of(20 + i, 4)}\n{foot}" for i in range(4)] + [f"{body}\n{foot}"] * 3 + [f"{body} end{c}\n{foot}" for c in "abc"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    # the near copies keep what only they share, and no document keeps the footer
+    assert got == {i: t.removesuffix(f"\n{foot}") for i, t in enumerate(texts)}
+
+
 def test_masking_is_linear_in_a_token(spark):
     docs = spark.createDataFrame([(i, "a" * 300_000 + " b c d") for i in range(3)], "doc_id long, text string")
     assert line_templates.drop_recurring(docs).count() == 3
