@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over terms that tell the labels apart (chi-squared
-over labelled examples); the document frequencies count all documents. The
+Texts are TF-IDF vectors over terms that speak for the toxic label (by the
+lower bound of their log odds ratio over labelled examples); the document frequencies count all documents. The
 nearest examples by exact cosine come from an inverted index whose postings
 carry block maxima: blocks of examples are visited by falling upper bound
 until no other block can hold a nearer one. Votes weighted by distance are
@@ -28,8 +28,10 @@ _TERM = re.compile(r"[^\W\d_]+")
 #: Bounds of what the fit may hold: labelled examples, selected terms, and
 #: examples that are left out in turn to calibrate the votes.
 MAX_EXAMPLES, MAX_TERMS, MAX_LEFT_OUT = 10_000, 2_000, 3_000
-#: Chi-squared a term must reach, and examples it must occur in.
-MIN_CHI, MIN_DF = 60.0, 4
+#: What the lower bound of a term's log odds ratio must reach, the standard
+#: errors it lies below the ratio, and examples a term must occur in. The ratio
+#: does not grow with the number of examples, so small tables have terms too.
+MIN_ODDS, ERRORS, MIN_DF = 1.5, 1.64, 4
 BLOCK, NEAREST, EPS, PREFIX = 64, 15, 0.05, 4
 
 
@@ -45,14 +47,20 @@ def terms(text: str) -> Counter:
     return out
 
 
+def odds_bound(n, a, positives: int, total: int, log, sqrt):
+    """Lower bound of the smoothed log odds ratio of the toxic label with and
+    without a term of ``n`` examples, ``a`` of them toxic."""
+    cells = (a + 0.5, positives - a + 0.5, n - a + 0.5, total - positives - n + a + 0.5)
+    ratio = log(cells[0]) - log(cells[1]) - log(cells[2]) + log(cells[3])
+    return ratio - ERRORS * sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3])
+
+
 def selected(counts: pd.DataFrame, positives: int, total: int) -> list[str]:
     """Terms of ``counts`` (``term``, ``n``, ``n_toxic``: examples with it)
-    by falling chi-squared against the label, then by name."""
+    by falling bound of their log odds ratio, then by name."""
     n, a = counts["n"].to_numpy(float), counts["n_toxic"].to_numpy(float)
-    share = positives / max(total, 1)
-    spread = n * share * (1 - share) * (1 - n / max(total, 1))
-    chi = np.where(spread > 0, (a - n * share) ** 2 / np.maximum(spread, 1e-12), 0)
-    rows = sorted(((-c, t) for c, t, k in zip(chi, counts["term"], n) if c >= MIN_CHI and k >= MIN_DF))
+    bound = odds_bound(n, a, positives, total, np.log, np.sqrt)
+    rows = sorted(((-b, t) for b, t, k in zip(bound, counts["term"], n) if b >= MIN_ODDS and k >= MIN_DF))
     return [t for _, t in rows[:MAX_TERMS]]
 
 
@@ -205,12 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
                     a.update(have)
             yield pd.DataFrame({"term": list(n), "n": list(n.values()), "n_toxic": [a[t] for t in n]})
 
-    share = positives / max(total, 1)
     n, a = F.col("n").cast("double"), F.col("n_toxic").cast("double")
-    chi = (a - n * share) ** 2 / F.greatest(n * share * (1 - share) * (1 - n / max(total, 1)), F.lit(1e-12))
+    bound = odds_bound(n, a, positives, total, F.log, F.sqrt)
     counts = (sample.mapInPandas(term_counts, "term string, n long, n_toxic long").groupBy("term")
-              .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).where((n >= MIN_DF) & (chi >= MIN_CHI))
-              .orderBy(chi.desc(), "term").limit(MAX_TERMS))
+              .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).where((n >= MIN_DF) & (bound >= MIN_ODDS - 1e-9))
+              .orderBy(bound.desc(), "term").limit(MAX_TERMS))
     vocabulary = selected(counts.toPandas(), positives, total)
     known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 

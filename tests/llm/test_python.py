@@ -182,6 +182,15 @@ def test_nearest_is_exact():
         assert e.tolist() == order.tolist() and np.allclose(s, total[order])
 
 
+def test_toxicity_finds_held_out_rows_of_a_small_table(spark):
+    from tessera.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in QUERIES["op8_toxicity"](spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    assert any(labels[r.doc_id] for r in held) and all(r.predicted == labels[r.doc_id] for r in held)
+
+
 def test_toxicity_learns_and_odd_rows(spark, odd, none):
     rng = random.Random(4)
     filler = [f"{a}{b}" for a in "bdfgklm" for b in ("ara", "olo", "iti", "unu")]
