@@ -3,9 +3,11 @@
 A page is cut into blocks at block-level tags. Pass 1 decides each block on
 its own: containers that are never content (menus, footers, forms, adverts,
 comments, ...) and link-heavy blocks are boilerplate; long or stop-word-rich
-blocks are content; the rest is undecided. Pass 2 gives an undecided block the
+blocks are content; the rest is undecided. On a page whose words show none of
+the languages with stop words, length and links alone decide. Pass 2 gives an undecided block the
 label of its nearest decided neighbours in the same region (an article, a
-main element, or the page outside of them).
+main element, or the page outside of them); where nothing of the page was
+decided to be content, all undecided blocks are.
 """
 
 from __future__ import annotations
@@ -183,18 +185,28 @@ def blocks(html: str) -> list[Block]:
 def classify(found: list[Block]) -> list[Block]:
     """Labels ``good`` or ``bad`` for all blocks, in two passes."""
     regions = {b.region for b in found if b.region and not b.boiler}
+    counts = []
     for b in found:
-        n = len(b.text)
         words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / max(len(words), 1)
+        counts.append((sum(w.strip(".,;:!?\"'()") in _STOP for w in words), len(words)))
+    own = [c for b, c in zip(found, counts) if not b.boiler and b.links <= LINK_HIGH * len(b.text)]
+    known = sum(c[0] for c in own) >= STOP_LOW * sum(c[1] for c in own)  # a language with stop words
+    for b, (stops, size) in zip(found, counts):
+        n = len(b.text)
+        stop = stops / max(size, 1)
         if b.boiler or b.links > LINK_HIGH * n or b.text.startswith("©"):
             b.label = "bad"
         elif regions and not b.region:
             b.label = "bad"  # the page marks its content, and this is not in it
         elif n >= LENGTH_HIGH and stop >= STOP_LOW or n >= LENGTH_LOW and stop >= STOP_HIGH and not b.links:
             b.label = "good"
+        elif not known and (n >= LENGTH_HIGH or n >= LENGTH_LOW and not b.links):
+            b.label = "good"
         elif n >= LENGTH_HIGH and not b.region and stop < STOP_LOW / 2:
             b.label = "bad"
+    if not any(b.label == "good" for b in found):
+        for b in found:
+            b.label = b.label or "good"
     for region in {b.region for b in found}:
         own = [b for b in found if b.region == region]
         decided = [(i, b.label) for i, b in enumerate(own) if b.label]

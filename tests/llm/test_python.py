@@ -162,6 +162,15 @@ def test_pii_odd_rows(spark, odd, none):
     assert pii.replace(none, b"k").collect() == []
 
 
+def test_main_text_without_article():
+    polish = ("Wczoraj wieczorem mieszkańcy miasta spotkali się przed ratuszem, żeby porozmawiać o przyszłości starego parku. "
+              "Burmistrz obiecał, że drzewa zostaną zachowane, natomiast alejki będą odnowione jeszcze przed końcem lata tego roku.")
+    menu = "<nav><a href=/>Strona</a></nav>"
+    assert html_text.main_text(f"<body>{menu}<div><h1>Park</h1><p>{polish}</p><p>Krótko.</p></div></body>") == f"Park\n{polish}\nKrótko."
+    short = "The office is closed on Monday."
+    assert html_text.main_text(f"<body>{menu}<div><p>{short}</p><p>Call us.</p></div><footer>About</footer></body>") == f"{short}\nCall us."
+
+
 # --- toxicity -------------------------------------------------------------
 def test_nearest_is_exact():
     rng = random.Random(2)
