@@ -49,6 +49,7 @@ _GIVEN_OF = {n.casefold(): g for g, ns in GIVEN.items() for n in ns}
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, _TITLE_OF), key=len, reverse=True))})\.? ({_WORD})(?: ({_WORD}))?")
 _NAMES = re.compile(rf"(?<!\w)({'|'.join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))}) ({_WORD})")
+_POSSESSIVE = re.compile(r"['’]s$")
 _SYLLABLES = {"latin": ("ba be bi bo da de di do fa fe ga ge ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te ti "
                         "to va ve vi za").split(),
               "cyrillic": "ба бе бо ва ве ви га да де ди ка ке ла ле ли ма ме ми на не ни но па ра ре ри са се та те ти за".split()}
@@ -100,6 +101,10 @@ def mentions(text: str) -> list[Mention]:
                 if v:
                     value = v[1].rstrip(".-")
                     out.append(Mention(v.start(1), v.start(1) + len(value), "secret", value))
+    def family(m: re.Match, group: int) -> None:
+        name = _POSSESSIVE.sub("", m[group])
+        out.append(Mention(m.start(group), m.start(group) + len(name), "family", name.casefold()))
+
     for m in _TITLED.finditer(text):
         gender = _TITLE_OF[m[1]]
         first, last = (m[2], m[3]) if m[3] and m[3][0].isupper() else (None, m[2])
@@ -109,16 +114,41 @@ def mentions(text: str) -> list[Mention]:
             if not first[0].isupper():
                 continue
             add(m, f"given_{gender}", first.casefold(), 2)
-            add(m, "family", last.casefold(), 3)
+            family(m, 3)
         else:
-            add(m, "family", last.casefold(), 2)
+            family(m, 2)
     for m in _NAMES.finditer(text):
         if m[2][0].isupper():
             add(m, f"given_{_GIVEN_OF[m[1].casefold()]}", m[1].casefold(), 1)
-            add(m, "family", m[2].casefold(), 2)
-    out.sort(key=lambda x: (x.start, -x.end, x.kind))
+            family(m, 2)
+    return _apart(out)
+
+
+def with_bare_names(text: str) -> list[Mention]:
+    """``mentions`` and, for each name among them, every other place where it
+    stands as a whole word with the same capitalisation; only one-letter names
+    (initials) are not carried over."""
+    kept = mentions(text)
+    names: dict[str, Mention] = {}
+    for x in kept:
+        if x.kind.startswith(("given_", "family")) and x.end - x.start > 1:
+            names.setdefault(text[x.start:x.end], x)
+    if names:
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?!\w)")
+        taken, at = [], 0
+        for m in again.finditer(text):
+            while at < len(kept) and kept[at].end <= m.start():
+                at += 1
+            if at == len(kept) or kept[at].start >= m.end():
+                taken.append(Mention(m.start(), m.end(), names[m[0]].kind, names[m[0]].norm))
+        kept = _apart(kept + taken)
+    return kept
+
+
+def _apart(found: list[Mention]) -> list[Mention]:
+    """``found`` in order without overlaps: the earlier, then the longer, wins."""
     kept: list[Mention] = []
-    for x in out:
+    for x in sorted(found, key=lambda x: (x.start, -x.end, x.kind)):
         if not kept or x.start >= kept[-1].end:
             kept.append(x)
     return kept
@@ -203,10 +233,11 @@ def in_format(mention: str, kind: str, value: str) -> str:
     return value
 
 
-def rewrite(text: str, names: dict[tuple[str, str], str]) -> tuple[str, int]:
-    """``text`` with its mentions replaced by ``names``; and their number."""
+def rewrite(text: str, names: dict[tuple[str, str], str], bare: bool = False) -> tuple[str, int]:
+    """``text`` with its mentions replaced by ``names``; and their number.
+    ``bare``: also those of the names found, wherever they stand alone."""
     out, at = [], 0
-    found = mentions(text)
+    found = with_bare_names(text) if bare else mentions(text)
     for x in found:
         out += [text[at:x.start], in_format(text[x.start:x.end], x.kind, names[x.kind, x.norm])]
         at = x.end
@@ -251,7 +282,7 @@ def assign(distinct: DataFrame, key: bytes, max_attempts: int = 64) -> DataFrame
 
 def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ...) with surrogates in ``text`` and
-    ``n_entities``, the mentions replaced.
+    ``n_entities``, the mentions replaced (a name's bare ones too).
 
     The same ``key`` gives the same surrogates to the same corpus. Null text
     stays null (0 mentions), an empty text empty; rows equal in ``doc_id``
@@ -271,7 +302,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
 
     @F.pandas_udf("struct<text:string,n:long>")
     def rewritten(text: pd.Series, names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(t, 0) if n is None else rewrite(t, {(x["kind"], x["norm"]): x["value"] for x in n})
+        return pd.DataFrame([(t, 0) if n is None else rewrite(t, {(x["kind"], x["norm"]): x["value"] for x in n}, bare=True)
                              for t, n in zip(text, names)], columns=["text", "n"])
 
     done = joined.select("_row", rewritten(F.col("_row.text"), "_names").alias("_done"))

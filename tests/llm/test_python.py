@@ -162,6 +162,18 @@ def test_pii_odd_rows(spark, odd, none):
     assert pii.replace(none, b"k").collect() == []
 
 
+def test_bare_names_take_their_surrogate(spark):
+    text = "Mr Smith came. Smith left, and Smith's dog; Smithers and smith stay. Anna Berg rang; Anna said Berg knew. Mr Smith's hat."
+    found = [(text[m.start:m.end], m.kind, m.norm) for m in pii.with_bare_names(text)]
+    assert [f for f in found if f[0] == "Smith"] == [("Smith", "family", "smith")] * 4
+    assert [f[0] for f in found if f[0] != "Smith"] == ["Anna", "Berg", "Anna", "Berg"]
+    done, n = pii.rewrite(text, {("family", "smith"): "lodeson", ("family", "berg"): "kamaner", ("given_f", "anna"): "bedia"}, bare=True)
+    assert n == 8 and done == ("Mr Lodeson came. Lodeson left, and Lodeson's dog; Smithers and smith stay. "
+                               "Bedia Kamaner rang; Bedia said Kamaner knew. Mr Lodeson's hat.")
+    row = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first()
+    assert row.n_entities == 8 and not re.search(r"\b(Smith|Anna|Berg)\b", row.text)
+
+
 def test_main_text_without_article():
     polish = ("Wczoraj wieczorem mieszkańcy miasta spotkali się przed ratuszem, żeby porozmawiać o przyszłości starego parku. "
               "Burmistrz obiecał, że drzewa zostaną zachowane, natomiast alejki będą odnowione jeszcze przed końcem lata tego roku.")
