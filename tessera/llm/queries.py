@@ -18,6 +18,7 @@ from tessera.llm import (
     mixing,
     pii,
     quality,
+    repair,
     toxicity,
 )
 from tessera.llm.common import table, word_count
@@ -121,3 +122,15 @@ def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     docs = materialize(docs, "mix-sizes")  # ids and counts only: the texts are read once
     return mixing.mix_sources(docs, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_structure_repair", repair.REPAIR_SQL)
+def op11_structure_repair(spark, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and audit."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.audits(repair.damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct().join(found, F.expr("conv_id <=> _conv"), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
