@@ -12,6 +12,7 @@ from tessera.llm import (
     bpe,
     chat,
     fingerprints,
+    hard_negatives,
     html_text,
     jaccard_join,
     line_templates,
@@ -134,3 +135,10 @@ def op11_structure_repair(spark, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
                         F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op13_hard_negatives", hard_negatives.MINE_SQL)
+def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    vectors = hard_negatives.noisy(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
