@@ -20,6 +20,7 @@ from tessera.llm import (
     pii,
     quality,
     repair,
+    suffix_repeats,
     toxicity,
 )
 from tessera.llm.common import table, word_count
@@ -137,6 +138,15 @@ def op11_structure_repair(spark, sf_dir: str) -> DataFrame:
                         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+@query("op12_suffix_dedup", suffix_repeats.REPEATS_SQL)
+def op12_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 100 bytes seen before."""
+    out = suffix_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op13_hard_negatives", hard_negatives.MINE_SQL)
 def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector against all vectors."""
