@@ -4,9 +4,9 @@ A line is parsed down a tree of fixed depth: by its token count, then by its
 leading tokens (a token with a digit is a variable field at once). In a leaf,
 a token is constant where enough documents have it at its place and variable
 (``<*>``) elsewhere; that gives each line a template. Templates that recur
-across documents are boilerplate and their lines are dropped. Copies of one
-document are no recurrence: either documents that would lose most of their
-words are left whole, or copies are told beforehand and count as one document.
+across documents are boilerplate and their lines are dropped, whatever share
+of a document they are. Copies of one document are no recurrence and count as
+one: by default those equal in their set of lines, else as a column says.
 """
 
 from __future__ import annotations
@@ -52,18 +52,15 @@ def _lines(docs: DataFrame, lead: int) -> DataFrame:
                        F.col("x.line").alias("line"))
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens: int = 3, constant_share: float = 0.6,
-                   copy_share: float | None = 0.5, copy_of: str | None = None) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens: int = 1, constant_share: float = 0.6,
+                   copy_of: str | None = None) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ...) without the lines whose template
     occurs in at least ``min_docs`` documents; adds ``n_lines_dropped``.
 
     A template counts if at least ``constant_share`` of its tokens are
-    constant; lines of fewer than ``min_tokens`` tokens never count. A
-    document that would lose more than ``copy_share`` of its words stays
-    whole. With ``copy_share=None`` every document loses its recurring lines,
-    whatever their share, and copies count as one document: rows equal in the
-    column ``copy_of`` (null: of no class), or by default in their set of
-    lines. Null text stays null, an empty text empty; a null ``doc_id`` is an
+    constant; lines of fewer than ``min_tokens`` tokens never count. Copies
+    count as one document: rows equal in the column ``copy_of`` (null: by the
+    lines, too), or by default in their set of lines. Null text stays null, an empty text empty; a null ``doc_id`` is an
     id like others; rows equal in ``doc_id`` and ``text`` count as one
     document and all get the same result; an empty table gives no rows; other
     columns pass through, an input ``n_lines_dropped`` is replaced.
@@ -73,13 +70,11 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
     recur, one to rewrite). Equal lines are counted before tokens are looked
     at, so groups of copies cost one row a line.
     """
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text")
-    one = ["_d", "doc_id"]  # what counts as one document
-    if copy_share is None:
-        same = _line_set(F.col("text"))
-        if copy_of:
-            same = F.when(F.col(f"`{copy_of}`").isNull(), same).otherwise(F.xxhash64(F.lit("class"), F.col(f"`{copy_of}`")))
-        texts, one = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text", same.alias("_c")), ["_c"]
+    same = _line_set(F.col("text"))
+    if copy_of:
+        same = F.when(F.col(f"`{copy_of}`").isNull(), same).otherwise(F.xxhash64(F.lit("class"), F.col(f"`{copy_of}`")))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text", same.alias("_c"))
+    one = ["_c"]  # what counts as one document
     lines = materialize(_lines(texts, lead), "line-leaves")
     long_lines = lines.where(F.col("n_tokens") >= min_tokens)
     distinct = (long_lines.groupBy("leaf", "line", *one).agg(F.min(F.struct("_d", "doc_id", "line_no")).alias("at"))
@@ -109,11 +104,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
     recurring = (hits.select("leaf", "template", *one).distinct().groupBy("leaf", "template")
                  .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf", "template"))
     drops = (hits.join(recurring, ["leaf", "template"], "left_semi").select("_d", "doc_id", "line_no", "n_tokens").distinct()
-             .groupBy("_d", "doc_id").agg(F.collect_list("line_no").alias("_drop"), F.sum("n_tokens").alias("_lost")))
-    if copy_share is not None:
-        words = lines.select("_d", "doc_id", "line_no", "n_tokens").distinct().groupBy("_d", "doc_id").agg(F.sum("n_tokens").alias("_all"))
-        drops = (drops.alias("a").join(words.alias("b"), same_doc).where(F.col("_lost") <= F.col("_all") * copy_share)
-                 .select("a._d", "a.doc_id", "_drop"))
+             .groupBy("_d", "doc_id").agg(F.collect_list("line_no").alias("_drop")))
     drops = drops.select(F.col("_d").alias("_e"), F.col("doc_id").alias("_id"), "_drop")
     rows = packed(docs).select("_row", F.xxhash64("_row.doc_id", "_row.text").alias("_d"))
     out = rows.join(drops, F.expr("_d = _e and _row.doc_id <=> _id"), "left")
@@ -127,27 +118,24 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
 #: DuckDB: the same on whole strings. RE2 has no look-behind; masking token by token is the same.
 LINES_SQL = r"""
 WITH l AS (
-  SELECT doc_id, text, i - 1 AS line_no,
+  SELECT doc_id, text, i - 1 AS line_no, array_to_string(list_sort(list_distinct(list_filter(
+           list_transform(parts, lambda p: trim(p, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), lambda p: p <> ''))), chr(10)) AS copy,
          list_transform(list_filter(regexp_split_to_array(parts[i], '[\x20\x09-\x0D]+'), lambda x: x <> ''),
                         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
   FROM (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS parts FROM documents) d,
        unnest(range(1, len(parts) + 1)) AS r(i)),
-k AS (SELECT doc_id, text, line_no, tokens, len(tokens) AS n FROM l WHERE len(tokens) > 0),
-d AS (SELECT tokens, n, tokens[1:3] AS leaf, count(DISTINCT coalesce(doc_id::VARCHAR, '') || chr(0) || text) AS n_docs
-      FROM k WHERE n >= 3 GROUP BY ALL),
+k AS (SELECT doc_id, text, copy, line_no, tokens, len(tokens) AS n FROM l WHERE len(tokens) > 0),
+d AS (SELECT tokens, n, tokens[1:3] AS leaf, count(DISTINCT copy) AS n_docs FROM k GROUP BY ALL),
 t AS (SELECT tokens, n, leaf, n_docs, place, tokens[place] AS token FROM d, unnest(range(1, n + 1)) AS r(place)),
 c AS (SELECT n, leaf, place, token FROM t WHERE token <> '<*>' GROUP BY ALL HAVING sum(n_docs) >= 3),
 p AS (SELECT t.tokens, t.n, t.leaf, string_agg(CASE WHEN c.place IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.place) AS template,
              count(c.place) AS n_constant
       FROM t LEFT JOIN c ON t.n = c.n AND t.leaf = c.leaf AND t.place = c.place AND t.token = c.token GROUP BY ALL),
-h AS (SELECT k.doc_id, k.text, k.line_no, k.n, p.leaf, p.template FROM k JOIN p ON k.tokens = p.tokens
-      WHERE k.n >= 3 AND p.n_constant >= p.n * 0.6),
-r AS (SELECT n, leaf, template FROM h GROUP BY ALL HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '') || chr(0) || text) >= 3),
-x AS (SELECT h.doc_id, h.text, list(h.line_no) AS gone, sum(h.n) AS lost
-      FROM h JOIN r ON h.n = r.n AND h.leaf = r.leaf AND h.template = r.template GROUP BY ALL),
-a AS (SELECT doc_id, text, sum(n) AS n FROM k GROUP BY ALL),
-y AS (SELECT x.doc_id, x.text, x.gone FROM x JOIN a ON x.text = a.text AND x.doc_id IS NOT DISTINCT FROM a.doc_id
-      WHERE x.lost <= a.n * 0.5)
+h AS (SELECT k.doc_id, k.text, k.copy, k.line_no, k.n, p.leaf, p.template FROM k JOIN p ON k.tokens = p.tokens
+      WHERE p.n_constant >= p.n * 0.6),
+r AS (SELECT n, leaf, template FROM h GROUP BY ALL HAVING count(DISTINCT copy) >= 3),
+y AS (SELECT h.doc_id, h.text, list(h.line_no) AS gone
+      FROM h JOIN r ON h.n = r.n AND h.leaf = r.leaf AND h.template = r.template GROUP BY ALL)
 SELECT o.doc_id, CASE WHEN y.gone IS NULL THEN o.text ELSE array_to_string(
          list_transform(list_filter(range(0, len(string_split(o.text, chr(10)))), lambda i: NOT list_contains(y.gone, i)),
                         lambda i: string_split(o.text, chr(10))[i + 1]), chr(10)) END AS text,

@@ -142,12 +142,15 @@ def test_templates_with_variable_fields_go(spark):
     assert dropped(spark, texts[:2]) == dict(enumerate(texts[:2]))
 
 
-def test_copies_stay_whole_and_short_lines_stay(spark):
+def test_copies_stay_whole_and_short_lines_recur_by_equality(spark):
     copy = "one line of the text that is here\nanother line of the text that is there"
     texts = [copy] * 5 + [f"yes yes\n{w} is a line of its own for this one" for w in ("red", "blue", "green", "grey")]
     got = dropped(spark, texts, constant_share=1.0)
     assert all(got[i] == copy for i in range(5))
-    assert all("yes yes" in got[i] for i in range(5, 9))
+    assert all("yes yes" not in got[i] for i in range(5, 9))
+    cookie = "we use cookies on this site and that is that for now"  # more than half of each document
+    texts = [f"{cookie}\n{w} a {w}" for w in ("red", "blue", "green", "grey", "pink", "white")]
+    assert dropped(spark, texts) == {i: t.split("\n")[1] for i, t in enumerate(texts)}
 
 
 def test_lines_of_odd_rows(odd, none):
@@ -166,7 +169,7 @@ def test_recurring_lines_go_whatever_their_share(spark):
     foot = "this long footer line of the site is on every page of it and says very much about cookies"
     texts = [f"{words_of(i, 4)}\n{foot}" for i in range(4)] + [f"{words_of(9, 8)}\n{words_of(8, 9)}"] * 4
     want = {i: words_of(i, 4) for i in range(4)} | {i: texts[i] for i in range(4, 8)}
-    assert dropped(spark, texts, copy_share=None) == want
+    assert dropped(spark, texts) == want
 
 
 def test_pipeline_drops_lines_of_copies_and_of_short_documents(spark):
@@ -181,6 +184,40 @@ def test_pipeline_drops_lines_of_copies_and_of_short_documents(spark):
     assert got == {i: t.removesuffix(f"\n{foot}") for i, t in enumerate(texts)}
 
 
+def test_copy_column_with_nulls_and_clashing_names(spark, odd, none):
+    foot = "this long footer line of the site is on every page of it and says very much about cookies"
+    docs = spark.createDataFrame([(i, f"{words_of(i, 4)}\n{foot}", c) for i, c in enumerate(["x", "x", "x", None])], "doc_id long, text string, template string")
+    assert all(foot in r.text for r in line_templates.drop_recurring(docs, copy_of="template").collect())
+    docs = spark.createDataFrame([(i, f"{words_of(i, 4)}\n{foot}", c) for i, c in enumerate(["x", "x", None, None])], "doc_id long, text string, template string")
+    assert not any(foot in r.text for r in line_templates.drop_recurring(docs, copy_of="template").collect())
+    got = line_templates.drop_recurring(odd, copy_of="kept")
+    assert got.columns == [*odd.columns, "n_lines_dropped"] and got.count() == odd.count()
+    assert line_templates.drop_recurring(none, copy_of="kept").count() == 0
+
+
+def test_copy_classes(spark, odd, none):
+    from tessera.llm.copy_classes import copy_classes
+
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "klmnp" for b in "aeiou" for c in "rstvx"]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = [" ".join(base)] * 2
+    for _ in range(8):
+        near = list(base)
+        for _ in range(3):
+            near[rng.randrange(200)] = rng.choice(words)
+        texts.append(" ".join(near))
+    other = [" ".join(base[:60]) + " " + " ".join(rng.choice(words) for _ in range(140)) for _ in range(5)]  # a shared passage only
+    docs = spark.createDataFrame([(t,) for t in texts + other + [None, ""]], "text string")
+    by = {r.text_hash: r["class"] for r in copy_classes(docs).collect()}
+    own = [by[r.h] for r in docs.select(F.xxhash64("text").alias("h")).collect()]
+    assert len(set(own[:10])) == 1 and len(set(own[:15])) == 6
+    got = copy_classes(odd)
+    assert got.count() == odd.select("text").distinct().count()
+    assert copy_classes(none).count() == 0
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_masking_is_linear_in_a_token(spark):
     docs = spark.createDataFrame([(i, "a" * 300_000 + " b c d") for i in range(3)], "doc_id long, text string")
     assert line_templates.drop_recurring(docs).count() == 3

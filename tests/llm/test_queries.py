@@ -9,13 +9,13 @@ import corpus_pipeline
 from tools.check import digest
 
 SF = "/root/testdata/sf0.001"
-NUMBERED = [f"op{i}_" for i in range(1, 11)]
+NUMBERED = [f"op{i}_" for i in range(1, 14)]
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
@@ -25,7 +25,8 @@ def test_each_operator_has_one_query():
     assert "pipeline" in names and all(sum(n.startswith(p) for n in names) == 1 for p in NUMBERED)
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op2_jaccard_join", "op6_line_templates", "op10_mix_sources"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_jaccard_join", "op6_line_templates", "op10_mix_sources",
+                                  "op11_structure_repair", "op12_suffix_dedup", "op13_hard_negatives"])
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
@@ -58,3 +59,22 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_stages_carry_clashing_columns(spark, odd, none):
+    extra = {c: F.lit(f"own {c}") for c in ("copy", "target", "taken", "score", "base_failed", "_class", "_h", "text_hash", "a.b", "_copy")}
+    docs = odd.withColumns(extra)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[:len(columns)] == columns
+        rows = out.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in extra)
+        if name == "quality":
+            assert all(r.text for r in rows)
+        if name == "line_dedup":
+            assert len(rows) == docs.count() and sum(r.text is None for r in rows) == docs.where("text is null").count()
+        if name == "mix":
+            assert all(r["size"] == odd_size for r, odd_size in ((r, f"{r.key[1:]}:1") for r in rows))
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert out.columns == [*columns, "n_tokens", "token_ids", "round_trip"] and all(r.round_trip for r in rows)
