@@ -3,7 +3,9 @@
 ``STAGES`` holds ``(name, function)`` in order; a function takes ``(spark,
 docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of
-``documents``.
+``documents``, whatever they are called besides ``doc_id``, ``text`` and
+``source`` (and ``n_chars``, which line dedup keeps true): the stages carry a
+row as one struct past the operators' own columns.
 """
 
 from __future__ import annotations
@@ -11,48 +13,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard_join, line_templates, mixing, quality
-from tessera.llm.common import packed, table
-from tessera.plans.util import materialize
+from tessera.llm import bpe, copy_classes, jaccard_join, line_templates, mixing, quality
+from tessera.llm.common import packed, table, unpacked, word_count
+from tessera.util import materialize
+
+
+def _carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` and its rows as the struct ``_row``."""
+    return packed(docs).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns], "_row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the boosted trees."""
+    """Documents that pass the base rule and the boosted trees (fitted on the
+    labels of ``sf_dir`` and their documents in ``docs``). Null, empty and
+    blank texts fail the base rule and go. Repeated rows are judged alike and
+    all stay or go; a null ``doc_id`` has no label and is judged like others.
+    Empty table: no rows. Very long texts are judged whole."""
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.apply_rules(docs, forest).where("kept").select(*docs.columns)
+    judged = quality.apply_rules(_carried(docs, "text"), forest)
+    return judged.where("kept").select(*unpacked(docs.columns, {}))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; ``n_chars`` follows.
-    The members of a near-duplicate class count as one document, so what only
-    they share stays for the next stage, and no document is left out."""
-    classes = jaccard_join.similar_classes(docs.select("doc_id", "text")).groupBy(
-        F.col("doc_id").alias("_id"), "text_hash").agg(F.min("class_key").alias("_class"))
-    rows = packed(docs).withColumn("_h", F.xxhash64("_row.text"))
-    rows = rows.join(classes, F.expr("_row.doc_id <=> _id and _h = text_hash"), "left").select("_row.*", "_class")
-    out = line_templates.drop_recurring(materialize(rows, "line-dedup-classes"), copy_share=None, copy_of="_class")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the lines of recurring templates; ``n_chars`` follows
+    where there is one. No document is left out; one may become empty. The
+    members of a class of near copies count as one document, so what only they
+    share stays for the next stage. Null text: stays null. Repeated rows are
+    copies and are all rewritten alike. Empty table: no rows. DataFrame
+    functions only."""
+    carried = _carried(docs, "doc_id", "text")
+    classes = copy_classes.copy_classes(carried.select("text"))
+    hashed = carried.withColumn("_h", F.xxhash64("text"))
+    rows = hashed.join(classes, F.col("_h") == F.col("text_hash"), "left").select("doc_id", "text", "_row", F.col("class").alias("_class"))
+    out = line_templates.drop_recurring(materialize(rows, "line-dedup-classes"), copy_of="_class")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast("long")
+    return out.select(*unpacked(docs.columns, new)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word-shingle similarity 0.8."""
+    """One document of each class of five-word-shingle similarity 0.8 or more:
+    that of the least ``doc_id`` (null first, ties by hash of the text), once
+    if its row repeats. Documents without a word stay, equal rows of them
+    once. Empty table: no rows. Very long texts are compared whole."""
     return jaccard_join.one_per_class(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, repeated as their source's target asks."""
-    mixed = mixing.mix_sources(docs, cut="documents", tie=lambda row: [F.xxhash64(row["text"])])
+    """Whole documents, repeated as their source's target asks; a null source
+    is a source of its own. Documents without a word have no size to mix and
+    go. Equal keys (null or repeated ids) go by size, then hash of the text,
+    so reruns agree. Empty table: no rows."""
+    rows = _carried(docs, "doc_id", "source").withColumn("_size", word_count(F.col("_row.text")))
+    mixed = mixing.mix_sources(rows, size=F.col("_size"), cut="documents", tie=lambda row: [F.xxhash64(row["_row"]["text"])])
     times = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(0)
-    return mixed.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return mixed.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*unpacked(docs.columns, {}))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """``n_tokens``, ``token_ids`` (packed little-endian uint32) of every
+    document, and whether they decode to its text (``round_trip``); input
+    columns of these names give way. Null text: encoded as the empty one, no
+    tokens. Repeated rows are encoded alike. Empty table: no rows."""
     import public_tokenizers
 
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
-    return coded.select(*docs.columns, "n_tokens", "token_ids",
-                        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+    coded = bpe.encode(_carried(docs, "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return coded.select(*unpacked(docs.columns, {
+        "n_tokens": F.col("n_tokens"), "token_ids": F.col("token_ids"),
+        "round_trip": F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")}))
 
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mix", mix),
