@@ -6,7 +6,7 @@ a token is constant where enough documents have it at its place and variable
 (``<*>``) elsewhere; that gives each line a template. Templates that recur
 across documents are boilerplate and their lines are dropped, whatever share
 of a document they are. Copies of one document are no recurrence and count as
-one: by default those equal in their set of lines, else as a column says.
+one: those equal in their set of lines, or as a table of classes says.
 """
 
 from __future__ import annotations
@@ -53,14 +53,15 @@ def _lines(docs: DataFrame, lead: int) -> DataFrame:
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens: int = 1, constant_share: float = 0.6,
-                   copy_of: str | None = None) -> DataFrame:
+                   copies: DataFrame | None = None) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ...) without the lines whose template
     occurs in at least ``min_docs`` documents; adds ``n_lines_dropped``.
 
     A template counts if at least ``constant_share`` of its tokens are
     constant; lines of fewer than ``min_tokens`` tokens never count. Copies
-    count as one document: rows equal in the column ``copy_of`` (null: by the
-    lines, too), or by default in their set of lines. Null text stays null, an empty text empty; a null ``doc_id`` is an
+    count as one document: those of one ``class`` in ``copies`` (``text_hash``:
+    ``xxhash64`` of the text, once each; ``class``), where it names them, else
+    those equal in their set of lines. Null text stays null, an empty text empty; a null ``doc_id`` is an
     id like others; rows equal in ``doc_id`` and ``text`` count as one
     document and all get the same result; an empty table gives no rows; other
     columns pass through, an input ``n_lines_dropped`` is replaced.
@@ -70,12 +71,14 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, min_tokens
     recur, one to rewrite). Equal lines are counted before tokens are looked
     at, so groups of copies cost one row a line.
     """
-    same = _line_set(F.col("text"))
-    if copy_of:
-        same = F.when(F.col(f"`{copy_of}`").isNull(), same).otherwise(F.xxhash64(F.lit("class"), F.col(f"`{copy_of}`")))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text", same.alias("_c"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("_d"), "doc_id", "text")
+    owned = texts.select("*", F.xxhash64("text").alias("_t"), _line_set(F.col("text")).alias("_c"))
+    lines = _lines(owned, lead)
+    if copies is not None:
+        named = copies.select(F.col("text_hash").alias("_u"), F.xxhash64(F.lit("class"), "class").alias("_class"))
+        lines = lines.join(named, F.col("_t") == F.col("_u"), "left").withColumn("_c", F.coalesce("_class", "_c")).drop("_u", "_class")
+    lines = materialize(lines.drop("_t"), "line-leaves")
     one = ["_c"]  # what counts as one document
-    lines = materialize(_lines(texts, lead), "line-leaves")
     long_lines = lines.where(F.col("n_tokens") >= min_tokens)
     distinct = (long_lines.groupBy("leaf", "line", *one).agg(F.min(F.struct("_d", "doc_id", "line_no")).alias("at"))
                 .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("at").alias("at")))

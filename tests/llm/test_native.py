@@ -184,15 +184,19 @@ def test_pipeline_drops_lines_of_copies_and_of_short_documents(spark):
     assert got == {i: t.removesuffix(f"\n{foot}") for i, t in enumerate(texts)}
 
 
-def test_copy_column_with_nulls_and_clashing_names(spark, odd, none):
+def test_classes_of_copies_and_clashing_names(spark, odd, none):
     foot = "this long footer line of the site is on every page of it and says very much about cookies"
-    docs = spark.createDataFrame([(i, f"{words_of(i, 4)}\n{foot}", c) for i, c in enumerate(["x", "x", "x", None])], "doc_id long, text string, template string")
-    assert all(foot in r.text for r in line_templates.drop_recurring(docs, copy_of="template").collect())
-    docs = spark.createDataFrame([(i, f"{words_of(i, 4)}\n{foot}", c) for i, c in enumerate(["x", "x", None, None])], "doc_id long, text string, template string")
-    assert not any(foot in r.text for r in line_templates.drop_recurring(docs, copy_of="template").collect())
-    got = line_templates.drop_recurring(odd, copy_of="kept")
+    docs = spark.createDataFrame([(i, f"{words_of(i, 4)}\n{foot}", "own") for i in range(4)], "doc_id long, text string, template string")
+
+    def classes(*names):
+        rows = [(r.h, n) for r, n in zip(docs.select(F.xxhash64("text").alias("h")).collect(), names) if n is not None]
+        return spark.createDataFrame(rows, "text_hash long, class long")
+
+    assert all(foot in r.text for r in line_templates.drop_recurring(docs, copies=classes(7, 7, 7, 8)).collect())
+    assert not any(foot in r.text for r in line_templates.drop_recurring(docs, copies=classes(7, 7, None, None)).collect())
+    got = line_templates.drop_recurring(odd, copies=classes(1, 2, 3, 4).limit(0))
     assert got.columns == [*odd.columns, "n_lines_dropped"] and got.count() == odd.count()
-    assert line_templates.drop_recurring(none, copy_of="kept").count() == 0
+    assert line_templates.drop_recurring(none, copies=classes(1, 1, 1, 1)).count() == 0
 
 
 def test_copy_classes(spark, odd, none):

@@ -75,6 +75,6 @@ def test_stages_carry_clashing_columns(spark, odd, none):
         if name == "line_dedup":
             assert len(rows) == docs.count() and sum(r.text is None for r in rows) == docs.where("text is null").count()
         if name == "mix":
-            assert all(r["size"] == odd_size for r, odd_size in ((r, f"{r.key[1:]}:1") for r in rows))
+            assert all(r["size"].endswith(":0") for r in rows)
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert out.columns == [*columns, "n_tokens", "token_ids", "round_trip"] and all(r.round_trip for r in rows)
