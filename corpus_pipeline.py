@@ -41,15 +41,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share stays for the next stage. Null text: stays null. Repeated rows are
     copies and are all rewritten alike. Empty table: no rows. DataFrame
     functions only."""
-    carried = _carried(docs, "doc_id", "text")
-    classes = copy_classes.copy_classes(carried.select("text"))
-    hashed = carried.withColumn("_h", F.xxhash64("text"))
-    rows = hashed.join(classes, F.col("_h") == F.col("text_hash"), "left").select("doc_id", "text", "_row", F.col("class").alias("_class"))
-    out = line_templates.drop_recurring(materialize(rows, "line-dedup-classes"), copy_of="_class")
-    new = {"text": F.col("text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast("long")
-    return out.select(*unpacked(docs.columns, new)).select(*[f"`{c}`" for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)]).alias("_rest"))
+    out = line_templates.drop_recurring(rows, copies=copy_classes.copy_classes(rows))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    made |= {c: F.col(f"_rest._{i}") for i, c in enumerate(rest)}
+    return out.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
