@@ -33,21 +33,23 @@ def _annotations(spark, sf):
 
 
 @register("annotation_select", sql=rf"""WITH {TOK},
-c AS (SELECT doc_id, begin, "end" FROM tokens WHERE regexp_matches(token, '^\p{{Lu}}') AND starts_with(CAST(doc_id AS VARCHAR), '1')),
+c AS (SELECT doc_id, begin, "end" FROM tokens WHERE regexp_matches(token, '^\p{{Lu}}')),
 f AS (SELECT doc_id, min(begin) AS begin, arg_min("end", (begin, "end")) AS "end", count(*) AS n FROM c GROUP BY doc_id)
 SELECT f.doc_id, CAST(f.begin AS BIGINT) AS begin, CAST(f."end" AS BIGINT) AS "end", CAST(f.n AS BIGINT) AS n_mentions,
-       contains(lower(d.text), 'the') AS has_the
+       contains(lower(d.text), 'the') AS has_the, starts_with(CAST(f.doc_id AS VARCHAR), '1') AS selected
 FROM f JOIN documents d USING (doc_id)""")
 def q_annotation_select(spark, sf):
-    """Packs by name prefix, both passes united, mentions by
-    type and component, the first of each document."""
+    """Both passes of every document united, mentions by type
+    and component, the first of each document, and whether its pack's name
+    has the prefix."""
     d, _, sents, caps = _annotations(spark, sf)
     packs = select_pack(d.withColumn("pack_name", F.col("doc_id").cast("string")), regex="1")
-    both = union_annotations(sents, caps).join(packs.select("doc_id"), "doc_id", "left_semi")
+    both = union_annotations(sents, caps)
     n = select_type(both, "MedicalEntityMention", component="b").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_mentions"))
-    first = first_of_type(both, "MedicalEntityMention").join(n, "doc_id").join(packs.select("doc_id", "text"), "doc_id")
-    return bigint(first.select("doc_id", "begin", "end", "n_mentions",
-                               contains_ci("text", F.lit(" The ")).alias("has_the")), "begin", "end", "n_mentions")
+    first = first_of_type(both, "MedicalEntityMention").join(n, "doc_id").join(d.select("doc_id", "text"), "doc_id")
+    first = first.join(packs.select("doc_id", F.lit(True).alias("_in")), "doc_id", "left")
+    return bigint(first.select("doc_id", "begin", "end", "n_mentions", contains_ci("text", F.lit(" The ")).alias("has_the"),
+                               F.coalesce("_in", F.lit(False)).alias("selected")), "begin", "end", "n_mentions")
 
 
 @register("resolved_links", sql=rf"""WITH {TOK},
