@@ -37,6 +37,22 @@ def test_drop_overlaps_idempotent_and_disjoint(spark):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_drop_overlaps_of_large_clusters(spark):
+    """One cluster of 100,000 spans, one of 3,000 and small ones, against the plain loop."""
+    rnd = random.Random(3)
+    rows = [(0, i, i + rnd.randrange(2, 9), rnd.choice("abc")) for i in range(100_000)]
+    rows += [(1, b, b + rnd.randrange(1, 60), rnd.choice("abc")) for b in (rnd.randrange(2_000) for _ in range(3_000))]
+    rows += [(2 + d, b, b + rnd.randrange(0, 5), "a") for d in range(40) for b in (rnd.randrange(30) for _ in range(9))]
+    want, last = [], {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1], r[1] - r[2], r[3])):
+        if r[1] == r[2] or r[1] >= last.get(r[0], 0):
+            want.append(r)
+            if r[1] != r[2]:
+                last[r[0]] = r[2]
+    df = spark.createDataFrame(rows, "doc_id int, begin int, end int, type string").repartition(8)
+    assert sorted(map(tuple, drop_overlaps(df).collect())) == sorted(want)
+
+
 def test_cautious_sentences_disjoint_and_respect_mentions(spark):
     d = _docs(spark)
     tok = tokenize(d)
