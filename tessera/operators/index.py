@@ -5,17 +5,29 @@ Layout: ``postings(term, doc_id, positions, tf)`` built from A1 word tokens
 ``term_stats(term, df)``. Queries are tables: many questions are answered in
 one job, and the (small, size-checked) query-term table is the only side that
 is ever broadcast.
+
+Written postings are *blocks*: the documents are dealt to segments of about
+``SEGMENT`` documents of similar length, and a block holds what one term has in
+one segment, with its greatest ``tf`` and least length. Block bounds add up per
+(question, segment), so ranking scores the best segments first and then only
+those whose bound reaches the k-th score (block-max pruning). Documents that
+hold every term come from intersecting the blocks of a segment, rarest first;
+positions are read for these documents alone. The block table is bucketed by
+``(term, part)``, a term's segments being spread over ``PARTS`` parts, so joins
+with query terms need no exchange of it and a frequent term is no hot task.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from hashlib import md5
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.tokens import tokenize
-from tessera.util import is_small, scratch_path
+from tessera.util import is_small, materialize, scratch_path
 
 # BM25 parameters and the phrase slop of the question search.
 BM25_K1 = 1.2
@@ -24,12 +36,22 @@ DEFAULT_SLOP = 10
 DEFAULT_SIZE = 1000
 
 
+#: Documents aimed at in a segment, and parts over which a term's segments are spread.
+SEGMENT = 128
+PARTS = 8
+#: Documents scored before the threshold is set, per document asked for.
+AHEAD = 8
+#: What rounded scores may hide: blocks are left out only if they are further below.
+SLACK = 1e-5
+
+
 @dataclass
 class Index:
     postings: DataFrame   # term, <key>, positions ARRAY<INT>, tf INT
     doc_stats: DataFrame  # <key>, n_tokens INT
     term_stats: DataFrame  # term, df BIGINT
     key: str = "doc_id"
+    blocks: DataFrame | None = None  # term, part, seg, n, max_tf, min_dl, keys, tfs, dls, positions
 
 
 def build_index(tokens: DataFrame, key: str = "doc_id", docs: DataFrame | None = None) -> Index:
@@ -56,50 +78,77 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return build_index(tokenize(docs, key, text), key, docs)
 
 
-def write_postings(index: Index, path: str, n: int) -> None:
-    """Postings to parquet, range-partitioned on (term, document) and sorted:
-    a term filter skips row groups, and a frequent term spreads over as many
-    files as it fills instead of one."""
-    (index.postings.repartitionByRange(n, "term", index.key).sortWithinPartitions("term", index.key)
-     .write.mode("overwrite").parquet(path + "/postings"))
-
-
-def write_stats(index: Index, path: str) -> None:
-    """Document lengths, and document frequencies off the written postings."""
-    index.doc_stats.write.mode("overwrite").parquet(path + "/doc_stats")
-    (index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-     .write.mode("overwrite").parquet(path + "/term_stats"))
-
-
-def write_index(index: Index, path: str) -> None:
-    """Inverted index to parquet (K2): postings and the two stats tables."""
-    spark = index.postings.sparkSession
-    write_postings(index, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    write_stats(Index(spark.read.parquet(path + "/postings"), index.doc_stats, index.term_stats, index.key), path)
+def block_postings(postings: DataFrame, key: str, n_docs: int, n_buckets: int | None = None) -> DataFrame:
+    """Postings as blocks, one row per term and segment. A segment is a class
+    of document lengths and a hash of the key, so that its least length is
+    near all of its lengths and block bounds are tight."""
+    spread = max(1, -(-n_docs // (8 * SEGMENT)))
+    seg = F.floor(4 * F.log2(F.col("dl") + 1)) * F.lit(1 << 32) + F.pmod(F.xxhash64(key), F.lit(spread))
+    rows = postings.select("term", key, "positions", "tf", "dl", seg.cast("long").alias("seg"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("seg"), F.lit(PARTS)).cast("int"))
+    if n_buckets:
+        rows = rows.repartition(n_buckets, "term", "part")
+    entry = F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "tf", "dl", "positions"))).alias("e")
+    return rows.groupBy("term", "part", "seg").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), entry).select(
+        "term", "part", "seg", "n", "max_tf", "min_dl", F.col("e.key").alias("keys"), F.col("e.tf").alias("tfs"),
+        F.col("e.dl").alias("dls"), F.col("e.positions").alias("positions"))
+
+
+def _postings_of(blocks: DataFrame, key: str) -> DataFrame:
+    zipped = F.explode(F.arrays_zip("keys", "positions", "tfs", "dls")).alias("e")
+    return blocks.select("term", zipped).select("term", F.col("e.keys").alias(key), F.col("e.positions").alias("positions"),
+                                                F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl"))
+
+
+def _block_table(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The block files of ``path`` as a bucketed table of this session."""
+    layout = json.loads(spark.read.text(path + "/layout").first()[0])
+    name = "tessera_blocks_" + md5(path.encode()).hexdigest()[:16]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({layout['columns']}) USING parquet CLUSTERED BY (term, part) SORTED BY (term, seg) "
+              f"INTO {layout['buckets']} BUCKETS LOCATION '{path}/blocks'")
+    # joins on (term, part, seg) may use the buckets of (term, part)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark.table(name)
+
+
+def write_index(index: Index, path: str, docs: DataFrame | None = None) -> None:
+    """Inverted index to files (K2): the bucketed block table, its layout and
+    the two stats tables, which are derived from the written blocks, so the
+    corpus is tokenized once. With ``docs`` documents without a word get
+    length 0."""
+    spark, key = index.postings.sparkSession, index.key
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_docs = (docs if docs is not None else index.doc_stats).count()
+    name = "tessera_write_" + md5(path.encode()).hexdigest()[:16]
+    rows = block_postings(index.postings, key, n_docs, buckets)
+    (rows.write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, "term", "part").sortBy("term", "seg").option("path", path + "/blocks").saveAsTable(name))
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    spark.createDataFrame([(json.dumps({"buckets": buckets, "parts": PARTS, "columns": columns}),)], "value string").coalesce(1).write.mode(
+        "overwrite").text(path + "/layout")
+    blocks = spark.read.schema(rows.schema).parquet(path + "/blocks")
+    doc_stats = index.doc_stats
+    if docs is not None:
+        doc_stats = _postings_of(blocks, key).groupBy(key).agg(F.first("dl").alias("n_tokens"))
+        doc_stats = docs.select(key).join(doc_stats, key, "left").select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    doc_stats.write.mode("overwrite").parquet(path + "/doc_stats")
+    blocks.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(path + "/term_stats")
 
 
 def read_index(spark, path: str, key: str = "doc_id") -> Index:
-    r = spark.read
-    return Index(r.parquet(path + "/postings"), r.parquet(path + "/doc_stats"), r.parquet(path + "/term_stats"), key)
+    blocks = _block_table(spark, path, key)
+    return Index(_postings_of(blocks, key), spark.read.parquet(path + "/doc_stats"), spark.read.parquet(path + "/term_stats"), key, blocks)
 
 
 def materialize_index(index: Index, name: str = "index", docs: DataFrame | None = None) -> Index:
     """Write the index once to the shared checkpoint folder and read it back
-    (cuts lineage; survives lost executors). The stats tables are derived
-    from the written postings, so the corpus is tokenized exactly once; with
-    ``docs`` documents without a word get length 0."""
-    key = index.key
+    (cuts lineage; survives lost executors)."""
     spark = index.postings.sparkSession
     path = scratch_path(spark, name)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    write_postings(index, path, n)
-    postings = spark.read.parquet(path + "/postings")
-    doc_stats = postings.groupBy(key).agg(F.first("dl").alias("n_tokens"))
-    if docs is not None:
-        doc_stats = (docs.select(key).join(doc_stats, key, "left")
-                     .select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
-    write_stats(Index(postings, doc_stats, index.term_stats, key), path)
-    return read_index(spark, path, key)
+    write_index(index, path, docs)
+    return read_index(spark, path, index.key)
 
 
 def query_terms(queries: DataFrame, qkey: str = "question_id", qtext: str = "query") -> DataFrame:
@@ -113,56 +162,102 @@ def _corpus_stats(index: Index) -> DataFrame:
     return index.doc_stats.agg(F.count(F.lit(1)).alias("_N"), F.avg("n_tokens").alias("_avgdl"))
 
 
-def _scored_terms(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float,
-                  small: bool | None = None) -> DataFrame:
-    """Query terms joined to their postings, with the BM25 contribution of
-    each distinct query term (repeated query terms count once):
-    ``qkey, q_pos, term, key, positions, part``."""
-    key = index.key
-    first = F.min("q_pos").over(Window.partitionBy(qkey, "term"))
-    qt = (qterms.select(qkey, "q_pos", "term")
-          .join(index.term_stats, "term", "left")
-          .crossJoin(F.broadcast(_corpus_stats(index)))
-          .withColumn("_first", first == F.col("q_pos"))
-          .withColumn("_idf", F.log(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    # one row per query position: its size is that of ``qterms``
-    small = is_small(qterms) if small is None else small
-    tp = (F.broadcast(qt) if small else qt).join(index.postings, "term")
-    tfn = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avgdl")))
-    return tp.select(qkey, "q_pos", "term", key, "positions",
-                     F.when(F.col("_first"), F.col("_idf") * tfn).otherwise(F.lit(0.0)).alias("part"))
-
-
-def _per_doc(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float,
-             require_all: bool) -> DataFrame:
-    """One row per (question, document) sharing a term: ``score``, number of
-    query positions present ``got`` / needed ``need``, and the occurrence
-    lists. Grouped on (question, document): never one group per question."""
-    key = index.key
-    small = is_small(qterms)
-    st = _scored_terms(index, qterms, qkey, k1, b, small)
-    agg = st.groupBy(qkey, key).agg(
-        F.sum("part").alias("score"),
-        F.count(F.lit(1)).alias("got"),
-        F.collect_list(F.struct("q_pos", "term", "positions")).alias("occ"))
-    need = qterms.groupBy(qkey).agg(F.count(F.lit(1)).alias("need"))
-    out = agg.join(F.broadcast(need) if small else need, qkey)
-    if require_all:
-        out = out.where(F.col("got") == F.col("need"))
-    return out
+def _tf_norm(tf, dl, k1: float, b: float):
+    return (F.col(tf) * (k1 + 1)) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("_avgdl")))
 
 
-def all_terms(index: Index, qterms: DataFrame, qkey: str = "question_id") -> DataFrame:
-    """Documents holding every query term (J10, relational division):
-    ``qkey, key``."""
-    return _per_doc(index, qterms, qkey, BM25_K1, BM25_B, True).select(qkey, index.key)
+def _asked(index: Index, qterms: DataFrame, qkey: str) -> DataFrame:
+    """The different indexed terms of each question: ``qkey, term, _at`` (its
+    query positions), ``_idf, _avgdl, _small``."""
+    per = qterms.groupBy(qkey, "term").agg(F.sort_array(F.collect_list("q_pos")).alias("_at"))
+    per = F.broadcast(per) if is_small(qterms) else per
+    idf = F.log(1 + (F.col("_N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return (per.join(index.term_stats, "term").crossJoin(F.broadcast(_corpus_stats(index)))
+            .select(qkey, "term", "_at", idf.alias("_idf"), "_avgdl"))
+
+
+def _blocks(index: Index) -> DataFrame:
+    """The written blocks, or those of an index that is not written."""
+    return index.blocks if index.blocks is not None else block_postings(index.postings, index.key, 1)
+
+
+def _side(rows: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rows) if small else rows
+
+
+def _segments(blocks: DataFrame, asked: DataFrame, qkey: str, k1: float, b: float, small: bool) -> DataFrame:
+    """Bounds per question and segment, off the blocks' heads: ``qkey, seg,
+    bound`` (of any document's score), ``n`` (documents that hold one of
+    the terms, at least) and ``terms`` (how many have a block there)."""
+    parts = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    heads = blocks.select("term", "part", "seg", "n", "max_tf", "min_dl").join(_side(parts, small), ["term", "part"])
+    return heads.groupBy(qkey, "seg").agg(F.sum(F.col("_idf") * _tf_norm("max_tf", "min_dl", k1, b)).alias("bound"),
+                                          F.max("n").alias("n"), F.count(F.lit(1)).alias("terms"))
+
+
+def _in_segments(blocks: DataFrame, asked: DataFrame, segments: DataFrame, qkey: str, columns: list[str], more=()) -> DataFrame:
+    """The blocks (only ``columns`` are read) of the asked terms in the given
+    (question, segment) pairs, with the terms' columns and ``more``."""
+    part = F.pmod(F.xxhash64("seg"), F.lit(PARTS)).cast("int")
+    wanted = segments.select(qkey, "seg", part.alias("part"), *more).join(_side(asked, is_small(asked)), qkey)
+    return blocks.select("term", "part", "seg", *columns).join(wanted, ["term", "part", "seg"])
+
+
+def _scores_in(index: Index, blocks: DataFrame, asked: DataFrame, segments: DataFrame, qkey: str, k1: float, b: float) -> DataFrame:
+    """BM25 of the documents of the given (question, segment) pairs."""
+    hits = _in_segments(blocks, asked, segments, qkey, ["keys", "tfs", "dls"])
+    hits = hits.select(qkey, "_idf", "_avgdl", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("_e")).select(
+        qkey, F.col("_e.keys").alias(index.key), (F.col("_idf") * _tf_norm("_e.tfs", "_e.dls", k1, b)).alias("_part"))
+    return hits.groupBy(qkey, index.key).agg(F.sum("_part").alias("score"))
 
 
 def bm25_scores(index: Index, qterms: DataFrame, qkey: str = "question_id",
                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """BM25 of every (question, document) sharing a term: ``qkey, key,
-    score``. ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``."""
-    return _per_doc(index, qterms, qkey, k1, b, False).select(qkey, index.key, "score")
+    score``. ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; a term repeated
+    in the question counts once."""
+    asked = _asked(index, qterms, qkey)
+    tp = index.postings.select("term", index.key, "tf", "dl").join(_side(asked, is_small(qterms)), "term")
+    return tp.groupBy(qkey, index.key).agg(F.sum(F.col("_idf") * _tf_norm("tf", "dl", k1, b)).alias("score"))
+
+
+def _holding_all(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, asked terms, and ``qkey, seg, _docs``: the documents of each
+    segment that hold every term of the question. Segments where a term has no
+    block fall out by their heads; in the others the blocks' documents are
+    intersected from the shortest block on. A segment bounds all arrays."""
+    blocks, asked = _blocks(index), _asked(index, qterms, qkey)
+    need = qterms.groupBy(qkey).agg(F.countDistinct("term").alias("_terms"))
+    small = is_small(qterms)
+    full = _segments(blocks, asked, qkey, k1, b, small).join(_side(need, small), qkey).where("terms = _terms").select(qkey, "seg")
+    lists = (_in_segments(blocks, asked, full, qkey, ["n", "keys"]).groupBy(qkey, "seg")
+             .agg(F.sort_array(F.collect_list(F.struct("n", "term", "keys"))).alias("_l")))
+    docs = F.aggregate(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(1))), F.col("_l")[0]["keys"],
+                       lambda have, x: F.when(F.size(have) == 0, have).otherwise(F.array_intersect(have, x["keys"])))
+    held = lists.select(qkey, "seg", docs.alias("_docs")).where(F.size("_docs") > 0)
+    return blocks, asked, held
+
+
+def _per_doc(index: Index, qterms: DataFrame, qkey: str, k1: float, b: float) -> DataFrame:
+    """One row per (question, document) holding all terms: ``score``, ``need``
+    (query positions) and the occurrence lists ``occ``."""
+    blocks, asked, held = _holding_all(index, qterms, qkey, k1, b)
+    held = materialize(held, "all-terms")
+    hits = _in_segments(blocks, asked, held, qkey, ["keys", "tfs", "dls", "positions"], more=["_docs"])
+    hits = hits.select(qkey, "term", "_at", "_idf", "_avgdl", F.explode(F.filter(
+        F.arrays_zip("keys", "tfs", "dls", "positions", F.transform("keys", lambda k: F.array_contains(F.col("_docs"), k)).alias("held")),
+        lambda e: e["held"])).alias("_e"))
+    occurrence = F.transform("_at", lambda p: F.struct(p.alias("q_pos"), F.col("term"), F.col("_e.positions").alias("positions")))
+    return hits.groupBy(qkey, F.col("_e.keys").alias(index.key)).agg(
+        F.sum(F.col("_idf") * _tf_norm("_e.tfs", "_e.dls", k1, b)).alias("score"), F.sum(F.size("_at")).alias("need"),
+        F.flatten(F.collect_list(occurrence)).alias("occ"))
+
+
+def all_terms(index: Index, qterms: DataFrame, qkey: str = "question_id") -> DataFrame:
+    """Documents holding every query term (J10, relational division):
+    ``qkey, key``."""
+    _, _, held = _holding_all(index, qterms, qkey, BM25_K1, BM25_B)
+    return held.select(qkey, F.explode("_docs").alias(index.key))
 
 
 def top_k(scored: DataFrame, k: int, qkey: str = "question_id", key: str = "doc_id",
@@ -175,9 +270,36 @@ def top_k(scored: DataFrame, k: int, qkey: str = "question_id", key: str = "doc_
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_topk(index: Index, qterms: DataFrame, k: int = 10, qkey: str = "question_id") -> DataFrame:
-    """R2: ``qkey, key, score, rank``."""
-    return top_k(bm25_scores(index, qterms, qkey), k, qkey, index.key)
+def bm25_topk(index: Index, qterms: DataFrame, k: int = 10, qkey: str = "question_id",
+              k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """R2: ``qkey, key, score, rank`` of the first ``k`` documents, by
+    block-max pruning in two steps: each question's segments of greatest
+    bound, until they hold ``AHEAD * k`` documents, are scored first; of the others
+    only those whose bound reaches the k-th score found (every score is at
+    most its segment's bound, so nothing is lost)."""
+    blocks, asked = _blocks(index), _asked(index, qterms, qkey)
+    first, bounds = _first_segments(blocks, asked, qterms, k, qkey, k1, b)
+    found = materialize(_scores_in(index, blocks, asked, first, qkey, k1, b), "first-scores")
+    rest = _segments_left(bounds, first, found, index.key, k, qkey)
+    more = _scores_in(index, blocks, asked, rest, qkey, k1, b)
+    return top_k(found.unionByName(more), k, qkey, index.key)
+
+
+def _first_segments(blocks: DataFrame, asked: DataFrame, qterms: DataFrame, k: int, qkey: str, k1: float,
+                    b: float) -> tuple[DataFrame, DataFrame]:
+    """The segments to score first, and the bounds of all."""
+    bounds = materialize(_segments(blocks, asked, qkey, k1, b, is_small(qterms)), "segment-bounds")
+    w = Window.partitionBy(qkey).orderBy(F.desc("bound"), "seg")
+    best = bounds.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= AHEAD * k)  # each holds a document at least
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return best.withColumn("_before", before).where(F.col("_before") < AHEAD * k).select(qkey, "seg"), bounds
+
+
+def _segments_left(bounds: DataFrame, first: DataFrame, found: DataFrame, key: str, k: int, qkey: str) -> DataFrame:
+    """The other segments that may hold one of the first ``k`` documents."""
+    kth = top_k(found, k, qkey, key).where(F.col("rank") == k).select(qkey, F.col("score").alias("_kth"))
+    rest = bounds.join(first, [qkey, "seg"], "left_anti").join(kth, qkey, "left")
+    return rest.where(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - SLACK)).select(qkey, "seg")
 
 
 def _phrase_width(per_doc: DataFrame, key: str, qkey: str, slop: int) -> DataFrame:
@@ -229,7 +351,7 @@ def phrase_match(index: Index, qterms: DataFrame, slop: int = DEFAULT_SLOP,
     """Documents where the query positions fit in a window of spread
     ``<= slop``: ``qkey, key, width``. The copies of a term repeated in the
     query take positions of their own, in order."""
-    pd_ = _per_doc(index, qterms, qkey, BM25_K1, BM25_B, True)
+    pd_ = _per_doc(index, qterms, qkey, BM25_K1, BM25_B)
     return _phrase_width(pd_, index.key, qkey, slop).drop("score")
 
 
@@ -239,5 +361,5 @@ def search(index: Index, queries: DataFrame, size: int = DEFAULT_SIZE, slop: int
     """Phrase filter, BM25 rank, top ``size`` per question:
     ``qkey, key, score, rank, width``."""
     qt = query_terms(queries, qkey, qtext)
-    pd_ = _per_doc(index, qt, qkey, k1, b, True)
+    pd_ = _per_doc(index, qt, qkey, k1, b)
     return top_k(_phrase_width(pd_, index.key, qkey, slop), size, qkey, index.key)

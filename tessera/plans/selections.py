@@ -74,7 +74,7 @@ def q_index_roundtrip(spark, sf):
     """K2: the index written, read and counted."""
     path = scratch_path(spark, "index-files")
     d = docs(spark, sf)
-    write_index(build_index(tokenize(d), docs=d), path)
+    write_index(build_index(tokenize(d), docs=d), path, d)
     idx = read_index(spark, path)
     out = idx.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")).join(idx.term_stats, "term")
     return bigint(out.select("term", "df", "cf", "max_tf"), "df", "cf", "max_tf")

@@ -70,7 +70,7 @@ def q_stream_news(spark, sf):
 def q_stream_search(spark, sf):
     idx = R._index(spark, sf)
     src = scratch_path(spark, "questions-in")
-    R.phrases(spark).repartition(3).write.parquet(src)
+    R.questions(spark, sf).repartition(3).write.parquet(src)
     out = stream_table(spark, src, "question_id string, query string", scratch_path(spark, "search-out"),
                        scratch_path(spark, "search-ckpt"), lambda b: search(idx, b, R.TOP_K, R.SLOP))
     return bigint(out.select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"), "width"),
