@@ -47,13 +47,18 @@ def prf(counts: DataFrame, compat: bool = False) -> DataFrame:
     """Corpus precision / recall / F1 in percent (E2). Zero denominators
     give 0.0; ``compat`` reproduces the swapped names (Q10)."""
     s = counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("exact", "n_ref", "n_pred")])
+    return with_prf(s, compat)
+
+
+def with_prf(totals: DataFrame, compat: bool = False) -> DataFrame:
+    """Rows of totals ``exact, n_ref, n_pred`` with ``precision``, ``recall``
+    and ``f1`` of each; other columns pass through."""
     p = F.coalesce(F.try_divide(F.col("exact").cast("double"), F.col("n_pred")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("exact").cast("double"), F.col("n_ref")), F.lit(0.0))
     if compat:
         p, r = r, p
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    return s.select("exact", "n_ref", "n_pred", (p * 100).alias("precision"), (r * 100).alias("recall"),
-                    (f1 * 100).alias("f1"))
+    return totals.select("*", (p * 100).alias("precision"), (r * 100).alias("recall"), (f1 * 100).alias("f1"))
 
 
 def align_tokens(ref_tags: DataFrame, pred_tags: DataFrame, key: str = "doc_id", unit: str = "tok_idx",

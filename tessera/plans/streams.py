@@ -17,7 +17,9 @@ from tessera.plans.sqlfrag import sentences_cte, tokens_cte
 from tessera.util import materialize, read_table, scratch_path
 from tessera.sources.readers import parse_news
 from tessera.sources.sinks import read_packs, write_packs
-from tessera.streaming.jobs import index_batch, merged_index, stream_corpus, stream_table
+from tessera.streaming.jobs import (
+    index_batch, merged_index, running_scores, stream_corpus, stream_index, stream_table,
+)
 
 
 RECORD = "\x1e"  # ends a record of the streamed news files
@@ -113,6 +115,66 @@ def q_stream_doc_stats(spark, sf):
 ORACLES["stream_index"] = ORACLES["index_stats"]
 
 
+@register("stream_compacted")
+def q_stream_compacted(spark, sf):
+    """The incremental index over seven batches, compacted after every third:
+    older versions of a tenth of the documents, documents that are taken out
+    later, then the documents themselves."""
+    d = docs(spark, sf).withColumn("removed", F.lit(False))
+    src = scratch_path(spark, "docs-in")
+    old = d.where(F.col("doc_id") % 10 == 0).withColumn("text", F.concat(F.lit("outdated words "), "text"))
+    passing = d.where(F.col("doc_id") % 7 == 0).withColumn("doc_id", -F.col("doc_id") - 1)
+    for part in (old, passing, passing.withColumn("removed", F.lit(True)).withColumn("text", F.lit(None).cast("string"))):
+        part.coalesce(1).write.mode("append").parquet(src)
+    d.repartition(4).write.mode("append").parquet(src)
+    idx = stream_index(spark, src, "doc_id bigint, text string, removed boolean", scratch_path(spark, "postings-out"),
+                       scratch_path(spark, "postings-ckpt"), compact_every=3)
+    res = idx.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return bigint(res, "df", "cf", "max_tf")
+
+
+ORACLES["stream_compacted"] = ORACLES["index_stats"]
+
+
+def _batch_counts(spark, sf, landed, max_files=1):
+    """Match counts of each streamed batch of test documents (those of
+    ``landed``, a folder) against the fitted tagger; the folder written."""
+    from tessera.operators.evaluate import match_counts
+    from tessera.operators.tags import bio_encode, fit_tagger, iob_decode, predict_tags
+    from tessera.operators.tokens import with_sentence_idx
+    lab, _ = TG.labelled(spark, sf)
+    model = materialize(fit_tagger(lab.where(F.col("doc_id") % 5 != 0)), "model")
+
+    def score(batch):
+        tok = with_sentence_idx(tokenize(batch))
+        r = TG.reference_runs(tok)
+        pred = predict_tags(bio_encode(tok, r), model)
+        ps = iob_decode(pred, label="pred", segment="sent_idx").select("doc_id", "begin", "end", "ner_type")
+        return match_counts(r, ps).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("exact", "n_ref", "n_pred")])
+
+    out = scratch_path(spark, "counts-out")
+    stream_table(spark, landed, "doc_id bigint, text string", out, scratch_path(spark, "counts-ckpt"), score, max_files=max_files)
+    return out
+
+
+@register("stream_running_scores", sql=f"""WITH {TG.MODEL_SQL},
+g AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) % 4 AS batch, sum(exact) AS x, sum(n_ref) AS r, sum(n_pred) AS p FROM counts GROUP BY 1),
+t AS (SELECT batch, CAST(sum(x) OVER w AS BIGINT) AS exact, CAST(sum(r) OVER w AS BIGINT) AS n_ref, CAST(sum(p) OVER w AS BIGINT) AS n_pred
+      FROM g WINDOW w AS (ORDER BY batch))
+SELECT batch, exact, n_ref, n_pred, round(CASE WHEN n_pred = 0 THEN 0.0 ELSE exact / n_pred END * 100, 6) AS precision,
+       round(CASE WHEN n_ref = 0 THEN 0.0 ELSE exact / n_ref END * 100, 6) AS recall,
+       round(CASE WHEN exact = 0 THEN 0.0 ELSE 2.0 * exact / (n_pred + n_ref) END * 100, 6) AS f1
+FROM t""")
+def q_stream_running_scores(spark, sf):
+    """The tagger's score after each of four batches of test documents."""
+    landed = scratch_path(spark, "test-docs-in")
+    d = docs(spark, sf).where(F.col("doc_id") % 5 == 0)
+    for g in range(4):  # one after the other: files are taken in the order they land
+        d.where(F.floor(F.col("doc_id") / 5) % 4 == g).coalesce(1).write.mode("append").parquet(landed)
+    r = running_scores(spark, _batch_counts(spark, sf, landed), scratch_path(spark, "totals-out"), scratch_path(spark, "totals-ckpt"))
+    return bigint(r.select("batch", "exact", "n_ref", "n_pred", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]), "batch")
+
+
 @register("stream_scores")
 def q_stream_scores(spark, sf):
     from tessera.operators.evaluate import match_counts, prf
