@@ -419,6 +419,29 @@ def conll_documents(units: DataFrame, file_col: str = "file") -> tuple[DataFrame
     return docs, sents
 
 
+def conll_mentions(units: DataFrame, mention_class: str = "EntityMention", compat: bool = False, linked_compat: bool = False,
+                   file_col: str = "file") -> DataFrame:
+    """The mentions of a column file's units: ``file, doc_ord, begin, end,
+    ner_type, first_unit, type``, where ``type`` is the annotation class asked
+    for (S7). ``compat``: an open mention is dropped at the end of a document
+    and goes on over sentence ends (Q1, Q5). ``linked_compat``: ends as the
+    linked reader sets them, at the next word's begin, and at the end of a
+    document at the last word's begin (Q2)."""
+    from tessera.operators.tags import iob_decode
+
+    keyed = units.withColumn("_doc", F.concat_ws("#", file_col, F.col("doc_ord").cast("string")))
+    found = iob_decode(keyed, key="_doc", segment=None if compat else "sent_ord", compat=compat)
+    # the key holds both columns: nothing to join for them
+    ordinal = F.substring_index("_doc", "#", -1)
+    own = [F.expr("substring(_doc, 1, length(_doc) - length(substring_index(_doc, '#', -1)) - 1)").alias(file_col),
+           ordinal.cast("int").alias("doc_ord")]
+    if linked_compat:
+        w = Window.partitionBy("_doc").orderBy("tok_idx")
+        ends = keyed.select(F.col("_doc").alias("_d"), F.col("end").alias("_end"), F.coalesce(F.lead("begin").over(w), "begin").alias("_next"))
+        found = found.join(ends, (F.col("_doc") == F.col("_d")) & (F.col("end") == F.col("_end"))).withColumn("end", F.col("_next"))
+    return found.select(*own, "begin", "end", "ner_type", "first_unit", F.lit(mention_class).alias("type"))
+
+
 def parse_links(files: DataFrame, file_col: str = "file", content_col: str = "content",
                 doc_break: str = DOC_BREAK, lines_given: bool = False, compat: bool = False) -> DataFrame:
     """``.link.tsv`` side file -> ``file, doc_ord, token_idx, yago2_entity,

@@ -163,3 +163,17 @@ def test_conll_n_sentences_split_scan(spark, tmpdir_fresh):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [(d, 10, 50) for d in range(5)]
     assert first == {d: f"w{10 * d}x0" for d in range(5)}
+
+
+def test_mention_class_and_ends_of_the_linked_reader(spark):
+    from tessera.sources.readers import conll_mentions
+
+    words = [("EU", "B-ORG"), ("rejects", "O"), ("German", "B-MISC"), ("call", "O"), ("to", "O"), ("boycott", "O"), ("British", "B-MISC"),
+             ("lamb", "O"), (".", "O")]
+    content = "-DOCSTART-\n\n" + "\n".join(" ".join(w) for w in words) + "\n\n-DOCSTART-\n\nin O\nNew B-LOC\nYork I-LOC\n"
+    units = conll_units(spark.createDataFrame([("f", content)], "file string, content string"), ("word", "entity_label"))
+    key = lambda df: sorted((r.doc_ord, r.begin, r.end, r.ner_type, r.type) for r in df.collect())
+    assert key(conll_mentions(units)) == [(1, 0, 2, "ORG", "EntityMention"), (1, 11, 17, "MISC", "EntityMention"),
+                                          (1, 34, 41, "MISC", "EntityMention"), (2, 3, 11, "LOC", "EntityMention")]
+    got = key(conll_mentions(units, "WikiEntityMention", linked_compat=True))
+    assert [g[:3] for g in got] == [(1, 0, 3), (1, 11, 18), (1, 34, 42), (2, 3, 7)] and {g[4] for g in got} == {"WikiEntityMention"}
