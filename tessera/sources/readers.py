@@ -39,8 +39,8 @@ def list_corpus(spark: SparkSession, path: str, ext: str, recursive: bool = True
         r = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", str(recursive).lower()).load(path))
         return r.select(F.col("path").alias("file"), F.col("content"))
-    r = (spark.read.option("wholetext", "true").option("pathGlobFilter", glob)
-         .option("recursiveFileLookup", str(recursive).lower()).text(path))
+    r = (spark.read.option("pathGlobFilter", glob)
+         .option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True))
     return r.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
