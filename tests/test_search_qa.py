@@ -61,3 +61,22 @@ def test_relations_by_text_compat(spark):
     assert by_span == [("bad", "here"), ("flu", "bad")]
     by_text = [(r["x0"], r["x1"]) for r in relations(links, by_text=True).collect()]
     assert by_text == [("bad", "here")]
+
+
+def test_learned_part_of_speech(spark):
+    from tessera.operators.qa import fit_pos, tag_pos_learned
+    from tessera.operators.tokens import tokenize
+
+    units = spark.createDataFrame([("Runs", "VBZ"), ("runs", "VBZ"), ("runs", "NNS"), ("cells", "NNS"), ("walls", "NNS"), ("is", "VBZ"),
+                                   ("tie", "VB"), ("tie", "NN"), ("kept", None), (None, "JJ"), ("x", "SYM")], "word string, pos string")
+    forms, suffixes = fit_pos(units)
+    assert {r.form: (r.pos, r.n) for r in forms.collect()} == {
+        "runs": ("VBZ", 2), "cells": ("NNS", 1), "walls": ("NNS", 1), "is": ("VBZ", 1), "tie": ("NN", 1), "x": ("SYM", 1)}
+    ends = {r.suffix: (r.pos, r.n) for r in suffixes.collect()}
+    assert ends["s"] == ("NNS", 3) and ends["lls"] == ("NNS", 2) and ends["uns"] == ("VBZ", 2) and "runs" not in ends
+    docs = spark.createDataFrame([(1, "Runs bells guns kept tie, qqq x"), (2, None)], "doc_id int, text string")
+    got = [(r.token, r.pos, r.pos_by) for r in tag_pos_learned(tokenize(docs), forms, suffixes).orderBy("tok_idx").collect()]
+    assert got == [("Runs", "VBZ", "form"), ("bells", "NNS", "suffix"), ("guns", "VBZ", "suffix"), ("kept", "NN", "default"),
+                   ("tie", "NN", "form"), (",", ",", "token"), ("qqq", "NN", "default"), ("x", "SYM", "form")]
+    empty = fit_pos(units.limit(0))
+    assert {r.pos_by for r in tag_pos_learned(tokenize(docs), *empty).collect()} == {"default", "token"}
