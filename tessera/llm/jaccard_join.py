@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join by MinHash bands and exact verification.
 
 Each document's set of word n-grams gets one label (a row of MinHash values)
-per tree. Documents that share a label's prefix meet in a node of that tree's
-prefix trie; the matched prefix starts at the full label and is shortened
-until the forest finds the target share of pairs at the threshold. What meets
-is verified exactly on the n-gram sets. Copies (equal sets) are one
+per tree. Documents that share a label's prefix meet. One similarity for all
+documents makes one prefix length right: the longest that finds the target
+share of pairs at the threshold, computed before data is read; so a tree is a
+band of that length and no trie is kept. What meets is verified exactly on
+the n-gram sets. Copies (equal sets) are one
 representative from the start and never form pairs.
 """
 
