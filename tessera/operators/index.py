@@ -131,7 +131,8 @@ def write_index(index: Index, path: str, docs: DataFrame | None = None) -> None:
     blocks = spark.read.schema(rows.schema).parquet(path + "/blocks")
     doc_stats = index.doc_stats
     if docs is not None:
-        doc_stats = _postings_of(blocks, key).groupBy(key).agg(F.first("dl").alias("n_tokens"))
+        lengths = blocks.select(F.explode(F.arrays_zip("keys", "dls")).alias("_e"))  # no positions are read for these
+        doc_stats = lengths.groupBy(F.col("_e.keys").alias(key)).agg(F.first("_e.dls").alias("n_tokens"))
         doc_stats = docs.select(key).join(doc_stats, key, "left").select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
     doc_stats.write.mode("overwrite").parquet(path + "/doc_stats")
     blocks.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(path + "/term_stats")
