@@ -12,7 +12,7 @@ from tools.check import digest
 
 SF = "/root/testdata/sf0.001"
 FAST = ["tokenize_offsets", "sentences", "covered_by", "replace_spans", "bio_roundtrip", "search", "packs_json",
-        "stream_index", "conll_docs"]
+        "stream_index", "conll_docs", "conll_linked", "bm25_topk", "pos_learned", "stream_running_scores"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("TESSERA_ORACLE_TESTS") == "all" else FAST
 
 
