@@ -1,20 +1,23 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass 1 decides each block on
-its own: containers that are never content (menus, footers, forms, adverts,
+its own: containers that are never content (menus, footers, adverts,
 comments, ...) and link-heavy blocks are boilerplate; long or stop-word-rich
-blocks are content; the rest is undecided. On a page whose words show none of
-the languages with stop words, length and links alone decide. Pass 2 gives an undecided block the
-label of its nearest decided neighbours in the same region (an article, a
-main element, or the page outside of them); where nothing of the page was
-decided to be content, all undecided blocks are.
+blocks are content; the rest is undecided. Containers that only look like
+boilerplate (a form, words such as ``search`` or ``sidebar`` in a class) are
+marked, and their mark falls where they wrap the page's content. On a page
+whose words show none of the languages with stop words, length and links alone
+decide. Pass 2 gives an undecided block the label of its nearest decided
+neighbours in the same region (an article, a main element, or the page outside
+of them); where nothing of the page was decided to be content, all undecided
+blocks are.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -27,29 +30,39 @@ from tessera.llm.quality import STOP_WORDS
 _STOP = frozenset(STOP_WORDS)
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?]|<")
 _ATTR_END = re.compile(r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>""")
-_HINT = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\b(?:hidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)display\s*:\s*none)""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACES = re.compile(r"\s+")
 #: Elements whose content is not text of the page.
 RAW = frozenset("script style template noscript textarea title iframe noembed noframes xmp".split())
 SKIP = frozenset("svg math select option button canvas object audio video map datalist head".split())
-#: Elements that hold boilerplate, whatever they say.
-BOILER = frozenset("nav footer aside form fieldset dialog menu menuitem search address".split())
+#: Elements that hold boilerplate, whatever they say, and those that may also wrap a whole page.
+BOILER = frozenset("nav footer aside dialog menu menuitem address".split())
+WRAPPER = frozenset("form fieldset search".split())
 REGION = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stay inside a block.
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
                     "small span strike strong sub sup time tt u var wbr input").split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role values that mark boilerplate (whole words) or content.
-_BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|"
-                  r"popup|modal|dialog|overlay|paywall|newsletter|subscribe|subscription|signup|login|register|menu\w*|nav|navbar|navigation|"
-                  r"breadcrumb\w*|pagination|pager|sidebar\w*|sidenav|aside|widget\w*|footer|footnav|masthead|toolbar|share|sharing|"
-                  r"social\w*|related|recommend\w*|trending|comment\w*|disqus\w*|replies|reply|responses|respond|discussion|"
-                  r"copyright|legal|disclaimer|skip\w*|search\w*|tags|taglist|contentinfo|complementary)(?:$|[\s_-])", re.I)
-#: The words that count even on an article or main element.
-_NEVER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser\w*|comment\w*|replies|reply|"
-                    r"hidden)(?:$|[\s_-])", re.I)
+
+
+def _words(names: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(names.split())})(?:$|[\s_-])", re.I)
+
+
+#: Words (whole ones) of class, id and role values of block containers: those that are never content,
+_NEVER = _words(r"""ad ads advert\w* adsense adslot sponsor\w* promo\w* teaser\w* related recommend\w* trending comment\w* disqus\w* replies
+                cookie\w* consent gdpr notice\w* popup paywall newsletter subscribe subscription signup login share sharing social\w*
+                breadcrumb\w* pagination pager skip\w*""")
+#: those of parts of the layout, which may also name what wraps the page,
+_LAYOUT = _words(r"""menu\w* nav navbar navigation sidebar\w* sidenav footer footnav masthead toolbar modal dialog overlay register widget\w*
+                 contentinfo complementary aside""")
+#: and those that a section of an article may have as well.
+_VOTE = _words(r"banner alert reply responses respond discussion copyright legal disclaimer search\w* tags taglist")
+#: The words that count on an article or main element.
+_NOT_ARTICLE = _words(r"ad ads advert\w* sponsor\w* promo\w* related recommend\w* teaser\w* comment\w* replies reply")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|articlebody|entry-content|post-content|main-content|story\w*|main)(?:$|[\s_-])", re.I)
 #: Pass 1: limits of stop-word share, length (characters) and link share.
@@ -63,34 +76,67 @@ class Block:
     region: int
     heading: bool
     boiler: bool
+    anchors: int = 0
+    marks: tuple = ()
     label: str = ""
 
 
+@dataclass
+class Mark:
+    """A container that may be boilerplate: in which region it lies, whether
+    it wraps one, and whether content inside clears it."""
+
+    region: int
+    vote: bool
+    wraps: bool = False
+
+
 @dataclass
 class _Open:
     tag: str
     boiler: bool
     region: int
     block: bool
-    hint: bool = field(default=False)
+    marks: tuple = ()
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name (of equal names the first counts)."""
+    out: dict[str, str] = {}
+    for name, value in _ATTR.findall(attrs):
+        if name:
+            out.setdefault(name.lower(), value.strip("\"'"))
+    return out
+
+
+def _hides(values: dict[str, str]) -> bool:
+    return (values.get("hidden", "until-found").lower() != "until-found" or values.get("aria-hidden", "").lower() == "true"
+            or bool(_NO_DISPLAY.search(values.get("style", ""))))
 
 
-def blocks(html: str) -> list[Block]:
+#: Attributes whose words are hints.
+_HINTS = ("class", "id", "role", "itemprop", "aria-label")
+
+
+def blocks(html: str) -> tuple[list[Block], list[Mark]]:
     """Blocks of a page, in order: text with references decoded and white
-    space collapsed, characters in links, the region it lies in (0: none)."""
+    space collapsed, characters in links, the region it lies in (0: none);
+    and the containers that may be boilerplate."""
     out: list[Block] = []
+    marks: list[Mark] = []
     stack = [_Open("", False, 0, True)]
     text: list[str] = []
-    links = regions = in_link = breaks = 0
+    links = anchors = regions = in_link = breaks = 0
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, anchors
         joined = _SPACES.sub(" ", unescape("".join(text))).strip()
         text.clear()
         if joined:
             top = stack[-1]
-            out.append(Block(joined, links, top.region, any(o.tag in HEADING for o in stack[-4:]), top.boiler))
-        links = 0
+            out.append(Block(joined, links, top.region, any(o.tag in HEADING for o in stack[-4:]), top.boiler, anchors,
+                             top.marks))
+        links, anchors = 0, in_link
 
     def leave(depth: int) -> None:
         nonlocal in_link
@@ -164,37 +210,80 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID or attrs.endswith("/"):
             continue
         top = stack[-1]
-        hints = " ".join(_CAMEL.sub("-", h.strip("\"'")) for h in _HINT.findall(attrs)) if "=" in attrs else ""
-        good = tag in REGION or bool(hints and _GOOD.search(hints))
-        marked = bool(hints) and tag not in ("html", "body") and bool((_NEVER if tag in REGION else _BAD).search(hints))
-        boiler = top.boiler or marked or tag in BOILER or bool(attrs and _HIDDEN.search(attrs))
-        boiler = boiler or (tag == "header" and not top.region)
-        region = top.region
-        if good and not boiler and not region and tag not in INLINE:
-            regions += 1
-            region = regions
+        boiler, own, region = top.boiler or tag in BOILER, top.marks, top.region
+        if tag not in INLINE and tag not in HEADING and tag not in ("html", "body"):
+            values = _attributes(attrs) if attrs else {}
+            # a single paragraph or item is marked by its class alone
+            names = _HINTS if tag not in ("p", "li", "td", "th", "dd", "dt") else ("class", "role")
+            hints = " ".join(_CAMEL.sub("-", values[h]) for h in names if values.get(h))
+            article = tag in REGION
+            good = article or bool(hints and _GOOD.search(hints))
+            boiler = boiler or _hides(values) or (tag == "header" and not region)
+            boiler = boiler or bool(hints) and bool((_NOT_ARTICLE if article else _NEVER).search(hints))
+            if good and not boiler and not region:
+                regions += 1
+                region = regions
+                if article:
+                    for k in own:
+                        marks[k].wraps = True
+            elif not boiler and not article:
+                vote = bool(hints and _VOTE.search(hints))
+                if vote or tag in WRAPPER or hints and _LAYOUT.search(hints):
+                    own = (*own, len(marks))
+                    marks.append(Mark(region, vote and tag not in WRAPPER and not _LAYOUT.search(hints)))
+        elif attrs and tag not in ("html", "body") and _MAY_HIDE.search(attrs):
+            boiler = boiler or _hides(_attributes(attrs))
         if boiler != top.boiler and tag in INLINE:
             flush()
         if tag == "a":
             in_link += 1
-        stack.append(_Open(tag, boiler, region, tag not in INLINE))
+            anchors += 1
+        stack.append(_Open(tag, boiler, region, tag not in INLINE, own))
     flush()
-    return out
+    return out, marks
 
 
-def classify(found: list[Block]) -> list[Block]:
+def _clear(found: list[Block], marks: list[Mark], sure: list[bool]) -> None:
+    """Makes the blocks boilerplate that lie in a marked container, unless it
+    wraps the page's content: the only article, or more than half of the text
+    outside links of its region (a vote: any block that is content by itself)."""
+    if not marks:
+        return
+    plain = any(b.region and not b.boiler and not any(marks[k].region == 0 for k in b.marks) for b in found)
+    total: dict[int, int] = {}
+    own = [0] * len(marks)
+    content = [False] * len(marks)
+    for b, good in zip(found, sure):
+        if not b.boiler:
+            size = max(len(b.text) - b.links, 0)
+            total[b.region] = total.get(b.region, 0) + size
+            for k in b.marks:
+                content[k] |= good
+                if marks[k].region == b.region:
+                    own[k] += size
+    bad = [not (m.wraps and not plain or m.vote and m.region and content[k] or content[k] and 2 * own[k] > total.get(m.region, 0))
+           for k, m in enumerate(marks)]
+    for b in found:
+        b.boiler = b.boiler or any(bad[k] for k in b.marks)
+
+
+def classify(found: list[Block], marks: list[Mark] = ()) -> list[Block]:
     """Labels ``good`` or ``bad`` for all blocks, in two passes."""
-    regions = {b.region for b in found if b.region and not b.boiler}
     counts = []
     for b in found:
         words = b.text.lower().split()
         counts.append((sum(w.strip(".,;:!?\"'()") in _STOP for w in words), len(words)))
+    sure = [not b.boiler and len(b.text) >= LENGTH_LOW and b.links <= LINK_HIGH * len(b.text) for b in found]
+    _clear(found, marks, sure)
+    regions = {b.region for b in found if b.region and not b.boiler}
     own = [c for b, c in zip(found, counts) if not b.boiler and b.links <= LINK_HIGH * len(b.text)]
     known = sum(c[0] for c in own) >= STOP_LOW * sum(c[1] for c in own)  # a language with stop words
     for b, (stops, size) in zip(found, counts):
         n = len(b.text)
         stop = stops / max(size, 1)
-        if b.boiler or b.links > LINK_HIGH * n or b.text.startswith("©"):
+        # in a marked region only rows of links are menus, and only a short line of rights is one
+        menu = b.links > LINK_HIGH * n and (not b.region or b.anchors >= 3 and b.links > 0.8 * n)
+        if b.boiler or menu or b.text.startswith("©") and (not b.region or n < LENGTH_LOW):
             b.label = "bad"
         elif regions and not b.region:
             b.label = "bad"  # the page marks its content, and this is not in it
@@ -232,7 +321,7 @@ def classify(found: list[Block]) -> list[Block]:
 
 def main_text(html: str) -> str:
     """The page's content blocks, joined by newlines."""
-    return "\n".join(b.text for b in classify(blocks(html)) if b.label == "good")
+    return "\n".join(b.text for b in classify(*blocks(html)) if b.label == "good")
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
