@@ -30,6 +30,8 @@ _CARD = re.compile(r"(?<![0-9])(?:[3-6][0-9]{12,18}|[3-6][0-9]{3}([ -])[0-9]{4}\
                    r"(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _PHONE = re.compile(r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])")
+#: Groups of digits without a country code, brackets or one of the usual shapes are lists of numbers.
+_PHONE_SHAPE = re.compile(r"\+|\(|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$|[0-9]{3} [0-9]{3}[ -][0-9]{4}$|0[0-9]{1,4}[ ./-][0-9 .-]+$")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", re.I)
 _SIGN = re.compile(r"[=:]")
@@ -49,6 +51,17 @@ _GIVEN_OF = {n.casefold(): g for g, ns in GIVEN.items() for n in ns}
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, _TITLE_OF), key=len, reverse=True))})\.? ({_WORD})(?: ({_WORD}))?")
 _NAMES = re.compile(rf"(?<!\w)({'|'.join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))}) ({_WORD})")
+#: Phrases after which two capitalised words are a person.
+_SAYS_NAME = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Nn]ame:|[Ss]igned by|[Dd]ear) ({_WORD}) ({_WORD})")
+#: Words that are names and ordinary words (fixed values), what follows a name rather than a word, and articles.
+COMMON = frozenset("will may mark bill rose grace hope joy frank jack rich art gene guy miles chase grant dean earl page price long short "
+                   "young white black brown green gray grey gold silver king queen prince bishop pope knight baker cook smart wise wood "
+                   "stone field hill lake rivers forest summer winter day april june august sunny star moon bush fox wolf bird fish "
+                   "church castle bridge street banks park parks law best power powers love moss reed marsh west north east south "
+                   "klein gross lang weiss schwarz braun koch petit blanc grand rojo blanco".split())
+_NAME_GOES_ON = re.compile(r"['’]s(?!\w)|\s*(?:[.,;:!?)\"]|$)|\s+(?:said|says|asked|told|was|is|has|had|and|or|who|wrote|replied|came|went|left|called|met|knew|"
+                           r"sagte|ist|war|hat|und|a dit|est|était|et|dijo|es|era|y)(?!\w)")
+_ARTICLE = re.compile(r"(?<!\w)(?:the|an?|this|that|der|die|das|den|dem|ein|eine|le|la|les|un|une|el|los|las|una)\s+$", re.I)
 _POSSESSIVE = re.compile(r"['’]s$")
 _SYLLABLES = {"latin": ("ba be bi bo da de di do fa fe ga ge ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te ti "
                         "to va ve vi za").split(),
@@ -85,6 +98,8 @@ def mentions(text: str) -> list[Mention]:
         part, at = run[0], run.start()
         for kind, pattern in (("ipv4", _IPV4), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE)):
             for m in pattern.finditer(part):
+                if kind == "phone" and not _PHONE_SHAPE.match(m[0]):
+                    continue
                 if kind != "ipv4" or "." in part:
                     # a phone number is its last ten digits, with or without a country code
                     add(m, kind, m[0] if kind == "ipv4" else _digits(m[0])[-10:] if kind == "phone" else _digits(m[0]), shift=at)
@@ -106,14 +121,14 @@ def mentions(text: str) -> list[Mention]:
         out.append(Mention(m.start(group), m.start(group) + len(name), "family", name.casefold()))
 
     for m in _TITLED.finditer(text):
-        gender = _TITLE_OF[m[1]]
         first, last = (m[2], m[3]) if m[3] and m[3][0].isupper() else (None, m[2])
         if not last[0].isupper():
             continue
         if first:
             if not first[0].isupper():
                 continue
-            add(m, f"given_{gender}", first.casefold(), 2)
+            gender = _TITLE_OF[m[1]]
+            add(m, f"given_{_GIVEN_OF.get(first.casefold(), gender) if gender == 'u' else gender}", first.casefold(), 2)
             family(m, 3)
         else:
             family(m, 2)
@@ -121,13 +136,32 @@ def mentions(text: str) -> list[Mention]:
         if m[2][0].isupper():
             add(m, f"given_{_GIVEN_OF[m[1].casefold()]}", m[1].casefold(), 1)
             family(m, 2)
-    return _apart(out)
+    for m in _SAYS_NAME.finditer(text):
+        if m[1][0].isupper() and m[2][0].isupper() and m[1] not in _TITLE_OF:
+            add(m, f"given_{_GIVEN_OF.get(m[1].casefold(), 'u')}", m[1].casefold(), 1)
+            family(m, 2)
+    return _apart(_one_identity(out))
+
+
+def _one_identity(found: list[Mention]) -> list[Mention]:
+    """Given names with one gender for each name of the document: the one its
+    titles or the list of names tell, unless they differ or tell none."""
+    told: dict[str, set[str]] = {}
+    for x in found:
+        if x.kind.startswith("given_") and x.kind != "given_u":
+            told.setdefault(x.norm, set()).add(x.kind)
+    return [Mention(x.start, x.end, next(iter(told[x.norm])) if len(told.get(x.norm, ())) == 1 else "given_u", x.norm)
+            if x.kind.startswith("given_") else x for x in found]
 
 
 def with_bare_names(text: str) -> list[Mention]:
     """``mentions`` and, for each name among them, every other place where it
-    stands as a whole word with the same capitalisation; only one-letter names
-    (initials) are not carried over."""
+    stands as a whole word with the same capitalisation.
+
+    Not carried over: one-letter names (initials); a name after an article
+    that no noun follows ("The Universe is big"); and a name that is an
+    ordinary word too (one of ``COMMON``, or in lower case in the same text),
+    unless what follows is what follows a name ("Brown said", "Will's")."""
     kept = mentions(text)
     names: dict[str, Mention] = {}
     for x in kept:
@@ -136,7 +170,15 @@ def with_bare_names(text: str) -> list[Mention]:
     if names:
         again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?!\w)")
         taken, at = [], 0
+        words = {w for w in names if w.casefold() in COMMON}
+        lower = {w.lower() for w in names} - set(names)
+        if lower:
+            seen = set(re.findall(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, lower), key=len, reverse=True))})(?!\w)", text))
+            words |= {w for w in names if w.lower() in seen}
         for m in again.finditer(text):
+            goes_on = bool(_NAME_GOES_ON.match(text, m.end()))
+            if m[0] in words and not goes_on or goes_on and _ARTICLE.search(text, max(0, m.start() - 8), m.start()):
+                continue
             while at < len(kept) and kept[at].end <= m.start():
                 at += 1
             if at == len(kept) or kept[at].start >= m.end():
@@ -159,6 +201,11 @@ def _luhn(d: str) -> int:
     return sum(int(c) if i % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for i, c in enumerate(reversed(d))) % 10
 
 
+def _mod97(iban: str) -> int:
+    """The number an account stands for modulo 97 (1: valid)."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 class _Stream:
     """Numbers from a keyed hash of what they are for."""
 
@@ -205,7 +252,9 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
     if kind == "phone":
         return s.like(norm)
     if kind == "iban":
-        return s.like(norm, keep=2)
+        out = s.like(norm, keep=4)
+        # valid stays valid, and what was not one does not become one
+        return out[:2] + f"{98 - _mod97(out[:2] + '00' + out[4:]):02d}" + out[4:] if _mod97(norm) == 1 else s.like(norm, keep=2)
     if kind == "key":
         return s.like(norm, keep=4)
     if kind.startswith(("given_", "family")):
@@ -284,6 +333,9 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ...) with surrogates in ``text`` and
     ``n_entities``, the mentions replaced (a name's bare ones too).
 
+    A name of a document is one entity whatever its titles; where they
+    disagree on its gender, its surrogate has none.
+
     The same ``key`` gives the same surrogates to the same corpus. Null text
     stays null (0 mentions), an empty text empty; rows equal in ``doc_id``
     and ``text`` share their result; a null ``doc_id`` is an id like others;

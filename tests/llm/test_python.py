@@ -228,6 +228,35 @@ def test_pii_odd_rows(spark, odd, none):
     assert pii.replace(none, b"k").collect() == []
 
 
+def test_one_surrogate_per_name_whatever_its_title():
+    got = pii.mentions("Dr Amy Smith came. Ms Amy Smith left. Dr Mary Jones. Mr Kim Lee, Mrs Kim Lee. My name is Wei Zhang.")
+    assert [(m.kind, m.norm) for m in got if m.kind != "family"] == [
+        ("given_f", "amy"), ("given_f", "amy"), ("given_f", "mary"), ("given_u", "kim"), ("given_u", "kim"), ("given_u", "wei")]
+    assert [m.norm for m in got if m.kind == "family"] == ["smith", "smith", "jones", "lee", "lee", "zhang"]
+
+
+@pytest.mark.parametrize("text, found", [
+    ("Mr Will Brown is here. Will you eat Brown bread? Brown said no, and Will's dog met Brown.", ["Will", "Brown", "Brown", "Will", "Brown"]),
+    ("Miss Universe won. The Universe is big.", ["Universe"]),
+    ("Mr Smith came. The Smith family and Smith left; the Smith house.", ["Smith"] * 4),
+    ("Mr Cobbler came. A cobbler works. Cobbler shoes; Cobbler said so.", ["Cobbler", "Cobbler"]),
+])
+def test_bare_words_that_are_no_names(text, found):
+    assert [text[m.start:m.end] for m in pii.with_bare_names(text)] == found
+
+
+def test_phone_shapes_and_account_check_digits():
+    kinds = lambda t: [m.kind for m in pii.mentions(t)]
+    assert kinds("ratio 100 200 300, 10 2000 3000 and 2000-2010 5000") == []
+    for t in ("456-555-2186", "456 555 2186", "(456) 555-2186", "+49 30 1234567", "030 1234 5678", "+4930123456"):
+        assert kinds(f"call {t} now") == ["phone"], t
+    for real in ("DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"):
+        assert pii._mod97(real) == 1
+        for attempt in range(20):
+            value = pii.surrogate(b"k", "iban", real, attempt)
+            assert value != real and value[:2] == real[:2] and len(value) == len(real) and pii._mod97(value) == 1
+
+
 def test_bare_names_take_their_surrogate(spark):
     text = "Mr Smith came. Smith left, and Smith's dog; Smithers and smith stay. Anna Berg rang; Anna said Berg knew. Mr Smith's hat."
     found = [(text[m.start:m.end], m.kind, m.norm) for m in pii.with_bare_names(text)]
