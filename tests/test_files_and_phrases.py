@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.concepts import find_mentions, find_patterns
+from tessera.operators.concepts import alias_trie, find_mentions, find_patterns
 from tessera.operators.evaluate import match_counts
 from tessera.operators.index import index_documents, materialize_index, phrase_match, query_terms
 from tessera.operators.tokens import tokenize
@@ -90,6 +90,25 @@ def test_long_and_punctuated_names_match(spark):
         [("19", "NUM"), ("19", "NUM"), ("6", "NUM"), ("8", "NUM"), ("6", "NUM"), ("COVID", "CAPS"), ("IL", "CAPS")])
 
 
+def test_mentions_of_long_aliases_by_brute_force(spark):
+    rng = random.Random(8)
+    words = [[rng.choice("ab") if i % 3 else rng.choice("abcdef") for _ in range(rng.randint(0, 150))] for i in range(40)]
+    names = sorted({" ".join(w[i:i + n]) for w in words for n in (1, 3, 4, 5, 8, 9, 13, 60, 61) for i in range(0, len(w) - n, 29)})
+    names += ["a a a a a a a a a a a a a a a a a a a a c", "A  B", "", None]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)] + [(98, ""), (99, None)], "doc_id long, text string")
+    concepts = spark.createDataFrame([(n, n, f"C{i}") for i, n in enumerate(names)], "alias string, name string, cui string")
+    got = sorted((r.doc_id, r.begin, r.end, r.n, r.cui) for r in find_mentions(tokenize(docs), concepts).collect())
+    want = []
+    for i, w in enumerate(words):
+        for c, name in enumerate(names):
+            t = (name or "").lower().split()
+            want += [(i, 2 * k, 2 * (k + len(t)) - 1, len(t), f"C{c}") for k in range(len(w)) if t and w[k:k + len(t)] == t]
+    assert got == sorted(want) and max(r[3] for r in got) == 61
+    edges, _ = alias_trie(concepts)
+    assert edges.agg(F.max("size")).first()[0] == 4 and edges.agg(F.max("level")).first()[0] == 15
+    assert find_mentions(tokenize(docs), concepts.limit(0)).count() == 0
+
+
 def test_counts_name_every_document(spark):
     spans = spark.createDataFrame([(1, 0, 2, "A")], "doc_id long, begin int, end int, ner_type string")
     docs = spark.range(3).select(F.col("id").alias("doc_id"))
