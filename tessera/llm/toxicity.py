@@ -1,16 +1,18 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over terms that speak for the toxic label (by the
-lower bound of their log odds ratio over labelled examples); the document frequencies count all documents. The
-nearest examples by exact cosine come from an inverted index whose postings
-carry block maxima: blocks of examples are visited by falling upper bound
-until no other block can hold a nearer one. Votes weighted by distance are
-calibrated on the examples themselves, each left out in turn, and the nearest
-examples are the evidence.
+Texts are TF-IDF vectors over all terms of the labelled examples; a term
+weighs the more, the more it speaks for the toxic label (the lower bound of its
+log odds ratio over labelled examples), and never nothing. The document
+frequencies count all documents. The nearest examples by exact cosine come
+from an inverted index whose postings carry block maxima: the blocks of
+greatest bound are read first, then all others whose bound reaches the last of
+the nearest so far. Votes weighted by distance are calibrated on the examples
+themselves, each left out in turn, and the nearest examples are the evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,13 +27,13 @@ from tessera.llm.common import packed, unpacked
 from tessera.plans.util import materialize
 
 _TERM = re.compile(r"[^\W\d_]+")
-#: Bounds of what the fit may hold: labelled examples, selected terms, and
-#: examples that are left out in turn to calibrate the votes.
-MAX_EXAMPLES, MAX_TERMS, MAX_LEFT_OUT = 10_000, 2_000, 3_000
-#: What the lower bound of a term's log odds ratio must reach, the standard
-#: errors it lies below the ratio, and examples a term must occur in. The ratio
-#: does not grow with the number of examples, so small tables have terms too.
-MIN_ODDS, ERRORS, MIN_DF = 1.5, 1.64, 4
+#: Bounds of what the fit may hold, both parameters of ``fit``: labelled rows
+#: that the weights are learned from, and those of them in the index.
+MAX_EXAMPLES, MAX_INDEXED = 10_000, 2_500
+#: Weight of a term that does not speak for the label, the standard errors the
+#: bound lies below the ratio, and examples a term must occur in to weigh more.
+#: The ratio does not grow with the number of examples.
+FLOOR, ERRORS, MIN_DF = 0.1, 1.64, 4
 BLOCK, NEAREST, EPS, PREFIX = 64, 15, 0.05, 4
 
 
@@ -55,15 +57,6 @@ def odds_bound(n, a, positives: int, total: int, log, sqrt):
     return ratio - ERRORS * sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3])
 
 
-def selected(counts: pd.DataFrame, positives: int, total: int) -> list[str]:
-    """Terms of ``counts`` (``term``, ``n``, ``n_toxic``: examples with it)
-    by falling bound of their log odds ratio, then by name."""
-    n, a = counts["n"].to_numpy(float), counts["n_toxic"].to_numpy(float)
-    bound = odds_bound(n, a, positives, total, np.log, np.sqrt)
-    rows = sorted(((-b, t) for b, t, k in zip(bound, counts["term"], n) if b >= MIN_ODDS and k >= MIN_DF))
-    return [t for _, t in rows[:MAX_TERMS]]
-
-
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares rising steps of ``y`` over ``x`` (pool adjacent
     violators): mean ``x`` and value of each pool."""
@@ -77,6 +70,13 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5 * 0.02) / (p[2] + 0.02) for p in pools])
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and their sizes."""
+    size = hi - lo
+    ends = np.cumsum(size)
+    return np.repeat(lo - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), size
+
+
 @dataclass
 class Index:
     """Examples' unit vectors as postings by term, examples in blocks."""
@@ -94,6 +94,7 @@ class Index:
     cell_from: np.ndarray   # first posting of the block; the next cell's is the end
     empty_rate: float = 0.0
     knots: tuple = (np.zeros(1), np.zeros(1))
+    id_type: str = "bigint"
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit TF-IDF weights."""
@@ -111,33 +112,28 @@ class Index:
         """The ``k`` examples of greatest cosine above 0 (ties: the earlier
         example), exactly, by block bounds; ``leave``: one example to skip."""
         t, q = self.vector(counts)
-        blocks = (len(self.labels) + BLOCK - 1) // BLOCK
-        bound = np.zeros(blocks)
-        cells = [slice(self.cell_starts[i], self.cell_starts[i + 1]) for i in t.tolist()]
-        for c, w in zip(cells, q):
-            bound[self.cell_block[c]] += w * self.cell_max[c]
+        n_blocks = (len(self.labels) + BLOCK - 1) // BLOCK
+        cells, size = _spread(self.cell_starts[t], self.cell_starts[t + 1])
+        weight, block = np.repeat(q, size), self.cell_block[cells]
+        bound = np.bincount(block, weight * self.cell_max[cells], n_blocks)
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        step = 8
-        for at in range(0, len(order), step):
-            group = order[at:at + step]
-            if bound[group[0]] <= 0 or (len(best_s) == k and bound[group[0]] < best_s[-1] - 1e-12):
-                break
-            total = np.zeros((len(group), BLOCK))
-            row_of = np.full(blocks, -1)
-            row_of[group] = np.arange(len(group))
-            for i, w in zip(t.tolist(), q):
-                lo, hi = self.cell_starts[i], self.cell_starts[i + 1]
-                mine = np.flatnonzero(row_of[self.cell_block[lo:hi]] >= 0) + lo
-                for c in mine.tolist():
-                    p = slice(self.cell_from[c], self.cell_from[c + 1])
-                    total[row_of[self.cell_block[c]], self.examples[p] % BLOCK] += w * self.weights[p]
-            r, j = np.nonzero(total)
-            e = group[r] * BLOCK + j
-            s = np.concatenate([best_s, total[r, j]])
-            e = np.concatenate([best_e, e])
+        first = np.zeros(n_blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:-(-2 * k // BLOCK) + 1]] = True
+        for round_two in (False, True):
+            wanted = first & (bound > 0)
+            if round_two:
+                wanted = ~first & (bound > 0)
+                if len(best_s) == k:
+                    wanted &= bound >= best_s[-1] - 2e-9
+            mine = np.flatnonzero(wanted[block])
+            if not len(mine):
+                continue
+            postings, size = _spread(self.cell_from[cells[mine]], self.cell_from[cells[mine] + 1])
+            total = np.bincount(self.examples[postings], np.repeat(weight[mine], size) * self.weights[postings])
+            e = np.flatnonzero(total)
             if leave >= 0:
-                s, e = s[e != leave], e[e != leave]
+                e = e[e != leave]
+            s, e = np.concatenate([best_s, total[e]]), np.concatenate([best_e, e])
             top = np.lexsort((e, -np.round(s, 9)))[:k]
             best_e, best_s = e[top], s[top]
         return best_e, best_s
@@ -153,16 +149,20 @@ class Index:
         return float(np.clip(np.interp(vote, *self.knots), 0, 1))
 
 
-def build(vocabulary: list[str], df: dict[str, int], n_docs: int, examples: list[tuple]) -> Index:
+def build(vocabulary: list[str], df: dict[str, int], n_docs: int, examples: list[tuple],
+          strength: dict[str, float] | None = None) -> Index:
     """Index of ``examples`` (``(counts by term, label, id)``); ``df``
-    counts documents with a term among ``n_docs``. Examples are sorted by
-    their strongest terms, so that blocks hold like examples."""
+    counts documents with a term among ``n_docs``, ``strength`` is what a term
+    weighs beside (1 without it). Examples are sorted by their strongest terms,
+    so that blocks hold like examples."""
     number = {t: i for i, t in enumerate(vocabulary)}
     idf = np.log((n_docs + 1) / (np.array([df.get(t, 0) for t in vocabulary], float) + 1)) + 1 if vocabulary else np.zeros(0)
+    if strength is not None and vocabulary:
+        idf = idf * np.array([strength.get(t, FLOOR) for t in vocabulary])
     rows = []
     for counts, label, name in examples:
         c = {number[t]: k for t, k in counts.items() if t in number}
-        rows.append((sorted(c, key=lambda i: (-idf[i], i)), c, label, name))
+        rows.append((sorted(c, key=lambda i: (-idf[i], i))[:20], c, label, name))
     none = [r[2] for r in rows if not r[0]]
     rows = sorted((r for r in rows if r[0]), key=lambda r: (r[0], sorted(r[1].items()), r[2]))
     index = Index(number, idf, np.array([r[2] for r in rows], float), [r[3] for r in rows], *[np.zeros(0, np.int64)] * 7)
@@ -181,19 +181,19 @@ def build(vocabulary: list[str], df: dict[str, int], n_docs: int, examples: list
     index.cell_max = np.maximum.reduceat(w, first) if len(first) else np.zeros(0)
     index.cell_starts = np.searchsorted(t[first], np.arange(len(vocabulary) + 1))
     index.empty_rate = (sum(none) + 0.01) / (len(none) + 1)
-    # every n-th example with terms is left out in turn; those without stand for themselves
-    turn = range(0, len(rows), max(1, -(-len(rows) // MAX_LEFT_OUT)))
-    votes = np.array([index.vote(index.nearest(rows[i][1], leave=i)) for i in turn] + [index.empty_rate] * len(none))
-    truth = np.array([rows[i][2] for i in turn] + none, float)
+    # every example with terms is left out in turn; those without stand for themselves
+    votes = np.array([index.vote(index.nearest(r[1], leave=i)) for i, r in enumerate(rows)] + [index.empty_rate] * len(none))
+    truth = np.array([r[2] for r in rows] + none, float)
     if len(votes):
         index.knots = isotonic(votes, truth)
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
-    """Index over at most ``max_examples`` labelled documents (those of least
-    hash of ``doc_id``; the bound is what may reach the driver: the selected
-    terms of each). ``labels``: ``doc_id``, ``toxic`` 0/1, already without
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_indexed: int = MAX_INDEXED) -> Index:
+    """Weights learned from at most ``max_examples`` labelled documents and an
+    index of at most ``max_indexed`` of them (those of least hash of
+    ``doc_id``; the bounds are what may reach the driver: the counted terms of
+    each). ``labels``: ``doc_id`` (of any type), ``toxic`` 0/1, already without
     the held-out rows; a null in either is no label, of several labels of a
     document the greatest counts. Document frequencies are counted over all
     of ``docs``. Without labels every score is the same."""
@@ -216,9 +216,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     n, a = F.col("n").cast("double"), F.col("n_toxic").cast("double")
     bound = odds_bound(n, a, positives, total, F.log, F.sqrt)
     counts = (sample.mapInPandas(term_counts, "term string, n long, n_toxic long").groupBy("term")
-              .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).where((n >= MIN_DF) & (bound >= MIN_ODDS - 1e-9))
-              .orderBy(bound.desc(), "term").limit(MAX_TERMS))
-    vocabulary = selected(counts.toPandas(), positives, total)
+              .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+              .select("term", bound.alias("bound"), "n").where((F.col("n") >= MIN_DF) & (F.col("bound") > 0)).toPandas())
+    strength = {t: FLOOR + b for t, b in zip(counts["term"], counts["bound"])}
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [terms(x) for x in b["text"]]
+            yield pd.DataFrame({"terms": [list(c) for c in found], "counts": [list(c.values()) for c in found],
+                                "y": b["_y"], "name": b["doc_id"]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = (sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_indexed)
+            .mapInPandas(vectors, f"terms array<string>, counts array<long>, y int, name {kind}").toPandas())
+    examples = [(dict(zip(t, c)), int(y), i) for t, c, y, i in
+                sorted(zip(rows["terms"], rows["counts"], rows["y"], rows["name"].tolist()), key=lambda r: r[3])]
+    vocabulary = sorted({t for c, _, _ in examples for t in c})
     known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,18 +242,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
                 df.update(known.value & terms(text).keys())
         yield pd.DataFrame({"term": [*df, None], "n": [*df.values(), n]})
 
-    df = {r["term"]: r["n"] for r in docs.select(F.coalesce("text", F.lit("")).alias("text"))
-          .mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            counts = [{t: n for t, n in terms(x).items() if t in known.value} for x in b["text"]]
-            yield pd.DataFrame({"terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts],
-                                "y": b["_y"], "name": b["doc_id"]})
-
-    rows = sample.mapInPandas(vectors, "terms array<string>, counts array<long>, y int, name long").toPandas()
-    examples = [(dict(zip(t, c)), int(y), int(i)) for t, c, y, i in rows.sort_values("name").itertuples(index=False)]
-    return build(vocabulary, df, df.get(None, 0), examples)
+    counted = (docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(frequencies, "term string, n long")
+               .groupBy("term").agg(F.sum("n").alias("n")).toPandas())
+    df = {t: int(n) for t, n in zip(counted["term"], counted["n"]) if isinstance(t, str)}
+    n_docs = int(counted["n"][counted["term"].isna()].sum())
+    index = build(vocabulary, df, n_docs, examples, strength)
+    index.id_type = kind
+    return index
 
 
 def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
@@ -254,7 +262,7 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     Only the text enters a score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = "struct<score:double,evidence:array<struct<doc_id:long,similarity:double,toxic:int>>>"
+    schema = f"struct<score:double,evidence:array<struct<doc_id:{index.id_type},similarity:double,toxic:int>>>"
 
     @F.pandas_udf(schema)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -262,11 +270,11 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
         for s in batches:
             out = []
             for text in s:
-                counts = own.count(text)
-                key = tuple(sorted(counts.items()))
+                key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
+                    counts = own.count(text)
                     found = own.nearest(counts) if counts else (np.zeros(0, np.int64), np.zeros(0))
                     known[key] = (own.calibrated(own.vote(found)), [
                         {"doc_id": own.ids[e], "similarity": float(c), "toxic": int(own.labels[e])}

@@ -307,6 +307,16 @@ def test_toxicity_finds_held_out_rows_of_a_small_table(spark):
     assert any(labels[r.doc_id] for r in held) and all(r.predicted == labels[r.doc_id] for r in held)
 
 
+def test_toxicity_of_string_ids_and_texts_without_a_strong_term(spark):
+    rows = [(f"d{i}", ("alpha beta gamma" if i % 2 else "delta eps zeta") + f" w{i % 7}", int(i % 2)) for i in range(60)]
+    rows.append(("only", "gamma", None))
+    df = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    index = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), max_indexed=40)
+    assert len(index.labels) == 40 and {"alpha", "w", "delta"} <= set(index.vocabulary)
+    got = {r.doc_id: r for r in toxicity.score(df.select("doc_id", "text"), index).collect()}
+    assert got["only"].predicted == 1 and got["only"].evidence[0].doc_id.startswith("d") and got["d2"].predicted == 0 and got["d2"].evidence
+
+
 def test_toxicity_learns_and_odd_rows(spark, odd, none):
     rng = random.Random(4)
     filler = [f"{a}{b}" for a in "bdfgklm" for b in ("ara", "olo", "iti", "unu")]
