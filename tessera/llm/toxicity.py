@@ -29,11 +29,13 @@ from tessera.plans.util import materialize
 _TERM = re.compile(r"[^\W\d_]+")
 #: Bounds of what the fit may hold, both parameters of ``fit``: labelled rows
 #: that the weights are learned from, and those of them in the index.
-MAX_EXAMPLES, MAX_INDEXED = 10_000, 2_500
+MAX_EXAMPLES, MAX_INDEXED = 10_000, 1_500
 #: Weight of a term that does not speak for the label, the standard errors the
 #: bound lies below the ratio, and examples a term must occur in to weigh more.
 #: The ratio does not grow with the number of examples.
 FLOOR, ERRORS, MIN_DF = 0.1, 1.64, 4
+#: Terms in more than this share of the examples are held as dense rows too.
+DENSE = 0.25
 BLOCK, NEAREST, EPS, PREFIX = 64, 15, 0.05, 4
 
 
@@ -95,6 +97,8 @@ class Index:
     empty_rate: float = 0.0
     knots: tuple = (np.zeros(1), np.zeros(1))
     id_type: str = "bigint"
+    dense_row: np.ndarray = None  # of each term: its row, or -1
+    dense: np.ndarray = None      # weights of the frequent terms in all examples
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit TF-IDF weights."""
@@ -113,9 +117,15 @@ class Index:
         example), exactly, by block bounds; ``leave``: one example to skip."""
         t, q = self.vector(counts)
         n_blocks = (len(self.labels) + BLOCK - 1) // BLOCK
+        row = self.dense_row[t]
+        frequent = np.zeros(len(self.dense))
+        frequent[row[row >= 0]] = q[row >= 0]
+        base = frequent @ self.dense
+        t, q = t[row < 0], q[row < 0]
         cells, size = _spread(self.cell_starts[t], self.cell_starts[t + 1])
         weight, block = np.repeat(q, size), self.cell_block[cells]
-        bound = np.bincount(block, weight * self.cell_max[cells], n_blocks)
+        bound = base.reshape(n_blocks, BLOCK).max(1) if n_blocks else np.zeros(0)
+        bound = bound + np.bincount(block, weight * self.cell_max[cells], n_blocks)
         best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
         first = np.zeros(n_blocks, bool)
         first[np.argsort(-bound, kind="stable")[:-(-2 * k // BLOCK) + 1]] = True
@@ -125,12 +135,12 @@ class Index:
                 wanted = ~first & (bound > 0)
                 if len(best_s) == k:
                     wanted &= bound >= best_s[-1] - 2e-9
-            mine = np.flatnonzero(wanted[block])
-            if not len(mine):
+            if not wanted.any():
                 continue
+            mine = np.flatnonzero(wanted[block])
             postings, size = _spread(self.cell_from[cells[mine]], self.cell_from[cells[mine] + 1])
-            total = np.bincount(self.examples[postings], np.repeat(weight[mine], size) * self.weights[postings])
-            e = np.flatnonzero(total)
+            total = base + np.bincount(self.examples[postings], np.repeat(weight[mine], size) * self.weights[postings], len(base))
+            e = np.flatnonzero((total.reshape(n_blocks, BLOCK) > 0) & wanted[:, None])
             if leave >= 0:
                 e = e[e != leave]
             s, e = np.concatenate([best_s, total[e]]), np.concatenate([best_e, e])
@@ -180,6 +190,13 @@ def build(vocabulary: list[str], df: dict[str, int], n_docs: int, examples: list
     index.cell_block = e[first] // BLOCK
     index.cell_max = np.maximum.reduceat(w, first) if len(first) else np.zeros(0)
     index.cell_starts = np.searchsorted(t[first], np.arange(len(vocabulary) + 1))
+    index.dense_row = np.full(len(vocabulary), -1)
+    often = np.flatnonzero(np.diff(index.starts) > DENSE * len(rows))
+    index.dense_row[often] = np.arange(len(often))
+    index.dense = np.zeros((len(often), -(-len(rows) // BLOCK) * BLOCK))
+    for r, i in enumerate(often.tolist()):
+        p = slice(index.starts[i], index.starts[i + 1])
+        index.dense[r, e[p]] = w[p]
     index.empty_rate = (sum(none) + 0.01) / (len(none) + 1)
     # every example with terms is left out in turn; those without stand for themselves
     votes = np.array([index.vote(index.nearest(r[1], leave=i)) for i, r in enumerate(rows)] + [index.empty_rate] * len(none))
@@ -235,11 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = Counter(), 0
+        df, n, have = Counter(), 0, known.value
         for b in batches:
             for text in b["text"]:
                 n += 1
-                df.update(known.value & terms(text).keys())
+                df.update([t for t in terms(text) if t in have])
         yield pd.DataFrame({"term": [*df, None], "n": [*df.values(), n]})
 
     counted = (docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(frequencies, "term string, n long")

@@ -279,7 +279,9 @@ def test_main_text_without_article():
 
 
 # --- toxicity -------------------------------------------------------------
-def test_nearest_is_exact():
+@pytest.mark.parametrize("share", [0.0, 0.115, 0.9])
+def test_nearest_is_exact(monkeypatch, share):
+    monkeypatch.setattr(toxicity, "DENSE", share)
     rng = random.Random(2)
     vocabulary = [f"t{chr(97 + i)}" for i in range(26)]
     examples = [({rng.choice(vocabulary): rng.randint(1, 4) for _ in range(rng.randint(0, 6))}, rng.randint(0, 1), i) for i in range(900)]
