@@ -15,6 +15,7 @@ from tessera.sources.readers import (
     document_spans, parse_links, read_conll_linked, read_papers, read_pubtator, read_standoff,
 )
 from tessera.sources.sinks import read_packs, write_packs
+from tessera.util import materialize
 
 
 def put(path, text):
@@ -109,6 +110,21 @@ def test_mentions_of_long_aliases_by_brute_force(spark):
     assert find_mentions(tokenize(docs), concepts.limit(0)).count() == 0
 
 
+def test_later_levels_of_long_aliases_read_no_tokens(spark, monkeypatch):
+    from tessera.operators import concepts as module
+
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append((name, df)) or materialize(df, name))
+    docs = spark.createDataFrame([(i, "x " * i + " ".join(f"w{j}" for j in range(30))) for i in range(20)], "doc_id long, text string")
+    concepts = spark.createDataFrame([(" ".join(f"w{j}" for j in range(n)), "long", f"C{n}") for n in (9, 30)],
+                                     "alias string, name string, cui string")
+    found = find_mentions(tokenize(docs), concepts)
+    assert sorted((r.doc_id, r.begin, r.n) for r in found.collect()) == sorted((i, 2 * i, n) for i in range(20) for n in (9, 30))
+    places = [df for name, df in written if name == "trie-places"]
+    scans = ["alias-tokens" in " ".join(df.inputFiles()) or "token-runs" in " ".join(df.inputFiles()) for df in places]
+    assert len(scans) == 8 and sum(scans) == 2  # the first level, and the one that takes the tokens along
+
+
 def test_counts_name_every_document(spark):
     spans = spark.createDataFrame([(1, 0, 2, "A")], "doc_id long, begin int, end int, ner_type string")
     docs = spark.range(3).select(F.col("id").alias("doc_id"))
