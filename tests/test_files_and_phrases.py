@@ -125,6 +125,22 @@ def test_later_levels_of_long_aliases_read_no_tokens(spark, monkeypatch):
     assert len(scans) == 8 and sum(scans) == 2  # the first level, and the one that takes the tokens along
 
 
+def test_dictionary_counts_no_runs_over_rare_tokens(spark, monkeypatch):
+    from tessera.operators import concepts as module
+    from tessera.plans.concepts_q import dictionary
+
+    seen = []
+    real = module.ngram_candidates
+    monkeypatch.setattr(module, "ngram_candidates", lambda tok, n: seen.append(tok) or real(tok, n))
+    docs = [(i, "the cat, sat the " + (f"rare{i} " if i else "odd. ") + "cat, sat") for i in range(100)] + [(200, None)]
+    got = {(r.alias, r.cui) for r in dictionary(tokenize(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    runs = ["the", "cat", "sat", "the cat", "sat the", "cat , sat", "the cat , sat", "cat , sat the"]
+    n = lambda run: len(run.split())
+    assert got == {(r, f"C{n(r) * 1000000 + 100:09d}-{r}") for r in runs}
+    left = {r.token for r in seen[0].select("token").distinct().collect()}
+    assert left == {"the", "cat", ",", "sat", ""}
+
+
 def test_counts_name_every_document(spark):
     spans = spark.createDataFrame([(1, 0, 2, "A")], "doc_id long, begin int, end int, ner_type string")
     docs = spark.range(3).select(F.col("id").alias("doc_id"))
