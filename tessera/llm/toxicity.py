@@ -51,6 +51,18 @@ def terms(text: str) -> Counter:
     return out
 
 
+def split_vocabulary(vocabulary: dict) -> tuple[dict, dict]:
+    """The words of a vocabulary and its prefixes (without ``*``)."""
+    return ({t: i for t, i in vocabulary.items() if not t.endswith("*")},
+            {t[:-1]: i for t, i in vocabulary.items() if t.endswith("*")})
+
+
+def known_terms(words: set, known: tuple[frozenset, frozenset]) -> tuple[set, set]:
+    """Of ``words`` those in ``known[0]`` and of their prefixes (see ``terms``)
+    those in ``known[1]``, as two sets."""
+    return words & known[0], {w[:PREFIX] for w in words if len(w) > PREFIX} & known[1]
+
+
 def odds_bound(n, a, positives: int, total: int, log, sqrt):
     """Lower bound of the smoothed log odds ratio of the toxic label with and
     without a term of ``n`` examples, ``a`` of them toxic."""
@@ -99,18 +111,31 @@ class Index:
     id_type: str = "bigint"
     dense_row: np.ndarray = None  # of each term: its row, or -1
     dense: np.ndarray = None      # weights of the frequent terms in all examples
+    words: dict = None            # of the vocabulary: words
+    prefixes: dict = None         # and prefixes, without their ``*``
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit TF-IDF weights."""
-        t = np.array(sorted(counts), np.int64)
+        t = np.fromiter(counts, np.int64, len(counts))
         if not len(t):
             return t, np.zeros(0)
-        w = (1 + np.log(np.array([counts[i] for i in t.tolist()], float))) * self.idf[t]
+        order = np.argsort(t)
+        t, n = t[order], np.fromiter(counts.values(), float, len(counts))[order]
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
     def count(self, text: str) -> dict[int, int]:
-        known = self.vocabulary
-        return {known[t]: n for t, n in terms(text).items() if t in known}
+        if self.words is None:  # in each worker by itself, nothing to send
+            self.words, self.prefixes = split_vocabulary(self.vocabulary)
+        known, prefix = self.words, self.prefixes.get
+        words = Counter(_TERM.findall(text.lower()))
+        out = {known[w]: words[w] for w in known.keys() & words.keys()}
+        for w, n in words.items():
+            if len(w) > PREFIX:
+                t = prefix(w[:PREFIX])
+                if t is not None:
+                    out[t] = out.get(t, 0) + n
+        return out
 
     def nearest(self, counts: dict[int, int], k: int = NEAREST, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of greatest cosine above 0 (ties: the earlier
@@ -140,7 +165,9 @@ class Index:
             mine = np.flatnonzero(wanted[block])
             postings, size = _spread(self.cell_from[cells[mine]], self.cell_from[cells[mine] + 1])
             total = base + np.bincount(self.examples[postings], np.repeat(weight[mine], size) * self.weights[postings], len(base))
-            e = np.flatnonzero((total.reshape(n_blocks, BLOCK) > 0) & wanted[:, None])
+            # once there are k, only what reaches the last of them can enter
+            least = best_s[-1] - 2e-9 if len(best_s) == k else 0
+            e = np.flatnonzero((total.reshape(n_blocks, BLOCK) > max(least, 0)) & wanted[:, None])
             if leave >= 0:
                 e = e[e != leave]
             s, e = np.concatenate([best_s, total[e]]), np.concatenate([best_e, e])
@@ -249,15 +276,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     examples = [(dict(zip(t, c)), int(y), i) for t, c, y, i in
                 sorted(zip(rows["terms"], rows["counts"], rows["y"], rows["name"].tolist()), key=lambda r: r[3])]
     vocabulary = sorted({t for c, _, _ in examples for t in c})
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    words, prefixes = split_vocabulary(dict.fromkeys(vocabulary))
+    known = docs.sparkSession.sparkContext.broadcast((frozenset(words), frozenset(prefixes)))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, have = Counter(), 0, known.value
+        df, of_prefix, n, have = Counter(), Counter(), 0, known.value
         for b in batches:
             for text in b["text"]:
                 n += 1
-                df.update([t for t in terms(text) if t in have])
-        yield pd.DataFrame({"term": [*df, None], "n": [*df.values(), n]})
+                found = known_terms(set(_TERM.findall(text.lower())), have)
+                df.update(found[0])
+                of_prefix.update(found[1])
+        yield pd.DataFrame({"term": [*df, *[f"{p}*" for p in of_prefix], None], "n": [*df.values(), *of_prefix.values(), n]})
 
     counted = (docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(frequencies, "term string, n long")
                .groupBy("term").agg(F.sum("n").alias("n")).toPandas())

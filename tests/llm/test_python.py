@@ -468,3 +468,18 @@ def test_isotonic_rises():
     x, y = np.array([0.1, 0.2, 0.3, 0.4, 0.4]), np.array([0, 1, 0, 1, 1.0])
     knots, values = toxicity.isotonic(x, y)
     assert (np.diff(values) > 0).all() and isinstance(pd.Series(knots), pd.Series)
+
+
+def test_toxicity_counts_known_terms_only():
+    """op8: the counts over the vocabulary, without the text's other terms."""
+    from tessera.llm.toxicity import build, known_terms, split_vocabulary, terms
+
+    texts = ["Abcde abcdf abcd ABCD x", "abc\u00e9t\u00e9 na\u00efve_word 12abcdz3", "", "\u4f60\u597d\u4e16\u754c\u554a \u00bd", "unseen unse"]
+    vocabulary = sorted({t for x in texts[:4] for t in terms(x)} - {"abcdf"})
+    index = build(vocabulary, {}, 4, [(terms(texts[0]), 1, 1), (terms(texts[1]), 0, 2)])
+    words, prefixes = split_vocabulary(index.vocabulary)
+    for x in texts:
+        want = {t: n for t, n in terms(x).items() if t in index.vocabulary}
+        assert index.count(x) == {index.vocabulary[t]: n for t, n in want.items()}
+        found = known_terms({t for t in terms(x) if not t.endswith("*")}, (frozenset(words), frozenset(prefixes)))
+        assert found[0] | {f"{p}*" for p in found[1]} == want.keys()
