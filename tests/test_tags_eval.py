@@ -110,3 +110,22 @@ def test_bio_encode_makes_no_pairs(spark):
     assert got[None, 0] == "O"
     assert lab.columns == [*units.columns, "label"]
     assert "Join" not in lab._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentence_tag_report_keeps_texts_out_of_its_aggregates(spark):
+    import re
+    from hashlib import md5
+
+    from tessera.operators.qa import sentence_tag_report
+    docs = spark.createDataFrame([(1, "Ann met Bob. Fine."), (2, "No one."), (2, "Any one."), (None, "Ann.")], "doc_id int, text string")
+    sents = spark.createDataFrame([(1, 0, 0, 12), (1, 1, 13, 18), (2, 0, 0, 7), (None, 0, 0, 4)], "doc_id int, sent_idx int, begin int, end int")
+    ments = spark.createDataFrame([(1, 8, 11, "P"), (1, 0, 3, None), (2, 0, 2, "Q"), (None, 0, 3, "P")],
+                                  "doc_id int, begin int, end int, ner_type string")
+    out = sentence_tag_report(docs, sents, ments)
+    dig = lambda x: md5(x.encode()).hexdigest()
+    assert sorted(map(tuple, out.collect())) == sorted([
+        (1, 0, dig("Ann met Bob."), "Ann|Bob=P"), (1, 1, dig("Fine."), ""),
+        (2, 0, dig("No one."), "An=Q|No=Q"), (2, 0, dig("Any one"), "An=Q|No=Q")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    lists = [x for x in plan.splitlines() if "Aggregate" in x and "i_begin" in x]
+    assert lists and not [x for x in lists if re.search(r"\btext#", x)]
