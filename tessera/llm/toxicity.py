@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import packed, unpacked
 from tessera.plans.util import materialize
 
-_TERM = re.compile(r"[^\W\d_]+")
+_TERM, _ASCII = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
 #: Bounds of what the fit may hold, both parameters of ``fit``: labelled rows
 #: that the weights are learned from, and those of them in the index.
 MAX_EXAMPLES, MAX_INDEXED = 10_000, 1_500
@@ -39,11 +39,17 @@ DENSE = 0.25
 BLOCK, NEAREST, EPS, PREFIX = 64, 15, 0.05, 4
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-case words (runs of letters) of a text."""
+    low = text.lower()
+    return (_ASCII if low.isascii() else _TERM).findall(low)
+
+
 def terms(text: str) -> Counter:
     """Counts of the lower-case words (runs of letters) of the whole text and
     of the first ``PREFIX`` letters (``abcd*``) of the longer ones, which
     stand for a stem with changing endings."""
-    words = Counter(_TERM.findall(text.lower()))
+    words = Counter(words_of(text))
     out = Counter(words)
     for w, n in words.items():
         if len(w) > PREFIX:
@@ -57,6 +63,23 @@ def split_vocabulary(vocabulary: dict) -> tuple[dict, dict]:
             {t[:-1]: i for t, i in vocabulary.items() if t.endswith("*")})
 
 
+class WordTerms(dict):
+    """Of each word asked for, the numbers of its terms in a vocabulary (the
+    word's and its prefix's); at most ``most`` words are kept."""
+
+    def __init__(self, vocabulary: dict, most: int = 500_000):
+        super().__init__()
+        self.words, self.prefixes = split_vocabulary(vocabulary)
+        self.most = most
+
+    def __missing__(self, word: str) -> tuple:
+        found = (self.words.get(word), self.prefixes.get(word[:PREFIX]) if len(word) > PREFIX else None)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = tuple(t for t in found if t is not None)
+        return found
+
+
 def known_terms(words: set, known: tuple[frozenset, frozenset]) -> tuple[set, set]:
     """Of ``words`` those in ``known[0]`` and of their prefixes (see ``terms``)
     those in ``known[1]``, as two sets."""
@@ -111,8 +134,7 @@ class Index:
     id_type: str = "bigint"
     dense_row: np.ndarray = None  # of each term: its row, or -1
     dense: np.ndarray = None      # weights of the frequent terms in all examples
-    words: dict = None            # of the vocabulary: words
-    prefixes: dict = None         # and prefixes, without their ``*``
+    known: WordTerms = None       # the vocabulary by word
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit TF-IDF weights."""
@@ -125,16 +147,12 @@ class Index:
         return t, w / np.sqrt((w * w).sum())
 
     def count(self, text: str) -> dict[int, int]:
-        if self.words is None:  # in each worker by itself, nothing to send
-            self.words, self.prefixes = split_vocabulary(self.vocabulary)
-        known, prefix = self.words, self.prefixes.get
-        words = Counter(_TERM.findall(text.lower()))
-        out = {known[w]: words[w] for w in known.keys() & words.keys()}
-        for w, n in words.items():
-            if len(w) > PREFIX:
-                t = prefix(w[:PREFIX])
-                if t is not None:
-                    out[t] = out.get(t, 0) + n
+        if self.known is None:  # in each worker by itself, nothing to send
+            self.known = WordTerms(self.vocabulary)
+        out, known = {}, self.known
+        for w, n in Counter(words_of(text)).items():
+            for t in known[w]:
+                out[t] = out.get(t, 0) + n
         return out
 
     def nearest(self, counts: dict[int, int], k: int = NEAREST, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         for b in batches:
             for text in b["text"]:
                 n += 1
-                found = known_terms(set(_TERM.findall(text.lower())), have)
+                found = known_terms(set(words_of(text)), have)
                 df.update(found[0])
                 of_prefix.update(found[1])
         yield pd.DataFrame({"term": [*df, *[f"{p}*" for p in of_prefix], None], "n": [*df.values(), *of_prefix.values(), n]})

@@ -483,3 +483,18 @@ def test_toxicity_counts_known_terms_only():
         assert index.count(x) == {index.vocabulary[t]: n for t, n in want.items()}
         found = known_terms({t for t in terms(x) if not t.endswith("*")}, (frozenset(words), frozenset(prefixes)))
         assert found[0] | {f"{p}*" for p in found[1]} == want.keys()
+
+
+def test_toxicity_words_and_terms_are_looked_up_once():
+    import re
+    from collections import Counter
+
+    from tessera.llm.toxicity import WordTerms, words_of
+    for text in ["Plain ASCII, snake_case x2 it's", "Größe und Maß_2 ÉTÉ", "Kelvin İx", "", "12 _ 3", "日本語 text"]:
+        assert words_of(text) == re.findall(r"[^\W\d_]+", text.lower())
+    vocabulary = {"text": 0, "text*": 1, "texts": 2, "tex": 3, "long*": 4}
+    known = WordTerms(vocabulary, most=2)
+    words = Counter(["text", "texts", "texting", "tex", "longer", "other", "texts"])
+    for _ in range(2):  # the kept words and those looked up anew give the same terms
+        assert {w: known[w] for w in words} == {"text": (0,), "texts": (2, 1), "texting": (1,), "tex": (3,), "longer": (4,), "other": ()}
+        assert len(known) <= 2
