@@ -129,3 +129,25 @@ def test_sentence_tag_report_keeps_texts_out_of_its_aggregates(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     lists = [x for x in plan.splitlines() if "Aggregate" in x and "i_begin" in x]
     assert lists and not [x for x in lists if re.search(r"\btext#", x)]
+
+
+def test_labelled_tokens_carry_their_runs(spark):
+    from tessera.operators.tokens import tokenize
+    from tessera.plans.tagging import capital_labels, capital_runs
+    docs = spark.createDataFrame([(1, "New York City is big. Ann  Lee met Bob Roy"), (2, "none"), (2, "A B")], "doc_id int, text string")
+    tok = tokenize(docs)
+    runs = capital_runs(capital_labels(tok))
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, capital_runs(tok).collect()))
+    assert (1, 0, 13, 0, 2, "New") in set(map(tuple, runs.collect()))
+    # grouped as they stand: no window over the labelled tokens
+    lab = spark.createDataFrame(capital_labels(tok).collect(), capital_labels(tok).schema)
+    assert "Window" not in capital_runs(lab)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decode_groups_no_lone_units_without_a_span(spark):
+    units = _units(spark, ["O", "I-O", "I-PER", "X-PER", None, "O", "O", "B-O", "I-O", "B-A"])
+    spans = iob_decode(units)
+    assert _spans(spans) == [(2, 3, "PER"), (9, 9, "A")]
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate"):].splitlines()
+    assert "lead(_brk" in "".join(grouped)  # units are left out below the aggregate
