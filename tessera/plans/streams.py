@@ -14,7 +14,7 @@ from tessera.plans.corpus import bigint, docs
 from tessera.plans.readers import NEWS_CONTENT_SQL, news_content, strip_sql
 from tessera.plans.registry import ORACLES, register
 from tessera.plans.sqlfrag import sentences_cte, tokens_cte
-from tessera.util import materialize, read_table, scratch_path
+from tessera.util import materialize, plan_bytes, read_table, scratch_path
 from tessera.sources.readers import parse_news
 from tessera.sources.sinks import read_packs, write_packs
 from tessera.streaming.jobs import (
@@ -22,6 +22,14 @@ from tessera.streaming.jobs import (
 )
 
 
+LANDING_BYTES = 32 << 20  # of a landed file, by the size of what it is written from
+
+
+def _files(df, batches):
+    """Files that each of so many batches of ``df`` lands in."""
+    return max(1, -(-plan_bytes(df) // (batches * LANDING_BYTES)))
+
+
 RECORD = "\x1e"  # ends a record of the streamed news files
 
 
@@ -82,6 +90,23 @@ def q_stream_search(spark, sf):
 ORACLES["stream_search"] = ORACLES["search"]
 
 
+def _land(rows, path, batches=None):
+    """Append ``rows`` to the folder of a stream, to arrive in so many batches
+    (default: together, as many files as tasks); the files of a batch."""
+    n = batches and _files(rows, batches)
+    (rows.repartition(batches * n) if batches else rows).write.mode("append").parquet(path)
+    return n
+
+
+def _indexed(spark, src, landings):
+    """The folder of :func:`index_batch` rows after each of ``landings``
+    (``rows, batches``) has landed and was streamed."""
+    out, ckpt = scratch_path(spark, "postings-out"), scratch_path(spark, "postings-ckpt")
+    for rows, batches in landings:
+        res = stream_table(spark, src, "doc_id bigint, text string", out, ckpt, index_batch, max_files=_land(rows, src, batches))
+    return res
+
+
 @register("stream_index")
 def q_stream_index(spark, sf):
     """A tenth of the documents arrives first in an older version; the last
@@ -89,10 +114,7 @@ def q_stream_index(spark, sf):
     d = docs(spark, sf)
     src = scratch_path(spark, "docs-in")
     old = d.where(F.col("doc_id") % 10 == 0).withColumn("text", F.concat(F.lit("outdated words "), "text"))
-    old.coalesce(1).write.parquet(src)
-    d.repartition(4).write.mode("append").parquet(src)
-    out = stream_table(spark, src, "doc_id bigint, text string", scratch_path(spark, "postings-out"),
-                       scratch_path(spark, "postings-ckpt"), index_batch, max_files=1)
+    out = _indexed(spark, src, [(old, None), (d, 4)])
     idx = merged_index(out)
     res = idx.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
     return bigint(res.join(idx.term_stats.select("term", F.col("df").alias("_df")), "term").where("df = _df").drop("_df"),
@@ -105,10 +127,8 @@ def q_stream_doc_stats(spark, sf):
     """Document lengths of the incremental index."""
     d = docs(spark, sf)
     src = scratch_path(spark, "docs-in")
-    d.where(F.col("doc_id") % 10 == 0).withColumn("text", F.lit("outdated")).coalesce(1).write.parquet(src)
-    d.repartition(2).write.mode("append").parquet(src)
-    out = stream_table(spark, src, "doc_id bigint, text string", scratch_path(spark, "postings-out"),
-                       scratch_path(spark, "postings-ckpt"), index_batch, max_files=1)
+    old = d.where(F.col("doc_id") % 10 == 0).withColumn("text", F.lit("outdated"))
+    out = _indexed(spark, src, [(old, None), (d, 2)])
     return bigint(merged_index(out).doc_stats, "n_tokens")
 
 
@@ -124,11 +144,11 @@ def q_stream_compacted(spark, sf):
     src = scratch_path(spark, "docs-in")
     old = d.where(F.col("doc_id") % 10 == 0).withColumn("text", F.concat(F.lit("outdated words "), "text"))
     passing = d.where(F.col("doc_id") % 7 == 0).withColumn("doc_id", -F.col("doc_id") - 1)
-    for part in (old, passing, passing.withColumn("removed", F.lit(True)).withColumn("text", F.lit(None).cast("string"))):
-        part.coalesce(1).write.mode("append").parquet(src)
-    d.repartition(4).write.mode("append").parquet(src)
-    idx = stream_index(spark, src, "doc_id bigint, text string, removed boolean", scratch_path(spark, "postings-out"),
-                       scratch_path(spark, "postings-ckpt"), compact_every=3)
+    gone = passing.withColumn("removed", F.lit(True)).withColumn("text", F.lit(None).cast("string"))
+    out, ckpt = scratch_path(spark, "postings-out"), scratch_path(spark, "postings-ckpt")
+    for rows, batches in ((old, None), (passing, None), (gone, None), (d, 4)):
+        idx = stream_index(spark, src, "doc_id bigint, text string, removed boolean", out, ckpt, max_files=_land(rows, src, batches),
+                           compact_every=3)
     res = idx.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
     return bigint(res, "df", "cf", "max_tf")
 
@@ -136,9 +156,10 @@ def q_stream_compacted(spark, sf):
 ORACLES["stream_compacted"] = ORACLES["index_stats"]
 
 
-def _batch_counts(spark, sf, landed, max_files=1):
-    """Match counts of each streamed batch of test documents (those of
-    ``landed``, a folder) against the fitted tagger; the folder written."""
+def _batch_counts(spark, sf, landings, landed):
+    """Match counts of each of ``landings`` (test documents, one batch each,
+    streamed from the folder ``landed``) against the fitted tagger; the
+    folder written."""
     from tessera.operators.evaluate import match_counts
     from tessera.operators.tags import bio_encode, fit_tagger, iob_decode, predict_tags
     from tessera.operators.tokens import with_sentence_idx
@@ -152,8 +173,9 @@ def _batch_counts(spark, sf, landed, max_files=1):
         ps = iob_decode(pred, label="pred", segment="sent_idx").select("doc_id", "begin", "end", "ner_type")
         return match_counts(r, ps).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("exact", "n_ref", "n_pred")])
 
-    out = scratch_path(spark, "counts-out")
-    stream_table(spark, landed, "doc_id bigint, text string", out, scratch_path(spark, "counts-ckpt"), score, max_files=max_files)
+    out, ckpt = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ckpt")
+    for rows in landings:
+        stream_table(spark, landed, "doc_id bigint, text string", out, ckpt, score, max_files=_land(rows, landed))
     return out
 
 
@@ -169,9 +191,8 @@ def q_stream_running_scores(spark, sf):
     """The tagger's score after each of four batches of test documents."""
     landed = scratch_path(spark, "test-docs-in")
     d = docs(spark, sf).where(F.col("doc_id") % 5 == 0)
-    for g in range(4):  # one after the other: files are taken in the order they land
-        d.where(F.floor(F.col("doc_id") / 5) % 4 == g).coalesce(1).write.mode("append").parquet(landed)
-    r = running_scores(spark, _batch_counts(spark, sf, landed), scratch_path(spark, "totals-out"), scratch_path(spark, "totals-ckpt"))
+    landings = [d.where(F.floor(F.col("doc_id") / 5) % 4 == g) for g in range(4)]  # one after the other
+    r = running_scores(spark, _batch_counts(spark, sf, landings, landed), scratch_path(spark, "totals-out"), scratch_path(spark, "totals-ckpt"))
     return bigint(r.select("batch", "exact", "n_ref", "n_pred", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]), "batch")
 
 
@@ -183,7 +204,7 @@ def q_stream_scores(spark, sf):
     lab, runs = TG.labelled(spark, sf)
     model = materialize(fit_tagger(lab.where(F.col("doc_id") % 5 != 0)), "model")
     src = scratch_path(spark, "test-docs-in")
-    docs(spark, sf).where(F.col("doc_id") % 5 == 0).repartition(4).write.parquet(src)
+    n = _land(docs(spark, sf).where(F.col("doc_id") % 5 == 0), src, 4)
 
     def score(batch):
         tok = with_sentence_idx(tokenize(batch))
@@ -193,7 +214,7 @@ def q_stream_scores(spark, sf):
         return match_counts(r, ps)
 
     counts = stream_table(spark, src, "doc_id bigint, text string", scratch_path(spark, "scores-out"),
-                          scratch_path(spark, "scores-ckpt"), score, max_files=1)
+                          scratch_path(spark, "scores-ckpt"), score, max_files=n)
     totals = counts.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("exact", "n_ref", "n_pred")])
     r = prf(totals)
     return r.select("exact", "n_ref", "n_pred", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.evaluate import with_prf
-from tessera.operators.index import Index, build_index
-from tessera.operators.tokens import tokenize
+from tessera.operators.index import Index, index_documents
 
 
 def _batch_sink(out_path: str, fn: Callable[[DataFrame], DataFrame]):
@@ -84,7 +83,7 @@ def index_batch(batch: DataFrame, key: str = "doc_id") -> DataFrame:
     """T4, one batch: its postings, and one row without a term per document
     that carries the document's length (so that a document without words
     still replaces its older version)."""
-    idx = build_index(tokenize(batch, key), key, batch)
+    idx = index_documents(batch, key)
     posts = idx.postings.select(key, "term", "positions", "tf", "dl")
     heads = idx.doc_stats.select(key, F.lit(None).cast("string").alias("term"), F.array().cast("array<int>").alias("positions"),
                                  F.lit(0).alias("tf"), F.col("n_tokens").cast("int").alias("dl"))
