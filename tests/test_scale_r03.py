@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import index as I
-from tessera.operators.concepts import ngram_candidates, token_runs
 from tessera.operators.tokens import document_words, tokenize
 
 
@@ -52,11 +51,30 @@ def test_phrases_move_each_block_once(spark, join, monkeypatch):
     assert rows and all(r.doc_id is not None and r.question_id is not None and 0 <= r.width <= 2 for r in rows)
 
 
-def test_runs_are_looked_up_not_gathered(spark):
-    docs = spark.createDataFrame([(1, "A b, c."), (2, ""), (3, "d")], "doc_id long, text string")
-    runs = token_runs(tokenize(docs), 3)
-    assert "collect_list" not in runs._jdf.queryExecution().optimizedPlan().toString()
-    assert {(r.doc_id, r.tok_idx): [x.token for x in r.run] for r in runs.collect()} == {
-        (1, 0): ["a", "b", ","], (1, 1): ["b", ",", "c"], (1, 2): [",", "c", "."], (1, 3): ["c", "."], (1, 4): ["."], (3, 0): ["d"]}
-    got = sorted((r.doc_id, r.begin, r.end, r.n, r.norm) for r in ngram_candidates(tokenize(docs), 4).collect())
-    assert got == [(1, 0, 1, 1, "a"), (1, 0, 3, 2, "a b"), (1, 0, 6, 4, "a b , c"), (1, 2, 3, 1, "b"), (1, 2, 6, 3, "b , c"), (1, 5, 6, 1, "c"), (3, 0, 1, 1, "d")]
+def test_landed_rows_are_many_files_but_the_same_batches(spark, tmp_path, monkeypatch):
+    from tessera.plans import streams as S
+    monkeypatch.setattr(S, "LANDING_BYTES", 200)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green."]) for _ in range(30)), "en", "s", 9) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    sf, seen = str(tmp_path), []
+    real = S.stream_index
+    monkeypatch.setattr(S, "stream_index", lambda spark, src, schema, out, *a, **k: seen.append((src, out)) or real(spark, src, schema, out, *a, **k))
+    want = {(r.term, r.df, r.cf, r.max_tf) for r in S.R.q_index_stats(spark, sf).collect()}
+    assert {(r.term, r.df, r.cf, r.max_tf) for r in S.q_stream_compacted(spark, sf).collect()} == want
+    src, out = seen[-1]
+    assert spark.read.parquet(out).select("batch").distinct().count() == 7
+    assert spark.read.parquet(src).select(F.input_file_name()).distinct().count() > 7
+    assert {(r.term, r.df, r.cf, r.max_tf) for r in S.q_stream_index(spark, sf).collect()} == want
+
+
+def test_tokens_written_by_document_are_not_shuffled_again(spark):
+    from pyspark.sql import Window
+
+    from tessera.util import materialize_by
+    docs = spark.createDataFrame([(i, "a b. c") for i in range(50)] + [(None, "x y"), (7, "again")], "doc_id long, text string")
+    tok = tokenize(docs)
+    held = materialize_by(tok, "doc_id", "tokens-test")
+    assert sorted(map(str, held.collect())) == sorted(map(str, tok.collect())) and held.columns == tok.columns
+    after = held.withColumn("n", F.lead("token").over(Window.partitionBy("doc_id").orderBy("tok_idx")))
+    assert "Exchange" not in after._jdf.queryExecution().executedPlan().toString()
