@@ -73,3 +73,22 @@ def test_units_of_whole_files_are_those_of_their_lines(spark, twice):
     d, _ = conll_documents(u)
     assert plan(d).count("Exchange") <= 2  # by file, then by document: no third for a distinct count
     assert {(r.file, r.doc_ord): (r.n_tokens, r.n_sentences) for r in d.collect()}[("a", 1)] == (5, 3)
+
+
+def test_buckets_are_written_as_the_rows_come(spark):
+    tok = tokenize(spark.createDataFrame([(i, "a b. c") for i in range(50)], "doc_id long, text string"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    held = materialize_by(tok, "doc_id", "as-they-come")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert rows(held) == rows(tok)
+
+
+def test_long_aliases_walk_the_tokens_in_their_buckets(spark, monkeypatch):
+    from tessera.operators import concepts as C
+    docs = spark.createDataFrame([(i, "one two three four five six seven. one two") for i in range(20)], "doc_id long, text string")
+    alias = spark.createDataFrame([("three four five six seven", "x", "C1"), ("one", "y", "C2")], "alias string, name string, cui string")
+    real, seen = C.token_runs, []
+    monkeypatch.setattr(C, "token_runs", lambda units, *a: seen.append(plan(real(units, *a))) or real(units, *a))
+    got = C.find_mentions(tokenize(docs), alias)
+    assert "Exchange" not in seen[0]
+    assert {(r.begin, r.end, r.n, r.cui) for r in got.collect()} == {(0, 3, 1, "C2"), (35, 38, 1, "C2"), (8, 33, 5, "C1")} and got.count() == 60
