@@ -92,3 +92,68 @@ def test_long_aliases_walk_the_tokens_in_their_buckets(spark, monkeypatch):
     got = C.find_mentions(tokenize(docs), alias)
     assert "Exchange" not in seen[0]
     assert {(r.begin, r.end, r.n, r.cui) for r in got.collect()} == {(0, 3, 1, "C2"), (35, 38, 1, "C2"), (8, 33, 5, "C1")} and got.count() == 60
+
+
+def segment_rows(ops, length):
+    """(new_begin, new_end, orig_begin, orig_end, replaced) of ops (begin, end, text)."""
+    out, at, new = [], 0, 0
+    for b, e, t in [*ops, (length, length, None)]:
+        if b > at:
+            out.append((new, new + b - at, at, b, False))
+            new += b - at
+        if t is not None:
+            out.append((new, new + len(t), b, e, True))
+            new += len(t)
+        at = e
+    return out, new
+
+
+def test_original_span_is_that_of_the_nearest_segment(spark):
+    from tessera.operators.edits import MODES, original_span
+    rng = random.Random(8)
+    segs, spans, want = [], [], {}
+    for doc in range(40):
+        length, at, ops = rng.randint(0, 30), 0, []
+        while at < length and rng.random() < 0.8:
+            b = rng.randint(at, length)
+            e = rng.randint(b, min(length, b + 5))
+            ops.append((b, e, "x" * rng.choice([0, 1, 4])))
+            at = e + 1
+        mine, total = segment_rows(ops, length)
+        segs += [(doc, *s) for s in mine]
+        for b in range(total + 2):
+            for e in range(b, min(total + 2, b + 4)):
+                spans.append((doc, b, e))
+                got = []
+                for x, end in ((b, False), (e, True)):
+                    near = [s for s in mine if s[0] <= x <= s[1]]
+                    best = [s for s in near if (x > s[0] if end else x < s[1])]
+                    # all that may be chosen: several empty ones at a place are equally near
+                    best = best or [s for s in near if s[0] == min(n[0] for n in near)]
+                    vals = set()
+                    for nb, ne, ob, oe, rep in best[:1] if best and (best[0][0] < best[0][1]) and len(best) == 1 else best:
+                        exact = ob if x == nb else oe if x == ne else ob + x - nb
+                        far = {"relaxed": oe if end else ob, "strict": None, "backward": ob, "forward": oe}
+                        vals.add(tuple(far[m] if rep and nb < x < ne else exact for m in MODES))
+                    got.append(vals or {(None,) * 4})
+                want[doc, b, e] = got
+    s = spark.createDataFrame(segs + [(None, 0, 9, 0, 9, False)], "doc_id long, new_begin int, new_end int, orig_begin int, orig_end int, replaced boolean")
+    p = spark.createDataFrame(spans + spans[:5] + [(None, 1, 2)], "doc_id long, begin int, end int")
+    out = original_span(s, p)
+    assert out.columns == ["doc_id", "begin", "end"] + [f"{x}_{m}" for x in ("begin", "end") for m in MODES]
+    found = out.collect()
+    assert len(found) == len(spans) + 1  # equal rows are one
+    for r in found:
+        b, e = tuple(r[3:7]), tuple(r[7:11])
+        if r.doc_id is None:
+            assert b == e == (None,) * 4
+        else:
+            assert b in want[r.doc_id, r.begin, r.end][0] and e in want[r.doc_id, r.begin, r.end][1]
+
+
+def test_original_span_shuffles_no_token(spark, tmp_path):
+    from tessera.plans.corpus import q_original_span
+    p = plan(q_original_span(spark, documents(spark, tmp_path)))
+    assert p.count("Union") == 2 and "SortAggregate" not in p
+    above = p[:p.index("Union")]
+    assert "Exchange" not in above and "ENSURE_REQUIREMENTS" not in p[p.index("Union"):p.rindex("Generate posexplode")]
