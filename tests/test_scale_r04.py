@@ -75,6 +75,19 @@ def test_units_of_whole_files_are_those_of_their_lines(spark, twice):
     assert {(r.file, r.doc_ord): (r.n_tokens, r.n_sentences) for r in d.collect()}[("a", 1)] == (5, 3)
 
 
+def test_labels_are_given_without_a_shuffle_of_units(spark, tmp_path):
+    from tessera.plans.tagging import reference_runs
+    d = spark.read.parquet(f"{documents(spark, tmp_path)}/documents.parquet")
+    tok = with_sentence_idx(tokenize(d))
+    lab = bio_encode(tok, reference_runs(tok))
+    p = plan(iob_decode(lab, segment="sent_idx"))
+    assert p.count("Exchange hashpartitioning") == p.count("REPARTITION_BY_NUM")  # the documents alone
+    assert lab.columns == [*tok.columns, "label"]
+    units = spark.createDataFrame([(1, 0, 0, 2), (None, 0, 0, 2)], "doc_id long, tok_idx int, begin int, end int")
+    ments = spark.createDataFrame([(1, 0, 5, "A"), (None, 0, 5, "B")], "doc_id long, begin int, end int, ner_type string")
+    assert {(r.doc_id, r.label) for r in bio_encode(units, ments).collect()} == {(1, "B-A"), (None, "O")}
+
+
 def test_buckets_are_written_as_the_rows_come(spark):
     tok = tokenize(spark.createDataFrame([(i, "a b. c") for i in range(50)], "doc_id long, text string"))
     before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
