@@ -88,6 +88,12 @@ def test_labels_are_given_without_a_shuffle_of_units(spark, tmp_path):
     assert {(r.doc_id, r.label) for r in bio_encode(units, ments).collect()} == {(1, "B-A"), (None, "O")}
 
 
+def test_labelled_tokens_stay_in_their_buckets(spark, tmp_path):
+    from tessera.plans import tagging as T
+    lab, _ = T.labelled(spark, documents(spark, tmp_path))
+    assert "Exchange" not in plan(iob_decode(lab, segment="sent_idx")) and "Exchange" not in plan(T.capital_runs(lab))
+
+
 def test_buckets_are_written_as_the_rows_come(spark):
     tok = tokenize(spark.createDataFrame([(i, "a b. c") for i in range(50)], "doc_id long, text string"))
     before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
