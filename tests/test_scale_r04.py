@@ -176,3 +176,37 @@ def test_original_span_shuffles_no_token(spark, tmp_path):
     assert p.count("Union") == 2 and "SortAggregate" not in p
     above = p[:p.index("Union")]
     assert "Exchange" not in above and "ENSURE_REQUIREMENTS" not in p[p.index("Union"):p.rindex("Generate posexplode")]
+
+
+def test_next_tokens_come_by_distance(spark):
+    from tessera.operators.concepts import ngram_candidates, token_runs
+    tok = tokenize(spark.createDataFrame([(1, "A b-c D"), (2, "x"), (None, "y z"), (3, "")], "doc_id long, text string"))
+    runs = {(r.doc_id, r.begin): [(x.token, x.end, x.word) for x in r.run] for r in token_runs(tok, 3).collect()}
+    assert runs[1, 0] == [("a", 1, True), ("b", 3, True), ("-", 4, False)] and runs[1, 6] == [("d", 7, True)] and runs[None, 0][1][0] == "z"
+    g = ngram_candidates(tok, 4)
+    assert {(r.doc_id, r.begin, r.end, r.n, r.norm) for r in g.collect()} == {
+        (1, 0, 1, 1, "a"), (1, 0, 3, 2, "a b"), (1, 0, 5, 4, "a b - c"), (1, 2, 3, 1, "b"), (1, 2, 5, 3, "b - c"), (1, 2, 7, 4, "b - c d"),
+        (1, 4, 5, 1, "c"), (1, 4, 7, 2, "c d"), (1, 6, 7, 1, "d"), (2, 0, 1, 1, "x"), (None, 0, 1, 1, "y"), (None, 0, 3, 2, "y z"), (None, 2, 3, 1, "z")}
+    assert "collect_list" not in plan(g) and "lambda" not in plan(g)
+
+
+def test_overlaps_make_their_spans_once(spark):
+    from tessera.operators.spans import drop_overlaps
+    a = spark.createDataFrame([(1, 0, 5, "A"), (1, 2, 3, "B"), (1, 3, 3, "Z"), (1, 3, 3, "Z"), (1, 5, 6, "C"), (2, 0, 0, "Y"), (2, None, 4, "N"),
+                               (None, 0, 2, "K"), (None, 1, 3, "L")], "doc_id long, begin int, end int, type string")
+    out = drop_overlaps(a)
+    assert "ExistingRDD" not in plan(out) and "LocalTableScan" not in plan(out)
+    assert out.columns == a.columns
+    assert sorted(r.type for r in out.collect()) == ["A", "C", "K", "Y", "Z", "Z"]
+
+
+def test_hit_documents_are_cut_once(spark):
+    from tessera.operators import qa
+    from tessera.plans.qa import lexicon
+    docs = spark.createDataFrame([(1, "Bad is smoke. Fire was hot."), (2, "Ice is smoke.")], "doc_id long, text string")
+    parsed, _ = qa.analyse_questions(spark.createDataFrame([("q", "what is smoke")], "question_id string, text string"), lexicon(spark))
+    parsed = spark.createDataFrame(parsed.collect(), parsed.schema)
+    hits = spark.createDataFrame([("q", 1, 1)], "question_id string, doc_id long, rank int")
+    out = qa.extract_answers(parsed, hits, docs, lexicon(spark))
+    assert "hit-tokens" in plan(out) and "regexp_extract_all" not in plan(out)
+    assert [(r.arg0, r.sentence) for r in out.collect()] == [("Bad", "Bad is smoke.")]
